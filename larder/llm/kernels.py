@@ -60,11 +60,17 @@ def words(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, at)
 
 
-def grams(hashes: np.ndarray, n: int) -> np.ndarray:
+def grams(values: np.ndarray, n: int) -> np.ndarray:
     """Hashes of n consecutive values, for each position that has n."""
-    m = max(0, len(hashes) - n + 1)
-    at = np.arange(m)
-    return ranges(prefix_hashes(hashes), at, at + n)
+    m = max(0, len(values) - n + 1)
+    prefix = prefix_hashes(values)
+    return mix((prefix[n : n + m] - prefix[:m]) * powers(len(prefix))[1][:m])
+
+
+def member(owner: np.ndarray, value: np.ndarray, of_owner: np.ndarray, of_value: np.ndarray) -> np.ndarray:
+    """Whether each (owner, value) is among the others, by a 64-bit mix of both."""
+    blend = lambda o, v: mix(v.view(np.uint64) ^ mix(o.astype(np.uint64) + np.uint64(1)))
+    return np.isin(blend(owner, value), blend(of_owner, of_value))
 
 
 def window_argmin(h: np.ndarray, width: int, tile: int = 1 << 22) -> np.ndarray:

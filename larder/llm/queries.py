@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, sharding
+from . import bpe, chat, langid, sharding, suffix
 from .common import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,19 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: what is left of it without byte strings that occur twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = suffix.drop_repeats(docs)
+    return out.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"]).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per document; one in four, by the digest of its id, is kept from training."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -67,7 +80,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_byte_bpe, op8_language_id, op9_chat_format, op10_sharding)}
+    return {f.__name__: f for f in (op5_byte_bpe, op7_suffix_dedup, op8_language_id, op9_chat_format, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
