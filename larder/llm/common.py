@@ -68,14 +68,6 @@ def text_key(text: str | Column) -> Column:
     return F.xxhash64(F.col(text) if isinstance(text, str) else text)
 
 
-def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
-    """Null-safe equality of the named columns."""
-    cond = F.lit(True)
-    for n in names:
-        cond = cond & left[n].eqNullSafe(right[n])
-    return cond
-
-
 def blocks(sizes: Iterable[int], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive rows whose sizes add up to at most limit, one row at least."""
     start, total, n = 0, 0, 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, sharding, suffix
+from . import bpe, chat, langid, sharding, substring, suffix
 from .common import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: what is left of its words without windows that start in a document of a smaller id."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = substring.deduplicate(docs)
+    return out.select("doc_id", "n_words", F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"]).alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per document: ids of its whole text and what they decode to, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -80,7 +87,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_byte_bpe, op7_suffix_dedup, op8_language_id, op9_chat_format, op10_sharding)}
+    return {f.__name__: f for f in (op1_substring_dedup, op5_byte_bpe, op7_suffix_dedup, op8_language_id, op9_chat_format, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

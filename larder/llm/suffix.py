@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import blocks, materialize, same, text_key
+from .common import blocks, materialize, text_key
 from .windows import binary, document_spans, grouped, lists, spans_of, with_pieces
 
 LENGTH, GRAM = 400, 32
