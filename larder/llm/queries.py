@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, sharding, substring, suffix
+from . import bpe, chat, decontaminate, langid, near, sharding, substring, suffix
 from .common import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"]).alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: its class of near and exact copies, its copies, and the different texts it is linked to."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near.join(docs).select("doc_id", "class_id", "n_copies", "n_links")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document and benchmark item that it holds; clean documents have none."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -93,7 +99,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op4_decontaminate, op5_byte_bpe, op7_suffix_dedup, op8_language_id, op9_chat_format, op10_sharding)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_ngram_jaccard, op4_decontaminate, op5_byte_bpe, op7_suffix_dedup, op8_language_id, op9_chat_format, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
