@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, near, sharding, substring, suffix
+from . import bpe, chat, decontaminate, langid, lm, near, sharding, substring, suffix
 from .common import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; one in seven, by the digest of its id, is kept from training."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score(docs, learn=~lm.held_out("doc_id"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per document: what is left of it without byte strings that occur twice."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -99,7 +105,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_ngram_jaccard, op4_decontaminate, op5_byte_bpe, op7_suffix_dedup, op8_language_id, op9_chat_format, op10_sharding)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_ngram_jaccard, op4_decontaminate, op5_byte_bpe, op6_lm_score, op7_suffix_dedup, op8_language_id, op9_chat_format, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
