@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, lm, near, sharding, substring, suffix
+from . import ann, bpe, chat, decontaminate, langid, lm, near, sharding, substring, suffix
 from .common import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"]).alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every row whose id is divisible by 20, among all rows."""
+    return ann.neighbours(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 20 == 0, 20)
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per document: its class of near and exact copies, its copies, and the different texts it is linked to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -105,7 +110,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_ngram_jaccard, op4_decontaminate, op5_byte_bpe, op6_lm_score, op7_suffix_dedup, op8_language_id, op9_chat_format, op10_sharding)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_hilbert_ann, op3_ngram_jaccard, op4_decontaminate, op5_byte_bpe, op6_lm_score, op7_suffix_dedup, op8_language_id, op9_chat_format, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
