@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kernels as K
-from .common import blocks
+from .common import blocks, fresh
 
 DOCS_PER_LANG, SPAN, EPOCHS = 240, 60, 30
 TRIGRAM_BITS, AFFIX_BITS, LEXICON_BITS = 14, 12, 15
@@ -241,4 +241,5 @@ def identify(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str
                 out += model.predict(texts[lo:hi]) if model else [(UNKNOWN, 0.0)] * (hi - lo)
             yield pd.DataFrame(out, columns=["lang", "score"])
 
-    return df.withColumn("_said", run(F.col(text))).withColumns({pred: F.col("_said.lang"), score: F.col("_said.score")}).drop("_said")
+    (said,) = fresh(df, "__said")
+    return df.withColumn(said, run(F.col(text))).withColumns({pred: F.col(said)["lang"], score: F.col(said)["score"]}).drop(said)

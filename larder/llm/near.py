@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import blocks, materialize
+from .common import blocks, fresh, materialize
 from .components import components
 from .windows import binary
 
@@ -294,11 +294,14 @@ def join(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: f
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of df that are the first of their class, all columns kept; rows of texts without words stay."""
-    info = join(df, id_col, text, threshold).filter("c is not null").select(F.col("c").alias("__c"), F.col("class_id").alias("__class"), F.col(id_col).alias("__id"))
-    heads = info.filter("__id <=> __class").groupBy("__class", "__c").agg(F.count("*").alias("__n"))
-    first = materialize(heads.groupBy("__class").agg(F.min(F.struct("__c", "__n")).alias("__f")).select("__class", F.col("__f.__c").alias("__first"), "__f.__n"), "near-first")
-    named = df.withColumn("__k", F.when(F.trim(F.translate(F.coalesce(F.col(text), F.lit("")), "\t\n\x0b\x0c\r", "     ")) != "", F.unhex(F.md5(F.col(text).cast("binary")))))
-    hit = named.join(first, named[id_col].eqNullSafe(first["__class"]) & (named["__k"] == first["__first"]), "left")
+    info = join(df, id_col, text, threshold).filter("c is not null").select("c", "class_id", F.col(id_col).alias("id"))
+    heads = info.filter("id <=> class_id").groupBy("class_id", "c").agg(F.count("*").alias("n"))
+    head, name, n, k = fresh(df, "__head", "__name", "__n", "__k")
+    first = heads.groupBy("class_id").agg(F.min(F.struct("c", "n")).alias("f")).select(F.col("class_id").alias(head), F.col("f.c").alias(name), F.col("f.n").alias(n))
+    first = materialize(first, "near-first")
+    wordless = F.trim(F.translate(F.coalesce(F.col(text), F.lit("")), "\t\n\x0b\x0c\r", "     ")) == ""
+    named = df.withColumn(k, F.when(~wordless, F.unhex(F.md5(F.col(text).cast("binary")))))
+    hit = named.join(first, named[id_col].eqNullSafe(first[head]) & (named[k] == first[name]), "left")
     # of repeated rows of the first, one stays
-    once = hit.filter("__k is null or __n = 1")
-    return once.unionByName(hit.filter("__n > 1").dropDuplicates([id_col, "__k"])).select(*df.columns)
+    once = hit.filter(F.col(k).isNull() | (F.col(n) == 1))
+    return once.unionByName(hit.filter(F.col(n) > 1).dropDuplicates([id_col, k])).select(*df.columns)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import blocks, materialize, release, text_key
+from .common import blocks, fresh, materialize, release, text_key
 from .windows import binary, grouped, spans_of, with_pieces
 
 WINDOW, GRAM, FANOUT = 13, 5, 2
@@ -201,8 +201,9 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text: str = "text", batch
     found = materialize(index.entries(shared.distinct()), "substring-found")
     index.drop()
     spans = materialize(verify(df, found, id_col, text, window), "substring-spans")
-    left = df.withColumns({"__id": F.col(id_col), "__h": text_key(text)})
-    joined = left.join(spans, left["__id"].eqNullSafe(spans["_id"]) & (left["__h"] == spans["_h"]), "left").drop("__id", "__h", "_id", "_h")
+    key, h, at, said = fresh(df, "__id", "__h", "__spans", "__said")
+    spans = spans.select(F.col("_id").alias(key), F.col("_h").alias(h), F.col("spans").alias(at))
+    joined = df.join(spans, df[id_col].eqNullSafe(spans[key]) & (text_key(df[text]) == spans[h]), "left").drop(key, h)
 
     @F.pandas_udf("n_words long, kept string, removed array<struct<s:int,e:int>>")
     def finish(texts, spans):
@@ -222,5 +223,5 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text: str = "text", batch
             out.append((len(parts), b" ".join(left + parts[at:]).decode(), runs))
         return pd.DataFrame(out, columns=["n_words", "kept", "removed"])
 
-    out = joined.withColumn("__x", finish(F.col(text), F.col("spans"))).drop("spans")
-    return out.withColumns({"n_words": F.col("__x.n_words"), kept: F.col("__x.kept"), removed: F.col("__x.removed")}).drop("__x")
+    out = joined.withColumn(said, finish(F.col(text), F.col(at))).drop(at)
+    return out.withColumns({"n_words": F.col(said)["n_words"], kept: F.col(said)["kept"], removed: F.col(said)["removed"]}).drop(said)

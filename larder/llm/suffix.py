@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import blocks, materialize, text_key
+from .common import blocks, fresh, materialize, text_key
 from .windows import binary, document_spans, grouped, lists, spans_of, with_pieces
 
 LENGTH, GRAM = 400, 32
@@ -187,8 +187,9 @@ def find_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", length
 def drop_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, kept: str = "kept", removed: str = "removed") -> DataFrame:
     """df with the remaining bytes of each text and the removed runs (array<struct<s, e>>, disjoint, in order)."""
     spans = materialize(find_spans(df, id_col, text, length), "suffix-spans")
-    left = df.withColumns({"__id": F.col(id_col), "__h": text_key(text)})
-    joined = left.join(spans, left["__id"].eqNullSafe(spans["_id"]) & (left["__h"] == spans["_h"]), "left").drop("__id", "__h", "_id", "_h")
+    key, h, at = fresh(df, "__id", "__h", "__spans")
+    spans = spans.select(F.col("_id").alias(key), F.col("_h").alias(h), F.col("spans").alias(at))
+    joined = df.join(spans, df[id_col].eqNullSafe(spans[key]) & (text_key(df[text]) == spans[h]), "left").drop(key, h)
 
     @F.pandas_udf("array<struct<s:int,e:int>>")
     def tidy(column):
@@ -203,10 +204,18 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", leng
         return pd.Series([one(xs) for xs in column], dtype=object)
 
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    out = joined.withColumn(removed, F.when(F.col("spans").isNull(), F.array().cast("array<struct<s:int,e:int>>")).otherwise(tidy("spans"))).drop("spans")
+    out = joined.withColumn(removed, F.when(F.col(at).isNull(), F.array().cast("array<struct<s:int,e:int>>")).otherwise(tidy(at))).drop(at)
     # what stands before, between and after the removed runs
     n = F.size(removed)
     start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(removed, i - 1)["e"])
     end = lambda i: F.when(i == n, F.octet_length(body)).otherwise(F.get(removed, i)["s"])
     parts = F.transform(F.sequence(F.lit(0), n), lambda i: F.hex(F.substr(body, start(i) + 1, end(i) - start(i))))
     return out.withColumn(kept, F.when(n == 0, body).otherwise(F.unhex(F.array_join(parts, ""))))
+
+
+def strip_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    """df with its texts less the repeated bytes; a character that loses some of its bytes goes whole."""
+    kept, removed = fresh(df, "__kept", "__removed")
+    out = drop_repeats(df, id_col, text, length, kept, removed)
+    cut = F.replace(F.make_valid_utf8(F.col(kept).cast("string")), F.lit("\ufffd"), F.lit(""))
+    return out.withColumn(text, F.when(F.size(removed) > 0, cut).otherwise(F.col(text))).select(*df.columns)
