@@ -72,13 +72,13 @@ def part_tokens(part: Column) -> Column:
 
 def flatten(parts: Column) -> Column:
     """The content as one string of escaped texts and placeholders, in order."""
-    number = lambda i: F.size(F.filter(F.slice(parts, F.lit(1), i), lambda p: ~is_text(p)))
+    number = lambda i: F.size(F.filter(F.slice(parts, F.lit(1), i + 1), lambda p: ~is_text(p)))
     visit = lambda p, i: F.when(is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), F.regexp_replace(p["kind"], r"[^A-Za-z0-9]", ""), F.lit("_"), number(i).cast("string"), F.lit("|>")))
     return F.array_join(F.transform(parts, visit), "")
 
 
 def attachments(parts: Column) -> Column:
-    return F.transform(F.filter(parts, lambda p: ~is_text(p)), lambda p, i: F.struct(i.alias("number"), p["kind"].alias("kind"), p["ref"].alias("ref"), part_tokens(p).alias("tokens")))
+    return F.transform(F.filter(parts, lambda p: ~is_text(p)), lambda p, i: F.struct((i + 1).alias("number"), p["kind"].alias("kind"), p["ref"].alias("ref"), part_tokens(p).alias("tokens")))
 
 
 def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", parts: Column | None = None) -> DataFrame:
