@@ -1,16 +1,18 @@
 import pytest
 from pyspark.sql import SparkSession
 
+# made at once: columns named at the top of a test module need a session
+SESSION = (
+    SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+    .config("spark.driver.memory", "4g").config("spark.sql.warehouse.dir", "/tmp/larder-test-warehouse").getOrCreate()
+)
+SESSION.sparkContext.setLogLevel("ERROR")
+
 
 @pytest.fixture(scope="session")
 def spark():
-    s = (
-        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "4g").config("spark.sql.warehouse.dir", "/tmp/larder-test-warehouse").getOrCreate()
-    )
-    s.sparkContext.setLogLevel("ERROR")
-    yield s
-    s.stop()
+    yield SESSION
+    SESSION.stop()
 
 
 @pytest.fixture(scope="session")
