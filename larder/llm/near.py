@@ -244,7 +244,8 @@ def links(df: DataFrame, labels: DataFrame, id_col: str, text: str, threshold: f
     """
     sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("n")), "label")
     base = df.select(F.col(id_col).alias("_id"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("_c"), F.col(text).alias("_t"))
-    held = base.join(sized, (base["_c"] == sized["c"]) & base["_id"].eqNullSafe(sized["rep"])).select("label", "c", "n", "_t")
+    # a merge at every size: texts are shuffled once, however few the candidates of a small corpus are
+    held = base.join(sized.hint("merge"), (base["_c"] == sized["c"]) & base["_id"].eqNullSafe(sized["rep"])).select("label", "c", "n", "_t")
     work = block_pairs(held, "label", "c", "n", VERIFY_BLOCK).withColumn("g", F.xxhash64("label"))
     work = work.repartition("g", "x", "y").sortWithinPartitions("g", "x", "y", "c")
 
