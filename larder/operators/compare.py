@@ -22,16 +22,33 @@ def first_by(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
-def keyword_matches(items: DataFrame, deals: DataFrame, least: int = 2) -> DataFrame:
-    """Items (keyword, exclude, prefer) with the discounted deals that are about them: relevance and bonus.
+#: What may stand after a keyword that ends a compound, and white space.
+PIECES = r"[\s·,\d.);!?]+"
+
+
+def name_keywords(names: DataFrame, keywords: DataFrame) -> DataFrame:
+    """Pairs (product_name, keyword) that may be relevant at 2 or more.
 
-    A basket or a list of starter keywords is written by a person; its distinct keywords meet the distinct names only.
+    A keyword that is the start or the end of a word, or stands before a digit or a mark, has its first run of letters at the
+    start or the end of a run of letters of the name. So both sides meet on that run, not all against all.
+    Keywords without a letter meet names that contain them.
     """
+    kw = F.lower(F.trim("keyword"))
+    keyed = keywords.withColumn("key", F.get(F.filter(F.split(kw, PIECES), lambda p: p != ""), F.lit(0)))
+    sizes = lambda p: F.sequence(F.lit(1), F.length(p))
+    ends = lambda p: F.concat(F.transform(sizes(p), lambda n: F.left(p, n)), F.transform(sizes(p), lambda n: F.right(p, n)))
+    pieces = F.filter(F.split(F.lower("product_name"), PIECES), lambda p: p != "")
+    tokens = names.select("product_name", F.explode(F.array_distinct(F.flatten(F.transform(pieces, ends)))).alias("key"))
+    met = tokens.join(keyed.filter("key is not null"), "key").select("product_name", "keyword").distinct()
+    odd = names.join(keyed.filter("key is null").select("keyword"), F.contains(F.lower("product_name"), F.lower(F.trim("keyword"))))
+    return met.unionByName(odd.select("product_name", "keyword"))
+
+
+def keyword_matches(items: DataFrame, deals: DataFrame, least: int = 2) -> DataFrame:
+    """Items (keyword, exclude, prefer) with the discounted deals that are about them: relevance and weight. least: 2 or more."""
     names = deals.filter(F.coalesce(F.col("discount_percent"), F.lit(0)) > 0).select("product_name").distinct()
     kws = items.select("keyword").distinct().filter(F.trim("keyword") != "")
-    # a keyword in a name stands in one of its words or runs over them: `contains` is what decides
-    rel = names.join(kws, F.contains(F.lower("product_name"), F.lower(F.trim("keyword"))))
-    rel = rel.withColumn("relevance", text.relevance(F.trim("keyword"), F.col("product_name"))).filter(F.col("relevance") >= least)
+    rel = name_keywords(names, kws).withColumn("relevance", text.relevance(F.trim("keyword"), F.col("product_name"))).filter(F.col("relevance") >= least)
     out = items.join(rel, "keyword").filter(~text.any_term(F.col("product_name"), F.col("exclude")))
     short = (F.col("relevance") >= 3) & (F.size(text.words(F.col("product_name"))) <= 4)
     out = out.withColumn("preferred", text.any_term(F.col("product_name"), F.col("prefer")).cast("int")).withColumn("weight", F.col("relevance") + short.cast("int"))

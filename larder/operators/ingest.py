@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import classify, text, units
-from ..functions.values import CONFIDENCE_GATE, SITE_ROOT, STORES
+from ..functions.values import CONFIDENCE_GATE, STORES
 
 RAW = """store string, productName string, originalPrice double, salePrice double, discountPercent double, validFrom string, validTo string, imageUrl string, sourceCategory string, sourceUrl string,
 quantity double, quantityUnit string, quantityDisplay string, unitPriceAmount double, unitPricePerQty double, unitPriceUnit string, description string"""
@@ -35,8 +35,8 @@ def split_valid(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return raw.filter(valid_entry()), raw.filter(~valid_entry())
 
 
-def card_to_deal(cards: DataFrame, store: str, today: str) -> DataFrame:
-    """Raw cards (see sources.cards) as feed rows; rows without a name or a positive price go."""
+def card_to_deal(cards: DataFrame, store: str, today: str, site: str = "") -> DataFrame:
+    """Raw cards (see sources.cards) as feed rows; rows without a name or a positive price go. site stands before links."""
     c = F.col
     dates = units.date_range(c("date_text"))
     start = F.coalesce(dates["a"], c("valid_from_desc"), F.lit(today).cast("date"))
@@ -45,7 +45,7 @@ def card_to_deal(cards: DataFrame, store: str, today: str) -> DataFrame:
     return kept.select(
         F.lit(store).alias("store"), text.feed_name(c("name")).alias("productName"), original.alias("originalPrice"), c("sale_price").alias("salePrice"), F.coalesce(c("discount_percent"), units.feed_discount(original, c("sale_price"))).cast("double").alias("discountPercent"),
         start.cast("string").alias("validFrom"), F.coalesce(dates["b"], c("valid_to_desc"), F.date_add(start, 7)).cast("string").alias("validTo"), c("image_url").alias("imageUrl"), F.lit(None).cast("string").alias("sourceCategory"),
-        F.when(F.length("href") > 0, F.concat(F.lit(SITE_ROOT), c("href"))).alias("sourceUrl"), c("quantity_info.quantity").alias("quantity"), c("quantity_info.unit").alias("quantityUnit"), c("quantity_info.display").alias("quantityDisplay"),
+        F.when(F.length("href") > 0, F.concat(F.lit(site), c("href"))).alias("sourceUrl"), c("quantity_info.quantity").alias("quantity"), c("quantity_info.unit").alias("quantityUnit"), c("quantity_info.display").alias("quantityDisplay"),
         c("unit_price_info.amount").alias("unitPriceAmount"), c("unit_price_info.per_quantity").alias("unitPricePerQty"), c("unit_price_info.per_unit").alias("unitPriceUnit"), F.nullif(c("description"), F.lit("")).alias("description"),
     )
 
