@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import blocks, fresh, materialize, release, text_key
-from .windows import binary, grouped, spans_of, with_pieces
+from .windows import PIECE_CLASSES, binary, grouped, spans_of
 
 WINDOW, GRAM, FANOUT = 13, 5, 2
 
@@ -111,33 +111,63 @@ def batch_prints(df: DataFrame, id_col: str, text: str, window: int = WINDOW, gr
 
 
 def verify(df: DataFrame, found: DataFrame, id_col: str, text: str, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(_id, _h, spans of words) of the windows that start in a document of a smaller id. found: (fp, id) to look at."""
+    """(_id, _h, spans of words) of the windows that start in a document of a smaller id. found: (fp, id) to look at.
+
+    First the chunks are named (fp, cid), without their words: a chunk that a smaller id has too goes whole. Only fingerprints
+    with several different chunks need words; each of these comes once, from the document of its smallest id.
+    """
     width = window - gram + 1
     wanted = found.groupBy("id").agg(F.collect_set("fp").alias("fps"))
     base = df.select(F.col(id_col).alias("_id"), text_key(text).alias("_h"), F.col(text).alias("_t"))
     kind = base.schema["_id"].dataType.simpleString()
-    hold = base.join(wanted, base["_id"] == wanted["id"]).select("_id", "_h", "_t", "fps")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chunks(texts: list[bytes]):
+        buf, starts, ends, bounds, h, first, last = _hashed(texts, window, gram)
+        owner, a, b, fp = K.fingerprints(h, width, first, last)
+        cid = K.ranges(K.prefix_hashes(K.ranges(K.prefix_hashes(buf), starts, ends)), a, b - 1 + window).view(np.int64)
+        return buf, starts, ends, bounds, owner, a, b, fp, cid
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = binary(batch["_t"])
             for lo, hi in blocks(map(len, texts)):
-                buf, starts, ends, bounds, h, first, last = _hashed(texts[lo:hi], window, gram)
-                owner, a, b, fp = K.fingerprints(h, width, first, last)
+                _, _, _, bounds, owner, a, b, fp, cid = chunks(texts[lo:hi])
                 want = batch["fps"].slice(lo, hi - lo)
                 keep = K.member(owner, fp, np.repeat(np.arange(hi - lo), want.value_lengths().to_numpy()), want.flatten().to_numpy())
-                owner, a, b, fp = owner[keep], a[keep], b[keep], fp[keep]
-                raw = buf.tobytes()
-                # every word of the chunk, one space between
-                body = [b" ".join(raw[s:e].split()) for s, e in zip(starts[a].tolist(), ends[b - 1 + window - 1].tolist())]
+                owner, a, b, fp, cid = owner[keep], a[keep], b[keep], fp[keep], cid[keep]
                 pick = pa.array(owner + lo)
-                yield pa.RecordBatch.from_arrays(
-                    [batch["_id"].take(pick), batch["_h"].take(pick), pa.array(fp), pa.array((a - bounds[owner]).astype(np.int32)), pa.array((b - a).astype(np.int32)), pa.array(body, pa.binary())], ["_id", "_h", "fp", "p", "core", "chunk"]
-                )
+                yield pa.RecordBatch.from_arrays([batch["_id"].take(pick), batch["_h"].take(pick), pa.array(fp), pa.array(cid), pa.array((a - bounds[owner]).astype(np.int32)), pa.array((b - a).astype(np.int32))], ["_id", "_h", "fp", "cid", "p", "core"])
+
+    hold = base.join(wanted.hint("merge"), base["_id"] == wanted["id"]).select("_id", "_h", "_t", "fps")
+    inst = materialize(hold.mapInArrow(name, f"_id {kind}, _h long, fp long, cid long, p int, core int"), "substring-chunks")
+    classes = materialize(inst.groupBy("fp", "cid").agg(F.min("_id").alias("least"), F.any_value("core").alias("core")), "substring-classes")
+
+    sizes = classes.groupBy("fp").agg(F.count("*").alias("m")).filter("m > 1").select("fp", F.ceil(F.col("m") / PIECE_CLASSES).cast("int").alias("pieces"))
+    several = classes.join(sizes, "fp").groupBy("least").agg(F.collect_list(F.struct("fp", "cid", "pieces")).alias("need"))
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = binary(batch["_t"])
+            for lo, hi in blocks(map(len, texts)):
+                buf, starts, ends, _, owner, a, b, fp, cid = chunks(texts[lo:hi])
+                need = batch["need"].slice(lo, hi - lo)
+                of, flat = np.repeat(np.arange(hi - lo), need.value_lengths().to_numpy()), need.flatten()
+                asked = K.mix(flat.field("fp").to_numpy().view(np.uint64) ^ K.mix(flat.field("cid").to_numpy().view(np.uint64) ^ K.mix(of.astype(np.uint64))))
+                mine = K.mix(fp.view(np.uint64) ^ K.mix(cid.view(np.uint64) ^ K.mix(owner.astype(np.uint64))))
+                order = np.argsort(asked)
+                at = np.minimum(np.searchsorted(asked[order], mine), max(0, len(asked) - 1))
+                keep = np.flatnonzero(asked[order][at] == mine) if len(asked) else np.zeros(0, dtype=np.int64)
+                keep = keep[np.unique(mine[keep], return_index=True)[1]]  # a text may have a chunk twice
+                pieces = flat.field("pieces").to_numpy()[order][at[keep]]
+                raw = buf.tobytes()
+                body = [b" ".join(raw[s:e].split()) for s, e in zip(starts[a[keep]].tolist(), ends[b[keep] - 1 + window - 1].tolist())]
+                rep = np.repeat(np.arange(len(keep)), pieces)
+                piece = np.arange(len(rep)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                columns = [pa.array(fp[keep]), pa.array(cid[keep]), batch["_id"].take(pa.array(owner[keep] + lo)), pa.array((b - a)[keep].astype(np.int32)), pa.array(pieces.astype(np.int32)), pa.array(body, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rep)) for c in columns), pa.array(piece.astype(np.int32))], ["fp", "cid", "least", "core", "pieces", "chunk", "piece"])
 
-    chunks = hold.mapInArrow(cut, f"_id {kind}, _h long, fp long, p int, core int, chunk binary").withColumn("cid", F.xxhash64("chunk"))
-    chunks = materialize(chunks, "substring-chunks")
-    classes = chunks.groupBy("fp", "cid").agg(F.min("_id").alias("least"), F.any_value("core").alias("core"), F.any_value("chunk").alias("chunk"))
+    held = base.join(several.hint("merge"), base["_id"] == several["least"]).select("_id", "_t", "need")
+    spelled = held.mapInArrow(spell, f"fp long, cid long, least {kind}, core int, pieces int, chunk binary, piece int").repartition("fp", "piece").sortWithinPartitions("fp", "piece")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches):
@@ -172,10 +202,8 @@ def verify(df: DataFrame, found: DataFrame, id_col: str, text: str, window: int
             table = rows.select(["fp", "cid", "least"]).take(pa.array(o)).combine_chunks()
             yield from table.append_column("s", pa.array(s.astype(np.int32))).append_column("e", pa.array(e.astype(np.int32))).to_batches()
 
-    classes = materialize(classes, "substring-classes")
-    apart = with_pieces(classes).mapInArrow(compare, f"fp long, cid long, least {kind}, s int, e int")
-    least = classes.select("fp", "cid", "least", (F.col("core") + window - 1).alias("n_words"))
-    inst = chunks.select("fp", "cid", "_id", "_h", "p").join(least, ["fp", "cid"])
+    apart = materialize(spelled.mapInArrow(compare, f"fp long, cid long, least {kind}, s int, e int"), "substring-apart")
+    inst = inst.select("fp", "cid", "_id", "_h", "p").join(classes.select("fp", "cid", "least", (F.col("core") + window - 1).alias("n_words")), ["fp", "cid"])
     copies = inst.filter("_id > least").select("_id", "_h", F.struct(F.col("p").alias("s"), (F.col("p") + F.col("n_words")).alias("e")).alias("x"))
     firsts = inst.filter("_id = least").select("fp", "cid", "_id", "_h", "p").join(apart.select("fp", "cid", "s", "e"), ["fp", "cid"])
     firsts = firsts.select("_id", "_h", F.struct((F.col("p") + F.col("s")).alias("s"), (F.col("p") + F.col("e")).alias("e")).alias("x"))
@@ -203,7 +231,7 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text: str = "text", batch
     spans = materialize(verify(df, found, id_col, text, window), "substring-spans")
     key, h, at, said = fresh(df, "__id", "__h", "__spans", "__said")
     spans = spans.select(F.col("_id").alias(key), F.col("_h").alias(h), F.col("spans").alias(at))
-    joined = df.join(spans, df[id_col].eqNullSafe(spans[key]) & (text_key(df[text]) == spans[h]), "left").drop(key, h)
+    joined = df.join(spans.hint("merge"), df[id_col].eqNullSafe(spans[key]) & (text_key(df[text]) == spans[h]), "left").drop(key, h)
 
     @F.pandas_udf("n_words long, kept string, removed array<struct<s:int,e:int>>")
     def finish(texts, spans):
