@@ -132,7 +132,7 @@ def find_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", length
     often = seen.select(F.explode("fps").alias("fp")).groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
     found = seen.select("_id", "_h", F.explode("fps").alias("fp")).join(often, "fp").groupBy("_id", "_h").agg(F.collect_set("fp").alias("fps"))
     found = found.withColumnsRenamed({"_id": "_id2", "_h": "_h2"})
-    hold = base.join(found, base["_id"].eqNullSafe(found["_id2"]) & (base["_h"] == found["_h2"])).select("_id", "_h", "_t", "fps")
+    hold = base.join(found.hint("merge"), base["_id"].eqNullSafe(found["_id2"]) & (base["_h"] == found["_h2"])).select("_id", "_h", "_t", "fps")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +189,7 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", leng
     spans = materialize(find_spans(df, id_col, text, length), "suffix-spans")
     key, h, at = fresh(df, "__id", "__h", "__spans")
     spans = spans.select(F.col("_id").alias(key), F.col("_h").alias(h), F.col("spans").alias(at))
-    joined = df.join(spans, df[id_col].eqNullSafe(spans[key]) & (text_key(df[text]) == spans[h]), "left").drop(key, h)
+    joined = df.join(spans.hint("merge"), df[id_col].eqNullSafe(spans[key]) & (text_key(df[text]) == spans[h]), "left").drop(key, h)
 
     @F.pandas_udf("array<struct<s:int,e:int>>")
     def tidy(column):
