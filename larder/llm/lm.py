@@ -117,9 +117,21 @@ def vocabulary(counts: DataFrame, size: int = VOCABULARY, heavy: int = HEAVY) ->
     words = counts.filter("w is not null")
     total, types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = counts.filter("w is null").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    top = words.orderBy(F.desc("c"), "w").limit(heavy).collect()  # bounded by heavy
-    h = np.array([r["w"] for r in top], dtype=np.int64).view(np.uint64)
-    c = np.array([r["c"] for r in top], dtype=np.int64)
+    # words by quarter octaves of their counts, of which the highest that hold no more than heavy words go to the driver;
+    # the model's own words in any case, however many words tie below them
+    octave = F.floor(F.log2("c") * 4)
+    cut, n = None, 0
+    for r in sorted(words.groupBy(octave.alias("o")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["o"]):
+        n += r["n"]
+        if n > heavy:
+            break
+        cut = r["o"]
+    top = {r["w"]: r["c"] for r in words.orderBy(F.desc("c"), "w").limit(size).collect()}
+    if cut is not None:
+        top |= {r["w"]: r["c"] for r in words.filter(octave >= cut).collect()}  # bounded by heavy
+    top = sorted(top.items(), key=lambda x: (-x[1], x[0]))
+    h = np.array([w for w, _ in top], dtype=np.int64).view(np.uint64)
+    c = np.array([k for _, k in top], dtype=np.int64)
     ids = np.ones(len(top), dtype=np.int64)
     ids[:size] = 2 + np.arange(len(ids[:size]))
     inside = c[:size]
