@@ -27,7 +27,7 @@ from . import kernels as K
 from .common import blocks
 from .windows import binary
 
-Q, RATE, SLICE_BYTES = 10, 0.08, 16 << 20
+Q, RATE, SLICE_BYTES = 8, 0.10, 16 << 20
 BITS = 22
 
 
