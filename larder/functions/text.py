@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,6 +33,11 @@ def first_match(cases: Sequence[tuple[Column, Column]], default: Column | None =
     return out.otherwise(default) if default is not None else out
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value evaluated once, however often use names it: plans would copy the expression into each place."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def whole_word(text: Column, term: str | Column) -> Column:
     """Whether the first occurrence of term is bounded by non-letters; later occurrences don't count."""
     term = F.lit(term) if isinstance(term, str) else term

@@ -28,7 +28,7 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], keep: tuple[st
 
 def insert_ignore(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """target and the rows of source whose keys it lacks; the first of equal keys, by all columns."""
-    w = Window.partitionBy(*keys).orderBy(*(c for c in source.columns if c not in keys) or keys)
+    w = Window.partitionBy(*keys).orderBy(*([c for c in source.columns if c not in keys] or keys))
     first = source.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
     held = target.select(*(F.col(k).alias(f"__{k}") for k in keys))
     return target.unionByName(first.join(held, reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys)), "left_anti"))
