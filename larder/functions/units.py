@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import EDGE, any_contained, first_match
+from .text import EDGE, any_contained, first_match, let
 from .values import CANONICAL_UNITS, CONTAINERS, CUTS, FORMATS, FORMS
 
 NUMBER = r"(\d+(?:[.,]\d+)?)"
@@ -139,25 +139,38 @@ def unit_price(name: Column, sale: Column, sub_category: Column, description: Co
     text = F.lower(F.concat(name, F.lit(" "), description))
     given = quantity.isNotNull() & (F.coalesce(unit, F.lit("")) != "")
     raw = F.coalesce(display, name)
-    pack_text = F.when(given, display).otherwise(F.when(raw.rlike(MULTI), raw).when(name.rlike(MULTI), name))
-    multi = F.coalesce(pack_text.rlike(MULTI), F.lit(False))
-    single_text = F.when(raw.rlike(SINGLE), raw).when(name.rlike(SINGLE), name)
-    single = ~given & ~multi & single_text.isNotNull()
-    per, per_unit = number(F.regexp_extract(pack_text, MULTI, 2)), unit_name(F.regexp_extract(pack_text, MULTI, 3))
-    count = F.regexp_extract(pack_text, MULTI, 1).try_cast("int")
-    one, one_unit = number(F.regexp_extract(single_text, SINGLE, 1)), unit_name(F.regexp_extract(single_text, SINGLE, 2))
-    pack = F.when(multi, count).when(given | single, 1)
-    each = lambda conv: F.when(multi, conv(per, per_unit)).when(given, conv(quantity, unit)).when(single, conv(one, one_unit))
-    total = lambda conv: F.when(given, conv(quantity, unit)).when(multi, conv(per, per_unit) * count).when(single, conv(one, one_unit))
-    ml, g = total(to_ml), total(to_g)
     schema = first_match([(sub_category == k, F.lit(v)) for k, v in CANONICAL_UNITS.items()])
-    canonical = F.coalesce(schema, F.when(ml.isNotNull(), "L").when(g.isNotNull(), "kg"))
-    value = F.when(canonical == "L", ml / 1000).when(canonical == "kg", g / 1000).when(canonical == "100g", g / 100).when(canonical == "piece", F.coalesce(pack, F.lit(1)).cast("double"))
-    value = F.when(value > 0, value)
-    return F.struct(
-        format_of(text).alias("format"), container_of(text).alias("container"), pack.alias("pack_size"), each(to_ml).alias("unit_volume_ml"), each(to_g).alias("unit_weight_g"), canonical.alias("canonical_unit"), value.alias("canonical_unit_value"), cents(sale / value).alias("price_per_unit")
+    # each step is bound once: the next ones use its parts many times
+    texts = F.struct(
+        F.when(given, F.when(display.rlike(MULTI), display)).otherwise(F.when(raw.rlike(MULTI), raw).when(name.rlike(MULTI), name)).alias("pack"),
+        F.when(~given, F.when(raw.rlike(SINGLE), raw).when(name.rlike(SINGLE), name)).alias("one"),
     )
 
+    def parse(t: Column) -> Column:
+        g = lambda k: F.regexp_extract(t["pack"], MULTI, k)
+        q = lambda k: F.regexp_extract(t["one"], SINGLE, k)
+        return F.struct(g(1).try_cast("int").alias("count"), number(g(2)).alias("per"), unit_name(g(3)).alias("per_unit"), number(q(1)).alias("one"), unit_name(q(2)).alias("one_unit"))
+
+    def measure(r: Column) -> Column:
+        multi, single = r["count"].isNotNull(), ~given & r["count"].isNull() & r["one"].isNotNull()
+        each = lambda conv: F.when(multi, conv(r["per"], r["per_unit"])).when(given, conv(quantity, unit)).when(single, conv(r["one"], r["one_unit"]))
+        total = lambda conv: F.when(given, conv(quantity, unit)).when(multi, conv(r["per"], r["per_unit"]) * r["count"]).when(single, conv(r["one"], r["one_unit"]))
+        pack = F.when(multi, r["count"]).when(given | single, 1)
+        return F.struct(pack.alias("pack"), each(to_ml).alias("each_ml"), each(to_g).alias("each_g"), total(to_ml).alias("ml"), total(to_g).alias("g"), schema.alias("schema"))
+
+    def canonical(p: Column) -> Column:
+        unit_of = F.coalesce(p["schema"], F.when(p["ml"].isNotNull(), "L").when(p["g"].isNotNull(), "kg"))
+        return let(unit_of, lambda u: F.struct(p.alias("p"), u.alias("unit"), F.when(u == "L", p["ml"] / 1000).when(u == "kg", p["g"] / 1000).when(u == "100g", p["g"] / 100).when(u == "piece", F.coalesce(p["pack"], F.lit(1)).cast("double")).alias("value")))
+
+    def row(c: Column) -> Column:
+        value = F.when(c["value"] > 0, c["value"])
+        p = c["p"]
+        return F.struct(
+            format_of(text).alias("format"), container_of(text).alias("container"), p["pack"].alias("pack_size"), p["each_ml"].alias("unit_volume_ml"), p["each_g"].alias("unit_weight_g"), c["unit"].alias("canonical_unit"), value.alias("canonical_unit_value"), cents(sale / value).alias("price_per_unit")
+        )
+
+    return let(let(let(let(texts, parse), measure), canonical), row)
+
 
 def date_range(c: Column) -> Column:
     """struct<a, b> of `dd.MM.yyyy - dd.MM.yyyy`; both or none."""

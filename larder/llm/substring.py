@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import blocks, fresh, materialize, release, text_key
+from .common import blocks, discard, fresh, materialize, release, text_key
 from .windows import PIECE_CLASSES, binary, grouped, spans_of
 
 WINDOW, GRAM, FANOUT = 13, 5, 2
@@ -203,11 +203,14 @@ def verify(df: DataFrame, found: DataFrame, id_col: str, text: str, window: int
             yield from table.append_column("s", pa.array(s.astype(np.int32))).append_column("e", pa.array(e.astype(np.int32))).to_batches()
 
     apart = materialize(spelled.mapInArrow(compare, f"fp long, cid long, least {kind}, s int, e int"), "substring-apart")
+    named = (inst, classes, apart)
     inst = inst.select("fp", "cid", "_id", "_h", "p").join(classes.select("fp", "cid", "least", (F.col("core") + window - 1).alias("n_words")), ["fp", "cid"])
     copies = inst.filter("_id > least").select("_id", "_h", F.struct(F.col("p").alias("s"), (F.col("p") + F.col("n_words")).alias("e")).alias("x"))
     firsts = inst.filter("_id = least").select("fp", "cid", "_id", "_h", "p").join(apart.select("fp", "cid", "s", "e"), ["fp", "cid"])
     firsts = firsts.select("_id", "_h", F.struct((F.col("p") + F.col("s")).alias("s"), (F.col("p") + F.col("e")).alias("e")).alias("x"))
-    return copies.unionByName(firsts).groupBy("_id", "_h").agg(F.collect_set("x").alias("spans"))
+    spans = materialize(copies.unionByName(firsts).groupBy("_id", "_h").agg(F.collect_set("x").alias("spans")), "substring-spans")
+    discard(*named)
+    return spans
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text: str = "text", batches: int = 2, window: int = WINDOW, kept: str = "kept", removed: str = "removed", index: FingerprintIndex | None = None) -> DataFrame:
@@ -228,7 +231,8 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text: str = "text", batch
         shared = got if shared is None else shared.unionByName(got)
     found = materialize(index.entries(shared.distinct()), "substring-found")
     index.drop()
-    spans = materialize(verify(df, found, id_col, text, window), "substring-spans")
+    spans = verify(df, found, id_col, text, window)
+    discard(found)
     key, h, at, said = fresh(df, "__id", "__h", "__spans", "__said")
     spans = spans.select(F.col("_id").alias(key), F.col("_h").alias(h), F.col("spans").alias(at))
     joined = df.join(spans.hint("merge"), df[id_col].eqNullSafe(spans[key]) & (text_key(df[text]) == spans[h]), "left").drop(key, h)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text, units
+from ..functions import text
 from ..functions import values as V
-from ..operators import compare, lists, read, resolve, suggest, verdict
+from ..operators import compare, ingest, lists, read, resolve, suggest, verdict
 from .queries import ACTIVE, CHEAPEST, INTERESTS, basket, cheapest, live, r6, register
 from .star import AS_OF, DEALS, NOW, WEEK, deals, interests, table
 
@@ -66,9 +66,11 @@ def st10_display_names(s, d):
 
 @register("SELECT deal_id, CASE line % 3 WHEN 0 THEN k || ' g' WHEN 1 THEN '6 x ' || (k::INT * 10) || ' ml' END AS pack, printf('%.2f', sale_price) || ' / x' AS price FROM (SELECT *, CASE line % 3 WHEN 1 THEN regexp_extract(product_name, '6x(\\d+)cl', 1) ELSE regexp_extract(product_name, '(\\d+)g$', 1) END AS k FROM live)".replace("\\\\", "\\"), DEALS, ACTIVE)
 def n11_pack_texts(s, d):
-    u = units.unit_price(F.col("product_name"), F.col("sale_price"), F.lit(None).cast("string"))
-    pack = text.let(u, lambda u: text.let(u["unit_volume_ml"], lambda ml: lists.pack_text(u["pack_size"], ml, u["unit_weight_g"])))
-    return live(s, d).select("deal_id", pack.alias("pack"), lists.per_unit_text(F.col("sale_price"), F.lit("x")).alias("price"))
+    al = live(s, d)
+    read_once = ingest.with_unit_price(al.select("product_name", F.lit(1.0).alias("p"), F.lit(None).cast("string").alias("none")).distinct(), "product_name", "p", "none")
+    packs = read_once.groupBy("product_name").agg(*(F.first(c).alias(c) for c in ("pack_size", "unit_volume_ml", "unit_weight_g")))
+    pack = lists.pack_text(F.col("pack_size"), F.col("unit_volume_ml"), F.col("unit_weight_g"))
+    return al.join(packs, "product_name").select("deal_id", pack.alias("pack"), lists.per_unit_text(F.col("sale_price"), F.lit("x")).alias("price"))
 
 
 @register()
