@@ -270,9 +270,9 @@ def links(df: DataFrame, labels: DataFrame, id_col: str, text: str, threshold: f
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """id_col, class_id, n_copies, n_links, and c (names the text): one row per row of df.
+    """id_col, class_id, n_copies, n_links, c (names the text) and label (names the class): one row per row of df.
 
-    class_id: the smallest id of all texts that links and copies connect. n_copies: rows of the same text.
+    label: the smallest c of all texts that links and copies connect; class_id: their smallest id, which other classes may share. n_copies: rows of the same text.
     n_links: other texts that reach the threshold with this one.
     """
     prints = materialize(sign(df, id_col, text), "near-prints")
@@ -284,21 +284,24 @@ def join(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: f
     counts = found.groupBy("c").agg(F.sum("n").alias("n_links"))
     final = components(found.filter("c <> parent").select(F.col("parent").alias("a"), F.col("c").alias("b")))
     heads = final.join(classes.select("c", "rep"), final["v"] == classes["c"]).select("c", "label", "rep")
-    heads = heads.join(heads.groupBy("label").agg(F.min("rep").alias("head")), "label").select("c", "head")
+    heads = heads.join(heads.groupBy("label").agg(F.min("rep").alias("head")), "label").select("c", "label", "head")
     known = classes.select("c", "rep", "n_copies").join(counts, "c", "left").join(heads, "c", "left")
-    known = known.select("c", F.coalesce("head", "rep").alias("class"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    known = known.select("c", F.coalesce("label", "c").alias("label"), F.coalesce("head", "rep").alias("class"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = prints.select("_id", "c").join(known, "c", "left")
     return out.select(
-        F.col("_id").alias(id_col), F.when(F.col("c").isNull(), F.col("_id")).otherwise(F.col("class")).alias("class_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "c"
+        F.col("_id").alias(id_col), F.when(F.col("c").isNull(), F.col("_id")).otherwise(F.col("class")).alias("class_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "c", "label"
     )
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of df that are the first of their class, all columns kept; rows of texts without words stay."""
-    info = join(df, id_col, text, threshold).filter("c is not null").select("c", "class_id", F.col(id_col).alias("id"))
-    heads = info.filter("id <=> class_id").groupBy("class_id", "c").agg(F.count("*").alias("n"))
+    """The rows of df that are the first of their class, all columns kept; rows of texts without words stay.
+
+    The first has the smallest id (null only if all are), then the smallest digest of its text.
+    """
+    info = join(df, id_col, text, threshold).filter("c is not null").select("label", "c", "class_id", F.col(id_col).alias("id"))
+    heads = info.filter("id <=> class_id").groupBy("label", "class_id", "c").agg(F.count("*").alias("n"))
     head, name, n, k = fresh(df, "__head", "__name", "__n", "__k")
-    first = heads.groupBy("class_id").agg(F.min(F.struct("c", "n")).alias("f")).select(F.col("class_id").alias(head), F.col("f.c").alias(name), F.col("f.n").alias(n))
+    first = heads.groupBy("label", "class_id").agg(F.min(F.struct("c", "n")).alias("f")).select(F.col("class_id").alias(head), F.col("f.c").alias(name), F.col("f.n").alias(n))
     first = materialize(first, "near-first")
     wordless = F.trim(F.translate(F.coalesce(F.col(text), F.lit("")), "\t\n\x0b\x0c\r", "     ")) == ""
     named = df.withColumn(k, F.when(~wordless, F.unhex(F.md5(F.col(text).cast("binary")))))

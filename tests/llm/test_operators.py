@@ -191,6 +191,15 @@ def test_near_odd_rows(spark, odd, none):
     assert near.join(none).count() == 0 and near.keep_one(none).count() == 0
 
 
+def test_one_of_each_class_stays_under_null_and_repeated_ids(spark):
+    base = prose(5, 120).split()
+    close = [" ".join(base[:k] + [f"w{k}"] + base[k + 1 :]) for k in (20, 50, 80)]
+    rows = [(1, prose(60, 50)), (1, prose(61, 50)), (1, prose(61, 50)), (1, close[0]), (2, close[1]), (None, close[2])]
+    rows += [(None, prose(62, 50)), (None, prose(63, 50)), (None, prose(63, 50)), (None, prose(64, 50)), (4, prose(64, 50)), (None, None), (1, None)]
+    kept = Counter(map(tuple, near.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert kept == Counter([(1, prose(60, 50)), (1, prose(61, 50)), (1, close[0]), (None, prose(62, 50)), (None, prose(63, 50)), (4, prose(64, 50)), (None, None), (1, None)])
+
+
 def test_pruning_keeps_what_may_be_similar():
     least = near.least_matches(16, 96, 0.8, 1e-6)
     assert all(a < b for a, b in zip(least, least[1:])) and least[-1] < 0.8 * 96
