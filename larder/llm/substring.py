@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import blocks, discard, fresh, materialize, release, text_key
-from .windows import PIECE_CLASSES, binary, grouped, spans_of
+from .windows import PIECE_CLASSES, binary, digest, grouped, spans_of
 
 WINDOW, GRAM, FANOUT = 13, 5, 2
 
@@ -114,7 +114,8 @@ def verify(df: DataFrame, found: DataFrame, id_col: str, text: str, window: int
     """(_id, _h, spans of words) of the windows that start in a document of a smaller id. found: (fp, id) to look at.
 
     First the chunks are named (fp, cid), without their words: a chunk that a smaller id has too goes whole. Only fingerprints
-    with several different chunks need words; each of these comes once, from the document of its smallest id.
+    with several different chunks need words; each of these comes once, from the document of its smallest id. Of crowded
+    fingerprints each window comes as a row with its digest, and the smallest id of a digest is found by grouping.
     """
     width = window - gram + 1
     wanted = found.groupBy("id").agg(F.collect_set("fp").alias("fps"))
@@ -142,8 +143,8 @@ def verify(df: DataFrame, found: DataFrame, id_col: str, text: str, window: int
     inst = materialize(hold.mapInArrow(name, f"_id {kind}, _h long, fp long, cid long, p int, core int"), "substring-chunks")
     classes = materialize(inst.groupBy("fp", "cid").agg(F.min("_id").alias("least"), F.any_value("core").alias("core")), "substring-classes")
 
-    sizes = classes.groupBy("fp").agg(F.count("*").alias("m")).filter("m > 1").select("fp", F.ceil(F.col("m") / PIECE_CLASSES).cast("int").alias("pieces"))
-    several = classes.join(sizes, "fp").groupBy("least").agg(F.collect_list(F.struct("fp", "cid", "pieces")).alias("need"))
+    sizes = classes.groupBy("fp").agg(F.count("*").alias("m")).filter("m > 1").select("fp", (F.col("m") > PIECE_CLASSES).alias("crowded"))
+    several = classes.join(sizes, "fp").groupBy("least").agg(F.collect_list(F.struct("fp", "cid", "crowded")).alias("need"))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,29 +159,34 @@ def verify(df: DataFrame, found: DataFrame, id_col: str, text: str, window: int
                 at = np.minimum(np.searchsorted(asked[order], mine), max(0, len(asked) - 1))
                 keep = np.flatnonzero(asked[order][at] == mine) if len(asked) else np.zeros(0, dtype=np.int64)
                 keep = keep[np.unique(mine[keep], return_index=True)[1]]  # a text may have a chunk twice
-                pieces = flat.field("pieces").to_numpy()[order][at[keep]]
+                crowded = flat.field("crowded").to_numpy(zero_copy_only=False)[order][at[keep]].astype(bool)
                 raw = buf.tobytes()
-                body = [b" ".join(raw[s:e].split()) for s, e in zip(starts[a[keep]].tolist(), ends[b[keep] - 1 + window - 1].tolist())]
-                rep = np.repeat(np.arange(len(keep)), pieces)
-                piece = np.arange(len(rep)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                columns = [pa.array(fp[keep]), pa.array(cid[keep]), batch["_id"].take(pa.array(owner[keep] + lo)), pa.array((b - a)[keep].astype(np.int32)), pa.array(pieces.astype(np.int32)), pa.array(body, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rep)) for c in columns), pa.array(piece.astype(np.int32))], ["fp", "cid", "least", "core", "pieces", "chunk", "piece"])
+                spelled = lambda i, j: b" ".join(raw[starts[i] : ends[j]].split())
+                # a row for each chunk, or for each window of a crowded one
+                many = np.where(crowded, (b - a)[keep], 1)
+                rep = np.repeat(np.arange(len(keep)), many)
+                s = np.arange(len(rep)) - np.repeat(np.cumsum(many) - many, many)
+                at, apart = keep[rep], crowded[rep]
+                core = np.where(apart, 1, (b - a)[at])
+                body = [spelled(i, i + c - 1 + window - 1) for i, c in zip((a[at] + s).tolist(), core.tolist())]
+                chunk = pa.array([None if x else t for t, x in zip(body, apart.tolist())], pa.binary())
+                w = pa.array([digest(t) if x else None for t, x in zip(body, apart.tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.array(cid[at]), batch["_id"].take(pa.array(owner[at] + lo)), pa.array(core.astype(np.int32)), pa.array(s.astype(np.int32)), chunk, w], ["fp", "cid", "least", "core", "s", "chunk", "w"])
 
     held = base.join(several.hint("merge"), base["_id"] == several["least"]).select("_id", "_t", "need")
-    spelled = held.mapInArrow(spell, f"fp long, cid long, least {kind}, core int, pieces int, chunk binary, piece int").repartition("fp", "piece").sortWithinPartitions("fp", "piece")
+    spelled = materialize(held.mapInArrow(spell, f"fp long, cid long, least {kind}, core int, s int, chunk binary, w binary"), "substring-spelled")
+    meeting = spelled.filter("w is null").select("fp", "cid", "least", "core", "chunk").repartition("fp").sortWithinPartitions("fp")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches):
             bodies = binary(rows["chunk"])
             buf, at = K.pack(bodies)
             starts, ends, bounds = K.words(buf, at)
-            cores, pieces, piece, least = (rows[c].to_numpy() for c in ("core", "pieces", "piece", "least"))
+            cores, least = rows["core"].to_numpy(), rows["least"].to_numpy()
             w = K.ranges(K.prefix_hashes(buf), starts, ends)
             h = K.grams(w, window)
             owner = np.repeat(np.arange(len(bodies)), cores)
             win = np.arange(len(owner)) - np.repeat(np.cumsum(cores) - cores, cores) + bounds[owner]
-            mine = (K.mix(w[win]) % pieces[owner].astype(np.uint64)).astype(np.int64) == piece[owner]
-            owner, win = owner[mine], win[mine]
             order = np.lexsort((least[owner], h[win]))
             owner, win = owner[order], win[order]
             hh = h[win]
@@ -202,8 +208,11 @@ def verify(df: DataFrame, found: DataFrame, id_col: str, text: str, window: int
             table = rows.select(["fp", "cid", "least"]).take(pa.array(o)).combine_chunks()
             yield from table.append_column("s", pa.array(s.astype(np.int32))).append_column("e", pa.array(e.astype(np.int32))).to_batches()
 
-    apart = materialize(spelled.mapInArrow(compare, f"fp long, cid long, least {kind}, s int, e int"), "substring-apart")
-    named = (inst, classes, apart)
+    alone = spelled.filter("w is not null").select("fp", "w", "cid", "least", "s")
+    heads = alone.groupBy("fp", "w").agg(F.min("least").alias("head"), F.count("*").alias("n")).filter("n > 1").select("fp", "w", "head")
+    later = alone.join(heads, ["fp", "w"]).filter("least > head").select("fp", "cid", "least", "s", (F.col("s") + window).alias("e"))
+    apart = materialize(meeting.mapInArrow(compare, f"fp long, cid long, least {kind}, s int, e int").unionByName(later), "substring-apart")
+    named = (inst, classes, spelled, apart)
     inst = inst.select("fp", "cid", "_id", "_h", "p").join(classes.select("fp", "cid", "least", (F.col("core") + window - 1).alias("n_words")), ["fp", "cid"])
     copies = inst.filter("_id > least").select("_id", "_h", F.struct(F.col("p").alias("s"), (F.col("p") + F.col("n_words")).alias("e")).alias("x"))
     firsts = inst.filter("_id = least").select("fp", "cid", "_id", "_h", "p").join(apart.select("fp", "cid", "s", "e"), ["fp", "cid"])

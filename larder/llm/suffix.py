@@ -8,7 +8,8 @@ what is removed is decided by suffix arrays of the chunks.
 How it is sorted.  Two-stage sorting, to a depth of LENGTH bytes: only suffixes that are smaller than their successors are
 sorted directly (by eight bytes, then, among equals, by comparing the rest); the others are induced from their successors by
 one scan over the buckets of first bytes, in order. Then neighbours in the array are compared: a common prefix of LENGTH
-bytes marks both.
+bytes marks both. Fingerprints with too many different chunks for one task are crowded (windows.py): their windows are
+compared by digests, as far as the smallest grams of both sides of a window also come twice.
 
 Null text is empty. Texts shorter than LENGTH keep everything. Equal texts, also of repeated rows, are copies of each other.
 All occurrences are judged on the input and all are removed. No rows give no rows.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import blocks, fresh, materialize, text_key
-from .windows import binary, document_spans, grouped, lists, spans_of, with_pieces
+from .windows import binary, by_crowding, digest, document_spans, grouped, lists, spans_of
 
 LENGTH, GRAM = 400, 32
 
@@ -159,16 +160,11 @@ def find_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", length
             size = np.array([len(b) for b in bodies])
             at = 1 + np.cumsum(size) - size
             buf = np.frombuffer(b"\0" + b"".join(bodies) + bytes(length + 8), dtype=np.uint8)
-            cores, pieces, piece = (rows[c].to_numpy() for c in ("core", "pieces", "piece"))
+            cores = rows["core"].to_numpy()
             core = np.zeros(len(buf) + 1, dtype=np.int64)
             core[at] += 1
             core[at + cores] -= 1
             core = np.cumsum(core[:-1]) > 0
-            if (pieces > 1).any():
-                owner = np.searchsorted(at, np.arange(len(buf)), side="right") - 1
-                pos = np.flatnonzero(core & (pieces[owner] > 1))
-                begins = np.lib.stride_tricks.sliding_window_view(buf, 8)[pos].copy().view("<u8").reshape(-1)
-                core[pos] = K.mix(begins) % pieces[owner[pos]].astype(np.uint64) == piece[owner[pos]].astype(np.uint64)
             hits = repeated(buf, core, length)
             owner = np.searchsorted(at, hits, side="right") - 1
             alone = rows["n"].to_numpy()[owner] == 1  # all of the others goes anyway
@@ -179,7 +175,45 @@ def find_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", length
             whole = rows.select(["fp", "cid"]).take(pick).combine_chunks()
             yield from whole.append_column("s", pa.array(s.astype(np.int32))).append_column("e", pa.array(e.astype(np.int32))).to_batches()
 
-    sorted_out = with_pieces(classes, "n = 1").mapInArrow(compare, "fp long, cid long, s int, e int")
+    def cut_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        side = max(1, width // 4)
+        for batch in batches:
+            bodies, cores = binary(batch["chunk"]), batch["core"].to_numpy()
+            for lo, hi in blocks(map(len, bodies)):
+                h, first, _, _ = _windows(bodies[lo:hi], length, gram)
+                least = K.window_argmin(h, side)
+                n = cores[lo:hi]
+                owner = np.repeat(np.arange(hi - lo), n)
+                s = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+                win = first[owner] + s
+                key = K.mix(h[least[win]] ^ K.mix(h[least[win + width - side]]))
+                new = np.ones(len(key), dtype=bool)
+                new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+                at = np.flatnonzero(new)
+                e = s[np.append(at[1:], len(s)) - 1] + 1
+                pick = pa.array(owner[at] + lo)
+                yield pa.RecordBatch.from_arrays([batch["fp"].take(pick), batch["cid"].take(pick), pa.array(key[at].view(np.int64)), pa.array(s[at].astype(np.int32)), pa.array(e.astype(np.int32))], ["fp", "cid", "key", "s", "e"])
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                s = [k for run in row["runs"] for k in range(run["s"], run["e"])]
+                w = [digest(row["chunk"][k : k + length]) for k in s]
+                for k in range(0, len(s), 4096):
+                    m = len(s[k : k + 4096])
+                    yield pa.RecordBatch.from_arrays([pa.array([row["fp"]] * m, pa.int64()), pa.array([row["cid"]] * m, pa.int64()), pa.array([row["n"]] * m, pa.int64()), pa.array(s[k : k + 4096], pa.int32()), pa.array(w[k : k + 4096], pa.binary())], ["fp", "cid", "n", "s", "w"])
+
+    few, crowded = by_crowding(classes, "n = 1")
+    sorted_out = few.mapInArrow(compare, "fp long, cid long, s int, e int")
+    # of crowded fingerprints: runs of windows alike at both sides, then the windows of runs that are found twice, by digest
+    runs = materialize(crowded.select("fp", "cid", "core", "chunk").mapInArrow(cut_again, "fp long, cid long, key long, s int, e int"), "suffix-runs")
+    twice = runs.join(runs.groupBy("fp", "key").agg(F.count("*").alias("m")).filter("m > 1").select("fp", "key"), ["fp", "key"])
+    asked = twice.groupBy("fp", "cid").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
+    windows = crowded.select("fp", "cid", "n", "chunk").join(asked, ["fp", "cid"]).mapInArrow(name, "fp long, cid long, n long, s int, w binary")
+    windows = materialize(windows, "suffix-windows")
+    again = windows.groupBy("fp", "w").agg(F.count("*").alias("m")).filter("m > 1").select("fp", "w")
+    hits = windows.filter("n = 1").join(again, ["fp", "w"]).select("fp", "cid", "s", (F.col("s") + length).alias("e"))
+    sorted_out = sorted_out.unionByName(hits)
     all_of = classes.filter("n > 1").select("fp", "cid", F.lit(0).alias("s"), F.octet_length("chunk").cast("int").alias("e"))
     return document_spans(chunks.select("fp", "cid", "_id", "_h", "p"), sorted_out.unionByName(all_of))
 

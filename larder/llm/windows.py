@@ -2,12 +2,13 @@
 
 Equal windows have equal fingerprints (kernels.fingerprints), so it is enough to bring the windows of one fingerprint
 together. A chunk is a run of windows of one text that share their fingerprint, with the text they cover; equal chunks form
-a class, of which one copy is compared. A fingerprint of very many classes is cut into pieces by a hash of how a window
-begins; each piece gets the chunks and looks at its own windows only.
+a class, of which one copy is compared. A fingerprint of very many classes is crowded: its chunks do not meet, but each
+window comes as a row of its own with a digest of its content, and Spark groups those, so no task holds the fingerprint.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -15,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Classes of a fingerprint that one piece compares.
+from .common import materialize
+
+#: Classes of a fingerprint that one task compares; with more it is crowded.
 PIECE_CLASSES = 2048
 #: Bytes of chunks compared at once in a task.
 BATCH_BYTES = 1 << 21
@@ -32,19 +35,24 @@ def lists(owner: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), pa.array(values))
 
 
-def with_pieces(classes: DataFrame, undecided: str = "false") -> DataFrame:
-    """Classes (fp, cid, ...) of fingerprints that have several, a row for each piece, sorted by fp and piece within partitions.
+def by_crowding(classes: DataFrame, undecided: str = "false") -> tuple[DataFrame, DataFrame]:
+    """Classes (fp, cid, ...) of fingerprints that have several, sorted by fp within partitions; and those of crowded ones.
 
-    undecided: which classes must be looked at even if they are their fingerprint's only one.
+    undecided: which classes must be looked at even if they are their fingerprint's only one. The list of crowded fingerprints
+    has at most a row for every PIECE_CLASSES classes and is broadcast, so their classes stay where they are.
     """
-    sizes = classes.groupBy("fp").agg(F.count("*").alias("_m"), F.max(F.expr(undecided)).alias("_u")).filter("_m > 1 or _u").drop("_u")
-    some = classes.join(sizes, "fp").withColumn("pieces", F.ceil(F.col("_m") / PIECE_CLASSES).cast("int")).drop("_m")
-    some = some.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    return some.repartition("fp", "piece").sortWithinPartitions("fp", "piece")
+    sizes = classes.groupBy("fp").agg(F.count("*").alias("_m"), F.max(F.expr(undecided)).alias("_u"))
+    crowd = F.broadcast(materialize(sizes.filter(F.col("_m") > PIECE_CLASSES).select("fp"), "windows-crowd"))
+    few = classes.join(crowd, "fp", "left_anti").join(sizes.filter("_m > 1 or _u").select("fp"), "fp")
+    return few.repartition("fp").sortWithinPartitions("fp"), classes.join(crowd, "fp", "left_semi")
+
+
+def digest(window: bytes) -> bytes:
+    return hashlib.md5(window, usedforsecurity=False).digest()
 
 
 def grouped(batches: Iterable[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iterator[pa.Table]:
-    """Tables of whole (fp, piece) groups, of about limit bytes of chunks or one group."""
+    """Tables of whole groups of a fingerprint, of about limit bytes of chunks or one group."""
     held: list[pa.Table] = []
     size = 0
     for batch in batches:
@@ -56,8 +64,8 @@ def grouped(batches: Iterable[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iter
         if size < limit:
             continue
         whole = pa.concat_tables(held)
-        fp, piece = whole["fp"].to_numpy(), whole["piece"].to_numpy()
-        change = np.flatnonzero((fp[1:] != fp[:-1]) | (piece[1:] != piece[:-1]))
+        fp = whole["fp"].to_numpy()
+        change = np.flatnonzero(fp[1:] != fp[:-1])
         if len(change):
             cut = int(change[-1]) + 1
             yield whole.slice(0, cut)

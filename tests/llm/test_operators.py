@@ -100,6 +100,30 @@ def test_crowded_fingerprints_are_cut_into_pieces(spark, monkeypatch):
     assert Counter(map(tuple, got)) == brute.suffix(rows, 100)
 
 
+def test_no_task_holds_a_crowded_fingerprint(spark, monkeypatch):
+    """Passages shorter than a window, and little longer, each in other surroundings."""
+    import larder.llm.windows as W
+
+    def bounded(batches):
+        for rows in W.grouped(batches):
+            if max(Counter(rows["fp"].to_pylist()).values()) > 4:
+                raise ValueError("more classes of a fingerprint than a task may hold")
+            yield rows
+
+    short, window, long = prose(7, 9), prose(8, 14), prose(9, 25)
+    rows = [(k, " ".join([prose(300 + k, 20), short, prose(400 + k, 20), window, prose(500 + k, 20), long, prose(600 + k, 20)])) for k in range(30)]
+    rows += [(50, f"{window} {prose(700, 20)} {window}"), (51, " ".join([short] * 9)), (52, rows[3][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for module in (substring, W):
+        monkeypatch.setattr(module, "PIECE_CLASSES", 4)
+    for module in (substring, suffix):
+        monkeypatch.setattr(module, "grouped", bounded)
+    got = substring.deduplicate(df).select("doc_id", "n_words", removed(), F.sha2("kept", 256)).collect()
+    assert Counter(map(tuple, got)) == brute.substring(rows)
+    got = suffix.drop_repeats(df, length=100).select("doc_id", F.octet_length("text"), removed(), F.size("removed"), F.sha2("kept", 256)).collect()
+    assert Counter(map(tuple, got)) == brute.suffix(rows, 100)
+
+
 # --- 2: neighbours
 
 
