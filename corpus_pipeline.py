@@ -31,9 +31,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes byte strings that occur more than once from the texts; documents stay."""
+    """Removes strings of suffix.PASSAGE bytes, about fifty words, that occur more than once from the texts; documents stay."""
     tune(spark)
-    return suffix.strip_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return suffix.strip_repeats(docs, length=suffix.PASSAGE).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,6 @@ rows as long as the other side has one row per key.
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -17,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on; a longer text makes a block of its own.
 BLOCK_BYTES = 1 << 19
+#: Keys that join_crowded broadcasts at most.
+HOT_KEYS = 10_000
 
 
 def tune(spark: SparkSession) -> None:
@@ -26,11 +27,14 @@ def tune(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; one of our own only where none is set, as in tests."""
+    """The shared folder named in spark.checkpoint.dir, or the session's checkpoint folder.
+
+    Where neither is set: a folder of the warehouse, which drivers and executors share as they share tables.
+    """
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     base = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
     if not base:
-        base = tempfile.mkdtemp(prefix="larder-")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/larder-scratch"
         spark.sparkContext.setCheckpointDir(base)
     return base
 
@@ -57,6 +61,19 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def join_crowded(left: DataFrame, right: DataFrame, keys: list[str], rows: str) -> DataFrame:
+    """Inner join of left with right, which has one row per key and, in `rows`, how many rows of left have it.
+
+    Keys that hold more than one in HOT_KEYS of left's rows, of which there are fewer than HOT_KEYS, come by broadcast, so
+    their rows stay where they are; all others meet by a merge join. right is read twice: it should be materialized.
+    """
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    hot = F.col(rows) * HOT_KEYS > total
+    few = right.filter(hot).drop(rows)
+    rest = left.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(right.filter(~hot).drop(rows).hint("merge"), keys)
+    return left.join(F.broadcast(few), keys).select(*rest.columns).unionByName(rest)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of finished steps now, not at the driver's next collection."""
     gc.collect()

@@ -57,15 +57,20 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per document: what is left of it without byte strings that occur twice."""
+    """A row per document: what is left of it without strings of 400 bytes that occur twice.
+
+    n_passage: bytes covered by strings of suffix.PASSAGE bytes that occur twice; passages shorter than 400 bytes show there.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = suffix.drop_repeats(docs)
+    out = suffix.drop_repeats(docs, passage=suffix.PASSAGE)
+    covered = lambda runs: F.aggregate(runs, F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
     return out.select(
         "doc_id",
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
-        F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"]).alias("n_removed"),
+        covered("removed").alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        covered("passages").alias("n_passage"),
     )
 
 

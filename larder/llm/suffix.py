@@ -7,12 +7,16 @@ what is removed is decided by suffix arrays of the chunks.
 
 How it is sorted.  Two-stage sorting, to a depth of LENGTH bytes: only suffixes that are smaller than their successors are
 sorted directly (by eight bytes, then, among equals, by comparing the rest); the others are induced from their successors by
-one scan over the buckets of first bytes, in order. Then neighbours in the array are compared: a common prefix of LENGTH
-bytes marks both. Fingerprints with too many different chunks for one task are crowded (windows.py): their windows are
-compared by digests, as far as the smallest grams of both sides of a window also come twice.
+one scan over the buckets of first bytes, in order. Then the common prefixes of neighbours in the array are computed: one of
+LENGTH bytes marks both. Equal chunks enter the array once, known by 128 bits of their SHA-256. Fingerprints with too many
+different chunks for one task are crowded (windows.py): their windows are compared by digests, as far as the smallest grams
+of both sides of a window also come twice.
 
-Null text is empty. Texts shorter than LENGTH keep everything. Equal texts, also of repeated rows, are copies of each other.
-All occurrences are judged on the input and all are removed. No rows give no rows.
+Several lengths may be asked at once: fingerprints are those of the shortest, chunks reach as far as the longest, and one
+array serves all. PASSAGE is the length of a short passage, fifty words of five bytes with their spaces.
+
+Null text is empty. Texts shorter than the length keep everything. Equal texts, also of repeated rows, are copies of each
+other. All occurrences are judged on the input and all are removed. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -25,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import blocks, fresh, materialize, text_key
+from .common import blocks, discard, fresh, join_crowded, materialize, text_key
 from .windows import binary, by_crowding, digest, document_spans, grouped, lists, spans_of
 
-LENGTH, GRAM = 400, 32
+LENGTH, PASSAGE, GRAM = 400, 250, 32
 
 
 def sort_direct(buf: np.ndarray, raw: bytes, at: np.ndarray, depth: int) -> np.ndarray:
@@ -88,16 +92,25 @@ def suffix_array(buf: np.ndarray, core: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(out) if out else none
 
 
-def repeated(buf: np.ndarray, core: np.ndarray, depth: int) -> np.ndarray:
-    """The core positions whose next depth bytes also start at another core position, ascending."""
-    sa = suffix_array(buf, core, depth)
-    a, b = sa[:-1], sa[1:]
+def common_prefixes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """Length of the common prefix of buf[a:] and buf[b:], up to depth. buf has depth + 8 bytes after the last of either."""
     eight = np.lib.stride_tricks.sliding_window_view(buf, 8)
-    for off in (0, depth - 8, depth // 2 - 4):
-        same_here = (eight[a + off] == eight[b + off]).all(axis=1)
-        a, b = a[same_here], b[same_here]
-    raw = buf.tobytes()
-    equal = np.fromiter((raw[i : i + depth] == raw[j : j + depth] for i, j in zip(a.tolist(), b.tolist())), dtype=bool, count=len(a))
+    out = np.full(len(a), depth, dtype=np.int64)
+    alive = np.arange(len(a))
+    for off in range(0, depth, 8):
+        differ = eight[a[alive] + off] != eight[b[alive] + off]
+        end = differ.any(axis=1)
+        out[alive[end]] = np.minimum(depth, off + differ[end].argmax(axis=1))
+        alive = alive[~end]
+        if not len(alive):
+            break
+    return out
+
+
+def repeated(buf: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
+    """The positions of a suffix array whose next length bytes also start at another of them, ascending."""
+    a, b = sa[:-1], sa[1:]
+    equal = common_prefixes(buf, a, b, length) >= length
     return np.unique(np.concatenate([a[equal], b[equal]]))
 
 
@@ -108,10 +121,11 @@ def _windows(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np
     return K.grams(buf, gram), first, last, at
 
 
-def find_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(_id, _h, spans: array<struct<s, e>> of bytes, overlapping) of the documents that lose something."""
-    gram = min(gram, length)
-    width = length - gram + 1
+def find_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", lengths: tuple[int, ...] = (LENGTH,), gram: int = GRAM) -> DataFrame:
+    """(_id, _h, spans: array<struct<n, s, e>>) of the documents that repeat something: for each length n, what is covered, in bytes; overlapping."""
+    least, most = min(lengths), max(lengths)
+    gram = min(gram, least)
+    width = least - gram + 1
     base = df.select(F.col(id_col).alias("_id"), text_key(text).alias("_h"), F.col(text).alias("_t"))
     kind = base.schema["_id"].dataType.simpleString()
 
@@ -119,7 +133,7 @@ def find_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", length
         for batch in batches:
             texts = binary(batch["_t"])
             for lo, hi in blocks(map(len, texts)):
-                h, first, last, _ = _windows(texts[lo:hi], length, gram)
+                h, first, last, _ = _windows(texts[lo:hi], least, gram)
                 owner, fp = K.least_positions(h, width, first, last)
                 order = np.lexsort((fp, owner))
                 owner, fp = owner[order], fp[order]
@@ -129,9 +143,9 @@ def find_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", length
                 rows = pa.RecordBatch.from_arrays([batch["_id"].slice(lo, hi - lo), batch["_h"].slice(lo, hi - lo), lists(owner, fp, hi - lo)], ["_id", "_h", "fps"])
                 yield rows.filter(pa.array(np.isin(np.arange(hi - lo), owner)))
 
-    seen = materialize(base.filter(F.octet_length("_t") >= length).mapInArrow(gather, f"_id {kind}, _h long, fps array<long>"), "suffix-prints")
-    often = seen.select(F.explode("fps").alias("fp")).groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
-    found = seen.select("_id", "_h", F.explode("fps").alias("fp")).join(often, "fp").groupBy("_id", "_h").agg(F.collect_set("fp").alias("fps"))
+    seen = materialize(base.filter(F.octet_length("_t") >= least).mapInArrow(gather, f"_id {kind}, _h long, fps array<long>"), "suffix-prints")
+    often = materialize(seen.select(F.explode("fps").alias("fp")).groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1"), "suffix-often")
+    found = join_crowded(seen.select("_id", "_h", F.explode("fps").alias("fp")), often, ["fp"], "n").groupBy("_id", "_h").agg(F.collect_set("fp").alias("fps"))
     found = found.withColumnsRenamed({"_id": "_id2", "_h": "_h2"})
     hold = base.join(found.hint("merge"), base["_id"].eqNullSafe(found["_id2"]) & (base["_h"] == found["_h2"])).select("_id", "_h", "_t", "fps")
 
@@ -139,54 +153,61 @@ def find_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", length
         for batch in batches:
             texts = binary(batch["_t"])
             for lo, hi in blocks(map(len, texts)):
-                h, first, last, at = _windows(texts[lo:hi], length, gram)
+                h, first, last, at = _windows(texts[lo:hi], least, gram)
                 owner, start, end, fp = K.fingerprints(h, width, first, last)
                 wanted = batch["fps"].slice(lo, hi - lo)
                 keep = K.member(owner, fp, np.repeat(np.arange(hi - lo), wanted.value_lengths().to_numpy()), wanted.flatten().to_numpy())
                 owner, start, end, fp = owner[keep], start[keep], end[keep], fp[keep]
                 p = start - at[owner]
                 core = end - start
-                body = [texts[lo + k][a : a + c - 1 + length] for k, a, c in zip(owner.tolist(), p.tolist(), core.tolist())]
+                body = [texts[lo + k][a : a + c - 1 + most] for k, a, c in zip(owner.tolist(), p.tolist(), core.tolist())]
                 pick = pa.array(owner + lo)
                 yield pa.RecordBatch.from_arrays([batch["_id"].take(pick), batch["_h"].take(pick), pa.array(fp), pa.array(p.astype(np.int32)), pa.array(core.astype(np.int32)), pa.array(body, pa.binary())], ["_id", "_h", "fp", "p", "core", "chunk"])
 
-    chunks = hold.mapInArrow(cut, f"_id {kind}, _h long, fp long, p int, core int, chunk binary").withColumn("cid", F.xxhash64("chunk"))
+    chunks = hold.mapInArrow(cut, f"_id {kind}, _h long, fp long, p int, core int, chunk binary").withColumn("cid", F.substring(F.unhex(F.sha2("chunk", 256)), 1, 16))
     chunks = materialize(chunks, "suffix-chunks")
+    discard(seen, often)
     classes = materialize(chunks.groupBy("fp", "cid").agg(F.count("*").alias("n"), F.any_value("core").alias("core"), F.any_value("chunk").alias("chunk")), "suffix-classes")
+    places = materialize(chunks.select("fp", "cid", "_id", "_h", "p"), "suffix-places")
+    discard(chunks)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches):
             bodies = binary(rows["chunk"])
             size = np.array([len(b) for b in bodies])
             at = 1 + np.cumsum(size) - size
-            buf = np.frombuffer(b"\0" + b"".join(bodies) + bytes(length + 8), dtype=np.uint8)
+            buf = np.frombuffer(b"\0" + b"".join(bodies) + bytes(most + 8), dtype=np.uint8)
             cores = rows["core"].to_numpy()
             core = np.zeros(len(buf) + 1, dtype=np.int64)
             core[at] += 1
             core[at + cores] -= 1
-            core = np.cumsum(core[:-1]) > 0
-            hits = repeated(buf, core, length)
-            owner = np.searchsorted(at, hits, side="right") - 1
-            alone = rows["n"].to_numpy()[owner] == 1  # all of the others goes anyway
-            hits, owner = hits[alone], owner[alone]
-            s = hits - at[owner]
-            s, e, owner = spans_of(s, s + length, owner)
-            pick = pa.array(owner)
-            whole = rows.select(["fp", "cid"]).take(pick).combine_chunks()
-            yield from whole.append_column("s", pa.array(s.astype(np.int32))).append_column("e", pa.array(e.astype(np.int32))).to_batches()
+            sa = suffix_array(buf, np.cumsum(core[:-1]) > 0, most)
+            of = np.searchsorted(at, sa, side="right") - 1
+            left = at[of] + size[of] - sa  # bytes of its own chunk from here on
+            alone = rows["n"].to_numpy() == 1  # all of the others goes anyway
+            for n in lengths:
+                hits = repeated(buf, sa[left >= n], n)
+                owner = np.searchsorted(at, hits, side="right") - 1
+                hits, owner = hits[alone[owner]], owner[alone[owner]]
+                s = hits - at[owner]
+                s, e, owner = spans_of(s, s + n, owner)
+                whole = rows.select(["fp", "cid"]).take(pa.array(owner)).combine_chunks()
+                for name, x in (("len", np.full(len(s), n)), ("s", s), ("e", e)):
+                    whole = whole.append_column(name, pa.array(x.astype(np.int32)))
+                yield from whole.to_batches()
 
     def cut_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = max(1, width // 4)
         for batch in batches:
             bodies, cores = binary(batch["chunk"]), batch["core"].to_numpy()
             for lo, hi in blocks(map(len, bodies)):
-                h, first, _, _ = _windows(bodies[lo:hi], length, gram)
-                least = K.window_argmin(h, side)
+                h, first, _, _ = _windows(bodies[lo:hi], least, gram)
+                low = K.window_argmin(h, side)
                 n = cores[lo:hi]
                 owner = np.repeat(np.arange(hi - lo), n)
                 s = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
                 win = first[owner] + s
-                key = K.mix(h[least[win]] ^ K.mix(h[least[win + width - side]]))
+                key = K.mix(h[low[win]] ^ K.mix(h[low[win + width - side]]))
                 new = np.ones(len(key), dtype=bool)
                 new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
                 at = np.flatnonzero(new)
@@ -197,35 +218,53 @@ def find_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", length
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                s = [k for run in row["runs"] for k in range(run["s"], run["e"])]
-                w = [digest(row["chunk"][k : k + length]) for k in s]
-                for k in range(0, len(s), 4096):
-                    m = len(s[k : k + 4096])
-                    yield pa.RecordBatch.from_arrays([pa.array([row["fp"]] * m, pa.int64()), pa.array([row["cid"]] * m, pa.int64()), pa.array([row["n"]] * m, pa.int64()), pa.array(s[k : k + 4096], pa.int32()), pa.array(w[k : k + 4096], pa.binary())], ["fp", "cid", "n", "s", "w"])
+                body = row["chunk"]
+                s = [(n, k) for run in row["runs"] for k in range(run["s"], run["e"]) for n in lengths if k + n <= len(body)]
+                for lo in range(0, len(s), 4096):
+                    part = s[lo : lo + 4096]
+                    m = len(part)
+                    w = [digest(body[k : k + n]) for n, k in part]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([row["fp"]] * m, pa.int64()), pa.array([row["cid"]] * m, pa.binary()), pa.array([row["n"]] * m, pa.int64()),
+                            pa.array([n for n, _ in part], pa.int32()), pa.array([k for _, k in part], pa.int32()), pa.array(w, pa.binary()),
+                        ],
+                        ["fp", "cid", "n", "len", "s", "w"],
+                    )
 
     few, crowded = by_crowding(classes, "n = 1")
-    sorted_out = few.mapInArrow(compare, "fp long, cid long, s int, e int")
+    apart = few.mapInArrow(compare, "fp long, cid binary, len int, s int, e int")
     # of crowded fingerprints: runs of windows alike at both sides, then the windows of runs that are found twice, by digest
-    runs = materialize(crowded.select("fp", "cid", "core", "chunk").mapInArrow(cut_again, "fp long, cid long, key long, s int, e int"), "suffix-runs")
+    runs = materialize(crowded.select("fp", "cid", "core", "chunk").mapInArrow(cut_again, "fp long, cid binary, key long, s int, e int"), "suffix-runs")
     twice = runs.join(runs.groupBy("fp", "key").agg(F.count("*").alias("m")).filter("m > 1").select("fp", "key"), ["fp", "key"])
     asked = twice.groupBy("fp", "cid").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
-    windows = crowded.select("fp", "cid", "n", "chunk").join(asked, ["fp", "cid"]).mapInArrow(name, "fp long, cid long, n long, s int, w binary")
+    windows = crowded.select("fp", "cid", "n", "chunk").join(asked, ["fp", "cid"]).mapInArrow(name, "fp long, cid binary, n long, len int, s int, w binary")
     windows = materialize(windows, "suffix-windows")
-    again = windows.groupBy("fp", "w").agg(F.count("*").alias("m")).filter("m > 1").select("fp", "w")
-    hits = windows.filter("n = 1").join(again, ["fp", "w"]).select("fp", "cid", "s", (F.col("s") + length).alias("e"))
-    sorted_out = sorted_out.unionByName(hits)
-    all_of = classes.filter("n > 1").select("fp", "cid", F.lit(0).alias("s"), F.octet_length("chunk").cast("int").alias("e"))
-    return document_spans(chunks.select("fp", "cid", "_id", "_h", "p"), sorted_out.unionByName(all_of))
-
-
-def drop_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, kept: str = "kept", removed: str = "removed") -> DataFrame:
-    """df with the remaining bytes of each text and the removed runs (array<struct<s, e>>, disjoint, in order)."""
-    spans = materialize(find_spans(df, id_col, text, length), "suffix-spans")
+    again = windows.groupBy("fp", "len", "w").agg(F.count("*").alias("m")).filter("m > 1").select("fp", "len", "w")
+    hits = windows.filter("n = 1").join(again, ["fp", "len", "w"]).select("fp", "cid", "len", "s", (F.col("s") + F.col("len")).alias("e"))
+    # a chunk of several places goes whole, as far as its windows of each length reach
+    reach = F.least(F.octet_length("chunk"), F.col("core") - 1 + F.col("len")).cast("int")
+    all_of = classes.filter("n > 1").select("*", F.explode(F.array(*(F.lit(n) for n in lengths))).alias("len")).filter(F.octet_length("chunk") >= F.col("len")).select("fp", "cid", "len", F.lit(0).alias("s"), reach.alias("e"))
+    spans = apart.unionByName(hits).unionByName(all_of).groupBy("fp", "cid").agg(F.collect_list(F.struct("len", "s", "e")).alias("of"))
+    spans = materialize(classes.select("fp", "cid", "n").join(spans, ["fp", "cid"]), "suffix-marked")
+    out = materialize(document_spans(places, spans), "suffix-spans")
+    discard(classes, places, runs, windows, spans)
+    return out
+
+
+def drop_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, kept: str = "kept", removed: str = "removed", passage: int | None = None, passages: str = "passages") -> DataFrame:
+    """df with the remaining bytes of each text and the removed runs (array<struct<s, e>>, disjoint, in order).
+
+    passage: another length, whose repeated runs are reported too, without removing them.
+    """
+    lengths = (length,) if passage is None else (length, passage)
+    spans = find_spans(df, id_col, text, lengths)
     key, h, at = fresh(df, "__id", "__h", "__spans")
     spans = spans.select(F.col("_id").alias(key), F.col("_h").alias(h), F.col("spans").alias(at))
     joined = df.join(spans.hint("merge"), df[id_col].eqNullSafe(spans[key]) & (text_key(df[text]) == spans[h]), "left").drop(key, h)
+    kind = "array<struct<s:int,e:int>>"
 
-    @F.pandas_udf("array<struct<s:int,e:int>>")
+    @F.pandas_udf(kind)
     def tidy(column):
         import pandas as pd
 
@@ -237,8 +276,12 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", leng
 
         return pd.Series([one(xs) for xs in column], dtype=object)
 
+    def of(n: int):
+        mine = F.transform(F.filter(at, lambda x: x["len"] == n), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+        return F.when(F.col(at).isNull(), F.array().cast(kind)).otherwise(tidy(mine))
+
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    out = joined.withColumn(removed, F.when(F.col(at).isNull(), F.array().cast("array<struct<s:int,e:int>>")).otherwise(tidy(at))).drop(at)
+    out = joined.withColumns({name: of(n) for name, n in zip((removed, passages), lengths)}).drop(at)
     # what stands before, between and after the removed runs
     n = F.size(removed)
     start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(removed, i - 1)["e"])

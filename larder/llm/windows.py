@@ -9,14 +9,14 @@ window comes as a row of its own with a digest of its content, and Spark groups
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_crowded, materialize
 
 #: Classes of a fingerprint that one task compares; with more it is crowded.
 PIECE_CLASSES = 2048
@@ -86,10 +86,11 @@ def spans_of(starts: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> tuple[n
     return starts[at], ends[last], owner[at]
 
 
-def document_spans(instances: DataFrame, spans: DataFrame) -> DataFrame:
-    """Per document key the spans (array<struct<s, e>>) that its chunks' spans cover."""
-    at = instances.join(spans, ["fp", "cid"]).select("_id", "_h", F.struct((F.col("p") + F.col("s")).alias("s"), (F.col("p") + F.col("e")).alias("e")).alias("x"))
-    return at.groupBy("_id", "_h").agg(F.collect_set("x").alias("spans"))
-
+def document_spans(places: DataFrame, spans: DataFrame) -> DataFrame:
+    """Per document key the spans (array<struct<len, s, e>>) that its chunks cover.
 
-Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+    places: (fp, cid, _id, _h, p); spans: (fp, cid, n, of: array<struct<len, s, e>>), n counting a chunk's places.
+    """
+    at = join_crowded(places, spans, ["fp", "cid"], "n").select("_id", "_h", "p", F.explode("of").alias("x"))
+    at = at.select("_id", "_h", F.struct(F.col("x.len").alias("len"), (F.col("p") + F.col("x.s")).alias("s"), (F.col("p") + F.col("x.e")).alias("e")).alias("x"))
+    return at.groupBy("_id", "_h").agg(F.collect_set("x").alias("spans"))

@@ -96,8 +96,9 @@ def test_crowded_fingerprints_are_cut_into_pieces(spark, monkeypatch):
     monkeypatch.setattr(W, "PIECE_CLASSES", 4)
     got = substring.deduplicate(df).select("doc_id", "n_words", removed(), F.sha2("kept", 256)).collect()
     assert Counter(map(tuple, got)) == brute.substring(rows)
-    got = suffix.drop_repeats(df, length=100).select("doc_id", F.octet_length("text"), removed(), F.size("removed"), F.sha2("kept", 256)).collect()
-    assert Counter(map(tuple, got)) == brute.suffix(rows, 100)
+    out = suffix.drop_repeats(df, length=100, passage=160).select("doc_id", F.octet_length("text"), removed(), F.size("removed"), F.sha2("kept", 256), removed("passages")).collect()
+    assert Counter(tuple(r)[:5] for r in out) == brute.suffix(rows, 100)
+    assert Counter((r[0], r[5]) for r in out) == Counter((k, n) for k, _, n, _, _ in brute.suffix(rows, 160).elements())
 
 
 def test_no_task_holds_a_crowded_fingerprint(spark, monkeypatch):
@@ -348,13 +349,19 @@ def test_model_probabilities_add_up():
 
 
 def test_suffix(spark, sf_dir, docs):
-    assert Counter(map(tuple, Q.op7_suffix_dedup(spark, sf_dir).collect())) == brute.suffix(docs)
+    got = Q.op7_suffix_dedup(spark, sf_dir).collect()
+    assert Counter(tuple(r)[:5] for r in got) == brute.suffix(docs)
+    assert Counter((r.doc_id, r.n_passage) for r in got) == Counter((k, n) for k, _, n, _, _ in brute.suffix(docs, suffix.PASSAGE).elements())
 
 
 def test_suffix_odd_rows(odd, none):
     out = suffix.drop_repeats(odd)
     got = out.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)), removed(), F.size("removed"), F.sha2("kept", 256)).collect()
     assert Counter(map(tuple, got)) == brute.suffix(pairs(tricky()))
+    for lengths in ((400, 90), (60, 500)):  # the longer may reach over the end of a chunk's text
+        got = suffix.drop_repeats(odd, length=lengths[0], passage=lengths[1]).select("doc_id", removed(), removed("passages")).collect()
+        want = [Counter((k, n) for k, _, n, _, _ in brute.suffix(pairs(tricky()), x).elements()) for x in lengths]
+        assert [Counter((r[0], r[1]) for r in got), Counter((r[0], r[2]) for r in got)] == want
     stripped = suffix.strip_repeats(odd)
     assert stripped.columns == odd.columns and all("�" not in (r.text or "") for r in stripped.collect())
     assert suffix.drop_repeats(none).count() == 0
@@ -374,7 +381,7 @@ def test_suffix_arrays_are_sorted():
         keys = [raw[i : i + depth] for i in suffix.suffix_array(buf, core, depth)]
         assert keys == sorted(keys) and len(keys) == core.sum()
         seen = Counter(raw[i : i + depth] for i in np.flatnonzero(core))
-        assert suffix.repeated(buf, core, depth).tolist() == [i for i in np.flatnonzero(core).tolist() if seen[raw[i : i + depth]] > 1]
+        assert suffix.repeated(buf, suffix.suffix_array(buf, core, depth), depth).tolist() == [i for i in np.flatnonzero(core).tolist() if seen[raw[i : i + depth]] > 1]
 
 
 # --- 8: languages
