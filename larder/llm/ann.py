@@ -8,10 +8,11 @@ and ranked by the exact inner product of the original vectors, in double precisi
 The half-width is measured, not guessed: a bounded sample of SAMPLE queries is compared with all rows, and the half-width is
 the smallest that lets the share AIM of their true neighbours be met on one curve at least. Where vectors have structure it is
 small; where they have none (in many dimensions, neighbours hardly nearer than the rest) it grows to a share of all rows, as
-any ordering then must. Places are dealt to blocks; a query goes to the blocks that its windows touch, never all to all.
+any ordering then must. Places are dealt to blocks of rows and to cells of queries; a block meets the cells whose windows
+touch it, a task each, so both sides of a task are bounded whatever the width of the windows.
 
 Of equal vectors, only the k + 1 of smallest ids can be in any answer (ties go to smaller ids), so only those are placed as
-candidates: a hot vector is cut by a window limit before it reaches a curve. All are queries if asked for.
+candidates: a hot vector is cut by a window group limit, before and after the shuffle. All are queries if asked for.
 
 Null and zero vectors, those with null or non-finite components, and those of another length than most take no part. Rows
 that repeat id and vector count once; rows of one id never answer each other. Fewer candidates than k: all of them.
@@ -32,8 +33,8 @@ from .common import materialize
 
 CURVES, DIMS, BITS = 4, 6, 10
 SAMPLE, AIM, FIT = 96, 0.96, 2000
-#: Rows up to which windows take in everything, and the bounds of a block.
-SMALL, BLOCK_MIN, BLOCK_MAX = 2048, 256, 4096
+#: Rows of a block, at least and at most, and places of a cell of queries, in blocks.
+BLOCK_MIN, BLOCK_MAX, CELL = 256, 4096, 8
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -108,8 +109,9 @@ def neighbours(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id"
     if not dims:
         return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
     order = Window.partitionBy("v").orderBy("id")
-    known = rows.withColumn("n", F.row_number().over(order)).withColumn("asks", query)
-    known = materialize(known.filter((F.col("n") <= k + 1) | F.col("asks")).select("id", "v", (F.col("n") <= k + 1).alias("answers"), "asks"), "ann-rows")
+    answers = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).select("id", "v", F.lit(True).alias("answers"), F.lit(False).alias("asks"))
+    asks = rows.filter(query).select("id", "v", F.lit(False).alias("answers"), F.lit(True).alias("asks"))
+    known = materialize(answers.unionByName(asks).groupBy("id", "v").agg(F.max("answers").alias("answers"), F.max("asks").alias("asks")), "ann-rows")
     fit = known.filter("answers").orderBy(F.xxhash64("id"), "id").select("v").limit(FIT).collect()  # bounded by FIT
     grid = projections(np.array([r["v"] for r in fit]))
 
@@ -137,13 +139,15 @@ def neighbours(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id"
     shift = F.broadcast(spark.createDataFrame(offsets, "part int, curve int, shift long"))
     placed = placed.join(shift, ["part", "curve"]).withColumn("pos", F.col("row") + F.col("shift")).drop("part", "row", "shift")
 
-    half = total if total <= SMALL else half_width(known, placed, dims, k)
+    half = min(total, half_width(known, placed, dims, k))
     block = int(min(BLOCK_MAX, max(BLOCK_MIN, -(-half // 4))))
-    reach, last = -(-half // block), (total - 1) // block
-    at = (F.col("pos") / block).cast("long")
-    index = placed.filter("answers").select("curve", at.alias("block"), "id", "v")
+    cell, reach, last = CELL * block, -(-half // block), (total - 1) // block
+    at = F.floor(F.col("pos") / block)
+    # a block goes to the cells that hold a place within reach of it, a query to the blocks within its reach
+    cells = F.sequence(F.floor(F.greatest(at - reach, F.lit(0)) * block / cell), F.floor((F.least(at + reach, F.lit(last)) * block + block - 1) / cell))
+    index = placed.filter("answers").select("curve", at.alias("block"), F.explode(cells).alias("cell"), "id", "v")
     near = F.sequence(F.greatest(at - reach, F.lit(0)), F.least(at + reach, F.lit(last)))
-    asking = placed.filter("asks").select(F.col("curve").alias("qcurve"), F.explode(near).alias("qblock"), F.col("id").alias("qid"), F.col("v").alias("qv"))
+    asking = placed.filter("asks").select(F.col("curve").alias("qcurve"), F.explode(near).alias("qblock"), F.floor(F.col("pos") / cell).alias("qcell"), F.col("id").alias("qid"), F.col("v").alias("qv"))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -155,7 +159,7 @@ def neighbours(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id"
             found += best(np.stack(part["qv"].to_numpy()), part["qid"].to_numpy(), x, ids, k)
         return pd.DataFrame({"query_id": right["qid"].to_numpy(), "ids": [f[0] for f in found], "scores": [f[1] for f in found]})
 
-    met = index.groupBy("curve", "block").cogroup(asking.groupBy("qcurve", "qblock")).applyInPandas(meet, "query_id long, ids array<long>, scores array<double>")
+    met = index.groupBy("curve", "block", "cell").cogroup(asking.groupBy("qcurve", "qblock", "qcell")).applyInPandas(meet, "query_id long, ids array<long>, scores array<double>")
     pairs = met.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", F.col("x.ids").alias("id"), F.col("x.scores").alias("score"))
     pairs = pairs.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))

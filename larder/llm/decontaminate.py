@@ -6,8 +6,9 @@ m - Q + 1 - k * Q grams of Q bytes, on at most k + 1 neighbouring diagonals. So
 bands, each 2 * (k + 1) diagonals wide and half over the next; bands that reach the bound are aligned, within the band, and
 kept if the item fits with k edits or fewer. Items shorter than 2 * Q bytes match only a text that equals them.
 
-The benchmark's index goes to the tasks as a broadcast; its size is checked first. A benchmark over SLICE_BYTES is dealt
-into slices of about that size, one pass over the documents each, so no broadcast exceeds it however large the benchmark is.
+The benchmark's index goes to the tasks as a broadcast; its size is checked first, as INDEX_RATE bytes for each byte of
+items. A benchmark whose index would exceed INDEX_BYTES is dealt into slices, one pass over the documents each, so no
+broadcast exceeds it however large the benchmark is. A gram of many items meets them PAIRS at a time.
 
 Null and empty items are never found, null texts are empty; every row is judged by itself, so repeated rows give repeated
 results, and repeated items a result each.
@@ -27,7 +28,8 @@ from . import kernels as K
 from .common import blocks
 from .windows import binary
 
-Q, RATE, SLICE_BYTES = 8, 0.10, 16 << 20
+Q, RATE = 8, 0.10
+INDEX_BYTES, INDEX_RATE, PAIRS = 128 << 20, 24, 1 << 22
 BITS = 22
 
 
@@ -67,7 +69,7 @@ def index(rows: list[tuple], q: int = Q, rate: float = RATE) -> Items:
         item.append(np.full(len(g), k))
         at.append(np.arange(len(g)))
     cat = lambda xs, kind: np.concatenate(xs).astype(kind) if xs else np.zeros(0, dtype=kind)
-    grams, item, at = cat(grams, np.uint64), cat(item, np.int64), cat(at, np.int64)
+    grams, item, at = cat(grams, np.uint64), cat(item, np.int32), cat(at, np.int32)
     order = np.argsort(grams, kind="stable")
     grams, item, at = grams[order], item[order], at[order]
     distinct, first = np.unique(grams, return_index=True)
@@ -117,13 +119,23 @@ def matches(texts: list[bytes], items: Items, q: int = Q) -> list[tuple[int, int
     inside = pos + q < at[doc + 1]
     pos, where, doc = pos[inside], where[inside], doc[inside]
     n = items.first[where + 1] - items.first[where]
-    occ = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(items.first[where], n)
-    doc, pos, item = np.repeat(doc, n), np.repeat(pos, n), items.item[occ]
-    diagonal = pos - at[doc] - items.at[occ]
+
+    def meet(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, item and diagonal of every shared gram of places lo to hi."""
+        k = n[lo:hi]
+        occ = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(items.first[where[lo:hi]], k)
+        d, i = np.repeat(doc[lo:hi], k), items.item[occ].astype(np.int64)
+        return d, i, np.repeat(pos[lo:hi], k) - at[d] - items.at[occ]
+
     # the bound on all of a text's grams first: most pairs end here
-    pair, back, count = np.unique(doc * len(items.texts) + item, return_inverse=True, return_counts=True)
-    keep = (count >= items.least[pair % len(items.texts)])[back]
-    doc, item, diagonal = doc[keep], item[keep], diagonal[keep]
+    total, parts = len(items.texts), list(blocks(n.tolist(), PAIRS))
+    met = meet(*parts[0]) if len(parts) == 1 else None  # else twice, to hold only one part at a time
+    counts = [np.unique(d * total + i, return_counts=True) for d, i, _ in ([met] if met else map(lambda x: meet(*x), parts))]
+    pair, back = np.unique(np.concatenate([p for p, _ in counts]), return_inverse=True) if counts else (np.zeros(0, dtype=np.int64),) * 2
+    shared = np.bincount(back, weights=np.concatenate([c for _, c in counts])) if counts else pair
+    pair = pair[shared >= items.least[pair % total]]
+    kept = [[x[np.isin(d * total + i, pair)] for x in (d, i, g)] for d, i, g in ([met] if met else map(lambda x: meet(*x), parts))]
+    doc, item, diagonal = (np.concatenate([k[j] for k in kept]) for j in range(3)) if kept else (pair,) * 3
     half = items.budget[item] + 1
     band = diagonal // half
     key = np.stack([np.concatenate([doc, doc]), np.concatenate([item, item]), np.concatenate([band, band - 1])])
@@ -145,17 +157,17 @@ def matches(texts: list[bytes], items: Items, q: int = Q) -> list[tuple[int, int
     return out + [(d, i, start, edits) for (d, i), (edits, start) in best.items()]
 
 
-def slices(benchmark: DataFrame, item_id: str, text: str, limit: int = SLICE_BYTES) -> Iterator[Items]:
-    """Indexes of the benchmark, each of about limit bytes of text at most."""
+def slices(benchmark: DataFrame, item_id: str, text: str, limit: int = INDEX_BYTES) -> Iterator[Items]:
+    """Indexes of the benchmark, each of about limit bytes at most."""
     total = benchmark.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    n = max(1, -(-int(total) * 5 // (4 * limit)))
+    n = max(1, -(-int(total) * INDEX_RATE * 5 // (4 * limit)))
     for k in range(n):
         part = benchmark.select(item_id, text)
         part = part.filter(F.pmod(F.xxhash64(text), F.lit(n)) == k) if n > 1 else part
         yield index(sorted(((r[0], r[1]) for r in part.collect()), key=lambda r: (r[1] or "", str(r[0]))))
 
 
-def find(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
+def find(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = INDEX_BYTES) -> DataFrame:
     """id_col, item_id, start, edits, budget: a row for each document and item that it holds."""
     spark = df.sparkSession
     base = df.select(F.col(id_col).alias("_id"), F.col(text).alias("_t"))
@@ -184,7 +196,7 @@ def find(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str
     return out.withColumnsRenamed({"_id": id_col, "_item": item_id})
 
 
-def clean(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
+def clean(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = INDEX_BYTES) -> DataFrame:
     """The rows of df that hold no item, with all their columns."""
     for items in slices(benchmark, item_id, item_text, limit):
         shared = df.sparkSession.sparkContext.broadcast(items)

@@ -3,9 +3,9 @@
 A word is a run of letters of the lower-cased text (in UTF-8: a-z and every byte from 0x80). Its features are its first and
 last one to three bytes, the byte trigrams with its edges, and its entry in a lexicon of words seen twice or more in
 training; transitions between labels are learned with them. Training is by gradient ascent on the conditional likelihood
-(forward-backward) over a bounded sample: at most DOCS_PER_LANG labelled documents a language, SPAN consecutive words of
-each, put together to sequences of several spans so that switches between languages are seen. Only the sample goes to the
-driver. Forward-backward over a whole document gives every word its label probabilities; their mean is the document's, the
+(forward-backward) over a bounded sample: at most DOCS_PER_LANG labelled rows a language (per_lang), of each SPAN consecutive
+words (span) from a place that a hash of the id chooses, words cut at WORD_CHARS, put together to sequences of several spans
+so that switches between languages are seen. Only these spans go to the driver, whatever the length or number of the rows. Forward-backward over a whole document gives every word its label probabilities; their mean is the document's, the
 largest its language and score.
 
 Text null or without a letter: `und`, score 0. Without any labelled row: `und` for all. Ties go to the alphabetically
@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from . import kernels as K
 from .common import blocks, fresh
 
-DOCS_PER_LANG, SPAN, EPOCHS = 240, 60, 30
+DOCS_PER_LANG, SPAN, WORD_CHARS, EPOCHS = 240, 60, 64, 30
 TRIGRAM_BITS, AFFIX_BITS, LEXICON_BITS = 14, 12, 15
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -209,14 +209,16 @@ def train(rows: list[tuple[str, str]], epochs: int = EPOCHS, span: int = SPAN, s
     return model
 
 
-def sample(df: DataFrame, text: str, lang: str, id_col: str, learn: Column, per_lang: int = DOCS_PER_LANG) -> list[tuple[str, str]]:
-    """At most per_lang labelled rows a language, chosen by a hash of the id, without looking at texts until they are chosen."""
-    keys = df.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang).alias("_lang"))
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    chosen = keys.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_lang).select("_id").distinct()
-    # bounded by per_lang rows for each label value
-    rows = df.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text).alias("_t"), F.col(lang).alias("_lang"))
-    return [(r["_t"], r["_lang"]) for r in rows.join(F.broadcast(chosen), "_id", "left_semi").select("_t", "_lang").collect()]
+def sample(df: DataFrame, text: str, lang: str, id_col: str, learn: Column, per_lang: int = DOCS_PER_LANG, span: int = SPAN) -> list[tuple[str, str]]:
+    """(span of words, language) of at most per_lang labelled rows a language, chosen by a hash of the id before any text is looked at."""
+    labelled = df.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text).alias("_t"), F.col(lang).alias("_lang"))
+    first = lambda rows, *more: rows.withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id", *more))).filter(F.col("_n") <= per_lang).drop("_n")
+    chosen = first(labelled.select("_id", "_lang")).distinct()  # at most per_lang rows a label value
+    rows = labelled.join(F.broadcast(chosen.withColumnsRenamed({"_id": "_i", "_lang": "_l"})), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_lang") == F.col("_l")), "left_semi")
+    words = F.filter(F.split("_t", r"[\s]+"), lambda w: w != "")
+    at = F.pmod(F.xxhash64("_id"), F.greatest(F.size("_w") - span + 1, F.lit(1))) + 1
+    spans = rows.select("_id", "_lang", words.alias("_w")).select("_id", "_lang", F.array_join(F.transform(F.slice("_w", at.cast("int"), F.lit(span)), lambda w: F.left(w, F.lit(WORD_CHARS))), " ").alias("_s"))
+    return [(r["_s"], r["_lang"]) for r in first(spans, "_s").select("_s", "_lang").collect()]  # an id may have many rows: again per_lang at most
 
 
 def held_out(id_col: str = "doc_id", of: int = 4, rest: int = 2) -> Column:
@@ -224,11 +226,11 @@ def held_out(id_col: str = "doc_id", of: int = 4, rest: int = 2) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % of == rest
 
 
-def identify(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", learn: Column | None = None, per_lang: int = DOCS_PER_LANG, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+def identify(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", learn: Column | None = None, per_lang: int = DOCS_PER_LANG, span: int = SPAN, pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """df with columns pred and score."""
     spark = df.sparkSession
     learn = F.lit(True) if learn is None else learn
-    model = train(sample(df, text, lang, id_col, learn, per_lang))
+    model = train(sample(df, text, lang, id_col, learn, per_lang, span), span=span)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")

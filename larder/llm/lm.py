@@ -8,9 +8,11 @@ the sum of log10((c + 1) / (N + V + 1)).
 
 Model.  Its vocabulary is the VOCABULARY most frequent training words, the end, and one class for all other words. The two
 preceding tokens' vectors, each through its position's matrix, are added to a context vector; a token's score is the
-product with its own vector plus its bias. Training reads every training token once: each task runs noise-contrastive
-estimation with noise from the unigram distribution over all its texts, and the tasks' parameters are averaged, weighted by
-tokens (partial sums first, in blocks of parameters). Texts are scored by batched matrix products with all vocabulary
+product with its own vector plus its bias. Training reads every training token once. Texts are dealt to shards by a hash of
+text and id and sorted there; their number follows the number of training tokens (SHARD_TOKENS each), not the cluster, so
+the same rows give the same model on any layout and after any retry. Each shard runs noise-contrastive estimation with noise
+from the unigram distribution, and the shards' parameters are averaged, weighted by tokens (partial sums first, in blocks of
+parameters). Texts are scored by batched matrix products with all vocabulary
 vectors, so token probabilities are normalised; a word of the open class has the class's probability times
 (c + 1) / (N' + V' + 1) over the training words outside of the vocabulary, N' and V' being their tokens and types, so that
 the probabilities of all words that can follow, one unseen word among them, add up to one.
@@ -24,10 +26,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +38,9 @@ from .common import blocks, materialize
 from .windows import binary
 
 VOCABULARY, WIDTH, CONTEXT, NOISE, BATCH, RATE = 1022, 24, 2, 48, 1024, 0.05
-HEAVY = 1 << 17
+HEAVY, SHARD_TOKENS = 1 << 17, 1 << 18
+#: Bytes of texts whose tokens are shuffled together.
+STEP_BYTES = 1 << 21
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -189,7 +193,7 @@ def nce_step(p: dict[str, np.ndarray], past: dict[str, np.ndarray], ctx: np.ndar
 
 
 def train(texts: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
-    """Parameters averaged over the tasks that each went through their texts once."""
+    """Parameters averaged over the shards of texts (_t, _id), each gone through once."""
     spark = texts.sparkSession
     begin = start(v)
     shapes = [(name, begin[name].shape) for name in sorted(begin)]
@@ -198,16 +202,15 @@ def train(texts: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, begin = shared.value
-        p = {name: begin[name].copy() for name, _ in shapes}
-        task = TaskContext.get().partitionId()
-        rng = np.random.default_rng(task)
-        past = {name: np.full_like(p[name], 1.0) for name, _ in shapes}
         log_noise, cdf = np.log(v.unigram).astype(np.float32), np.cumsum(v.unigram)
-        seen = 0
-        for batch in batches:
-            all_texts = binary(batch["_t"])
-            for lo, hi in blocks(map(len, all_texts), 1 << 21):
-                ids, n, _ = v.sequence(*word_hashes(all_texts[lo:hi]))
+
+        def learn(shard: int, rows: Iterator[list[bytes]]) -> pa.RecordBatch:
+            p = {name: begin[name].copy() for name, _ in shapes}
+            rng = np.random.default_rng(shard)
+            past = {name: np.full_like(p[name], 1.0) for name, _ in shapes}
+            seen = 0
+            for texts in rows:
+                ids, n, _ = v.sequence(*word_hashes(texts))
                 ctx = contexts(ids, n)
                 order = rng.permutation(len(ids))
                 for a in range(0, len(ids), BATCH):
@@ -215,19 +218,38 @@ def train(texts: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
                     noise = np.minimum(np.searchsorted(cdf, rng.random(NOISE)), len(cdf) - 1)
                     nce_step(p, past, ctx[pick], ids[pick], noise, log_noise)
                     seen += len(pick)
-        if seen:
             flat = np.concatenate([p[name].reshape(-1) for name, _ in shapes]).astype(np.float64) * seen
             n = -(-len(flat) // chunk)
-            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([task % 64] * n, pa.int32()), pa.array([float(seen)] * n), pa.array([flat[i * chunk : (i + 1) * chunk] for i in range(n)], pa.list_(pa.float64()))], ["part", "salt", "weight", "x"])
+            return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([shard % 64] * n, pa.int32()), pa.array([float(seen)] * n), pa.array([flat[i * chunk : (i + 1) * chunk] for i in range(n)], pa.list_(pa.float64()))], ["part", "salt", "weight", "x"])
+
+        def steps() -> Iterator[tuple[int, list[bytes]]]:
+            """(shard, texts) of about STEP_BYTES, cut by the rows alone: batches may end anywhere."""
+            held, size, now = [], 0, None
+            for batch in batches:
+                for shard, text in zip(batch["_shard"].to_pylist(), binary(batch["_t"])):
+                    if held and (shard != now or size + len(text) > STEP_BYTES):
+                        yield now, held
+                        held, size = [], 0
+                    held.append(text)
+                    size, now = size + len(text), shard
+            if held:
+                yield now, held
+
+        for shard, rows in groupby(steps(), key=lambda x: x[0]):
+            yield learn(shard, (texts for _, texts in rows))
 
     def add(key, rows):
         import pandas as pd
 
+        rows = rows.sort_values("weight", kind="stable")
         x = np.sum(np.stack(rows["x"].to_numpy()), axis=0)
         return pd.DataFrame({"part": [key[0]], "salt": [0], "weight": [rows["weight"].sum()], "x": [x]})
 
     kind = "part int, salt int, weight double, x array<double>"
-    sums = texts.select("_t").mapInArrow(run, kind).groupBy("part", "salt").applyInPandas(add, kind).groupBy("part").applyInPandas(add, kind)
+    shards = max(1, round(v.tokens / SHARD_TOKENS))
+    dealt = texts.select("_t", F.pmod(F.xxhash64("_t", "_id"), F.lit(shards)).cast("int").alias("_shard"), F.xxhash64("_id", "_t").alias("_o"))
+    dealt = dealt.repartition(shards, "_shard").sortWithinPartitions("_shard", "_o", "_t").select("_t", "_shard")
+    sums = dealt.mapInArrow(run, kind).groupBy("part", "salt").applyInPandas(add, kind).groupBy("part").applyInPandas(add, kind)
     rows = sorted(sums.collect(), key=lambda r: r["part"])  # one model
     if not rows:
         return begin

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import blocks, fresh, materialize
+from .common import blocks, fresh, join_crowded, materialize
 from .components import components
 from .windows import binary
 
@@ -287,7 +287,10 @@ def join(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: f
     heads = heads.join(heads.groupBy("label").agg(F.min("rep").alias("head")), "label").select("c", "label", "head")
     known = classes.select("c", "rep", "n_copies").join(counts, "c", "left").join(heads, "c", "left")
     known = known.select("c", F.coalesce("label", "c").alias("label"), F.coalesce("head", "rep").alias("class"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = prints.select("_id", "c").join(known, "c", "left")
+    # rows come back to their text: a hot text's rows stay where they are
+    known = materialize(known.withColumn("rows", F.col("n_copies")), "near-known")
+    some = join_crowded(prints.filter("c is not null").select("_id", "c"), known, ["c"], "rows")
+    out = some.unionByName(prints.filter("c is null").select("_id", "c"), allowMissingColumns=True)
     return out.select(
         F.col("_id").alias(id_col), F.when(F.col("c").isNull(), F.col("_id")).otherwise(F.col("class")).alias("class_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "c", "label"
     )

@@ -8,7 +8,11 @@ The index is a list of immutable runs, each a table bucketed and sorted by hash.
 merge-joined with itself and with each older run (bucket by bucket, no older run is shuffled), and hashes that two documents
 share are written down. When FANOUT runs of a level have come together they are merged into one of the next level and
 dropped, so that a batch meets few runs. What the index finds is then verified on the texts: chunks (windows.py) of equal
-hashes are compared window by window, and a window goes only if the same words start in a document of a smaller id.
+hashes are compared window by window, and a window goes only if the same words start in a document of a smaller id. Chunks
+that agree in both of two 64-bit hashes, that of a gram and that of all their words, count as equal.
+
+An index given by the caller outlives the call: it keeps its runs and the batch's texts (bucketed by id), against which later
+batches are verified. Rows of earlier batches are not judged again, whatever ids come later.
 
 Null text has no words. Fewer than WINDOW words: nothing to remove. Null ids have no order: such documents neither lose
 windows nor cost others any. Repeated rows have equal ids and don't affect each other. Batches may come in any order of ids.
@@ -38,6 +42,19 @@ class FingerprintIndex:
         self.spark, self.fanout = spark, fanout
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[tuple[int, str]] = []  # level, table
+        self.texts: list[str] = []  # tables (id, t) of earlier batches
+
+    def remember(self, batch: DataFrame) -> None:
+        """Keeps the texts of a batch (id, t)."""
+        name = f"larder_texts_{uuid.uuid4().hex}"
+        batch.repartition(self.buckets, "id").write.bucketBy(self.buckets, "id").sortBy("id").option("compression", "zstd").format("parquet").saveAsTable(name)
+        self.texts.append(name)
+
+    def history(self) -> DataFrame | None:
+        out = None
+        for name in self.texts:
+            out = self.spark.table(name) if out is None else out.unionByName(self.spark.table(name))
+        return out
 
     def _write(self, df: DataFrame) -> str:
         name = f"larder_run_{uuid.uuid4().hex}"
@@ -77,9 +94,9 @@ class FingerprintIndex:
         return out
 
     def drop(self) -> None:
-        for _, name in self.runs:
-            self.spark.sql(f"DROP TABLE {name}")
-        self.runs = []
+        for name in [*(name for _, name in self.runs), *self.texts]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.runs, self.texts = [], []
 
 
 def _hashed(texts: list[bytes], window: int, gram: int):
@@ -222,13 +239,8 @@ def verify(df: DataFrame, found: DataFrame, id_col: str, text: str, window: int
     return spans
 
 
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text: str = "text", batches: int = 2, window: int = WINDOW, kept: str = "kept", removed: str = "removed", index: FingerprintIndex | None = None) -> DataFrame:
-    """df with n_words, the remaining words joined by one space, and the removed runs of words (array<struct<s, e>>).
-
-    The rows come to the index in batches of about equal numbers, by ranges of the id.
-    """
-    spark = df.sparkSession
-    index = index or FingerprintIndex(spark)
+def _look_up(df: DataFrame, index: FingerprintIndex, id_col: str, text: str, batches: int, window: int) -> DataFrame:
+    """The (fp, id) entries of all hashes that rows of df share with each other or with the index, to which they are added."""
     cuts = [F.percentile_approx(id_col, k / batches, 1000).alias(f"c{k}") for k in range(1, batches)]
     bounds = [None, *sorted({c for c in (df.agg(*cuts).first() if cuts else ()) if c is not None}), None]
     shared = None
@@ -238,9 +250,26 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text: str = "text", batch
         part = part.filter(F.col(id_col) <= hi) if hi is not None else part
         got = index.add(batch_prints(part, id_col, text, window))
         shared = got if shared is None else shared.unionByName(got)
-    found = materialize(index.entries(shared.distinct()), "substring-found")
-    index.drop()
-    spans = verify(df, found, id_col, text, window)
+    return materialize(index.entries(shared.distinct()), "substring-found")
+
+
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text: str = "text", batches: int = 2, window: int = WINDOW, kept: str = "kept", removed: str = "removed", index: FingerprintIndex | None = None) -> DataFrame:
+    """df with n_words, the remaining words joined by one space, and the removed runs of words (array<struct<s, e>>).
+
+    The rows come to the index in batches of about equal numbers, by ranges of the id.
+    """
+    spark, own = df.sparkSession, index is None
+    index = index or FingerprintIndex(spark)
+    try:
+        found, rows = _look_up(df, index, id_col, text, batches, window), df.select(F.col(id_col).alias("id"), F.col(text).alias("t"))
+        if not own:
+            old = index.history()
+            index.remember(rows.filter("id is not null and t is not null"))
+            rows = rows if old is None else rows.unionByName(old)
+    finally:
+        if own:
+            index.drop()
+    spans = verify(rows, found, "id", "t", window)
     discard(found)
     key, h, at, said = fresh(df, "__id", "__h", "__spans", "__said")
     spans = spans.select(F.col("_id").alias(key), F.col("_h").alias(h), F.col("spans").alias(at))
