@@ -214,3 +214,9 @@ def money(c: Column) -> Column:
 def volume_text(ml: Column) -> Column:
     """1 L, 1.5 L, 500 ml."""
     return F.when(ml >= 1000, F.concat(F.regexp_replace((ml / 1000).cast("string"), r"\.0$", ""), F.lit(" L"))).otherwise(F.concat(ml.cast("int").cast("string"), F.lit(" ml")))
+
+
+def short_date(c: Column, pattern: str = "d. MMM") -> Column:
+    """A text's date in a short form; what is no date gives its first ten characters."""
+    day = F.try_to_date(F.left(c, F.lit(10)), "yyyy-MM-dd")
+    return F.coalesce(F.date_format(day, pattern), F.left(c, F.lit(10)))

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
-from ..functions.values import FORM_CHANGING, QUALIFIERS, STORES
+from ..functions.values import STORES
+from .terms import containing
 
 
 def store_place(c: Column) -> Column:
@@ -102,65 +101,83 @@ def group_comparisons(deals: DataFrame, products: DataFrame, least_stores: int =
     return best.withColumn("best_store", winner).select("group", "store", "deal_id", "sale_price", "discount_percent", "stores", "best_store", (F.col("sale_price") == F.col("low")).alias("is_low"))
 
 
-_BREAK = re.compile(r"[\s·,]+")
+def standing_alone(low: Column) -> Column:
+    """Every part of a name that a keyword of relevance 3 or 4 can be: from a word's start to before white space, a digit or the end; and starts and ends of the first two words."""
+    at = F.sequence(F.lit(1), F.length(low))
+    starts = F.filter(at, lambda k: (k == 1) | F.substr(low, k - 1, F.lit(1)).rlike(r"\s"))
+    ends = F.filter(at, lambda k: (k == F.length(low)) | F.substr(low, k + 1, F.lit(1)).rlike(r"[\s\d]"))
+    spans = F.flatten(F.transform(starts, lambda s: F.transform(F.filter(ends, lambda e: e >= s), lambda e: F.substr(low, s, e - s + 1))))
+    edges = F.transform(F.slice(text.words(low), 1, 2), lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.length(w)), lambda n: F.array(F.left(w, n), F.right(w, n)))))
+    return F.array_distinct(F.concat(spans, F.flatten(edges)))
+
 
+def alike_names(names: DataFrame, least: int = 3) -> DataFrame:
+    """(sub, a, b, score): names of a sub-category of which one is about the other (3 or more), both ways round.
 
-def _relevance(kw: str, name: str) -> int:
-    """text.relevance for one pair, for the greedy matcher."""
-    kw, name = kw.lower(), name.lower()
-    ws = [w for w in _BREAK.split(name) if w]
-    if any(w.startswith(kw) and w[len(kw) :] in FORM_CHANGING for w in ws):
-        return 0
-    edge = lambda w: w.startswith(kw) or w.endswith(kw)
-    first, second = (ws + ["", ""])[:2]
-    if edge(first) or (edge(second) and first in QUALIFIERS):
-        return 4
-    if re.search(rf"(?:^|\s){re.escape(kw)}(?:\s|\d|$)", name):
-        return 3
-    if re.search(rf"{re.escape(kw)}(?:[\s\d,.)·;!?]|$)", name) or any(w.startswith(kw) and len(w) > len(kw) for w in ws):
-        return 2
-    return int(kw in name)
+    A name meets the names that equal one of its parts, so pairs number at most the parts of all names.
+    """
+    low = F.lower("name")
+    parts = names.filter(F.length("name") > 0).select("sub", F.col("name").alias("b"), F.explode(standing_alone(low)).alias("key"))
+    hit = parts.join(names.select("sub", F.col("name").alias("a"), low.alias("key")), ["sub", "key"])
+    hit = hit.withColumn("score", text.relevance(F.col("a"), F.col("b"))).filter(F.col("score") >= least).select("sub", "a", "b", "score")
+    back = hit.select("sub", F.col("b").alias("a"), F.col("a").alias("b"), "score")
+    return hit.unionByName(back).groupBy("sub", "a", "b").agg(F.max("score").alias("score"))
 
 
 def similar_names(deals: DataFrame, least: int = 3) -> DataFrame:
     """Greedy comparisons by name within a sub-category (null is one of its own): match_id, deal_id, store, label, best_store.
 
     Stores come in their order, deals by id; each free deal takes, from every other store, the free deal whose name is most alike
-    (either way round, the first of equals), and all of a match are used up. The order makes this a loop over one sub-category's
-    deals, so a sub-category is one task; distinct (store, name) of it are matched, names being few next to deals.
+    (either way round, the first of equals), and all of a match are used up. least: 3 or more. Pairs of alike names come from
+    Spark; the loop, whose order makes a sub-category one task, goes once over the distinct (store, name) and these pairs.
     """
 
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        by = {s: list(g.sort_values("deal_id").itertuples(index=False)) for s, g in rows.groupby("store")}
-        used, cache, out = set(), {}, []
-
-        def alike(a: str, b: str) -> int:
-            if (a, b) not in cache:
-                cache[a, b] = max(_relevance(a, b), _relevance(b, a))
-            return cache[a, b]
-
-        for anchor_store in STORES:
-            for anchor in by.get(anchor_store, ()):
-                if anchor.deal_id in used:
-                    continue
-                found = [anchor]
+    def greedy(rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        offers = {(d.store, d.product_name): d for d in rows.itertuples(index=False)}
+        near: dict[str, list[tuple[str, int]]] = {}
+        for a, b, score in zip(pairs["a"], pairs["b"], pairs["score"]):
+            near.setdefault(a, []).append((b, score))
+        used, out = set(), []
+        place = {s: k for k, s in enumerate(STORES)}
+        for anchor in sorted((d for d in offers.values() if d.store in place), key=lambda d: (place[d.store], d.deal_id)):
+            if anchor.deal_id in used:
+                continue
+            best: dict[str, tuple] = {}
+            for name, score in near.get(anchor.product_name, ()):
                 for store in STORES:
-                    if store != anchor_store:
-                        scored = [(alike(anchor.product_name, d.product_name), d) for d in by.get(store, ()) if d.deal_id not in used]
-                        top = max((s for s, _ in scored), default=0)
-                        if top >= least:
-                            found.append(next(d for s, d in scored if s == top))
-                if len(found) < 2:
-                    continue
-                used.update(d.deal_id for d in found)
-                low = min(d.sale_price for d in found)
-                at_low = [d.store for d in found if d.sale_price == low]
-                label = min((d.product_name for d in found), key=len)
-                out += [(f"ns-{anchor.deal_id}", d.deal_id, d.store, label, at_low[0] if len(at_low) == 1 else "tie") for d in found]
+                    d = offers.get((store, name))
+                    if store != anchor.store and d is not None and d.deal_id not in used and (-score, d.deal_id) < best.get(store, (0, "", None))[:2]:
+                        best[store] = (-score, d.deal_id, d)
+            if not best:
+                continue
+            found = [anchor, *(best[s][2] for s in STORES if s in best)]
+            used.update(d.deal_id for d in found)
+            low = min(d.sale_price for d in found)
+            at_low = [d.store for d in found if d.sale_price == low]
+            label = min((d.product_name for d in found), key=len)
+            out += [(f"ns-{anchor.deal_id}", d.deal_id, d.store, label, at_low[0] if len(at_low) == 1 else "tie") for d in found]
         return pd.DataFrame(out, columns=["match_id", "deal_id", "store", "label", "best_store"])
 
-    one = first_by(deals, ["sub_category", "store", "product_name"], "sale_price", "deal_id").select("sub_category", "store", "product_name", "deal_id", "sale_price")
-    return one.groupBy("sub_category").applyInPandas(greedy, "match_id string, deal_id string, store string, label string, best_store string")
+    sub = F.coalesce(F.concat(F.lit("="), "sub_category"), F.lit("")).alias("sub")
+    one = first_by(deals, ["sub_category", "store", "product_name"], "sale_price", "deal_id").select(sub, "store", "product_name", "deal_id", "sale_price")
+    pairs = alike_names(one.select("sub", F.col("product_name").alias("name")).distinct(), least)
+    return one.groupBy("sub").cogroup(pairs.withColumnRenamed("sub", "of").groupBy("of")).applyInPandas(greedy, "match_id string, deal_id string, store string, label string, best_store string")
+
+
+def in_order(comparisons: DataFrame) -> DataFrame:
+    """Comparisons (group, kind, discount_percent a row per store's deal) with place: those by product group first, then by their best discount, then by name."""
+    best = comparisons.groupBy("group", "kind").agg(F.max(F.coalesce("discount_percent", F.lit(0))).alias("best_discount"))
+    order = Window.partitionBy("kind").orderBy(F.desc("best_discount"), "group")
+    groups = best.filter(F.col("kind") == "product-group").agg(F.count("*").alias("__groups"))
+    placed = best.withColumn("n", F.row_number().over(order)).crossJoin(F.broadcast(groups))  # one row
+    return placed.select("group", "kind", "best_discount", (F.col("n") + F.when(F.col("kind") == "product-group", 0).otherwise(F.col("__groups"))).alias("place"))
+
+
+def rows_in_order(comparison: DataFrame) -> DataFrame:
+    """Rows of each comparison with place: the best store's first (of a tie the first store in order), then by price, then by store order."""
+    best = F.col("store") == F.col("best_store")
+    w = Window.partitionBy("group").orderBy(F.desc(best), "sale_price", store_place(F.col("store")))
+    return comparison.withColumn("place", F.row_number().over(w))
 
 
 def bands(offers: DataFrame) -> DataFrame:
@@ -185,9 +202,10 @@ def by_category(items: DataFrame, browse: DataFrame, deals: DataFrame) -> DataFr
 
 def keyword_for(deals: DataFrame, starters: DataFrame, least: int = 3) -> DataFrame:
     """Deals with the starter keyword of their category that says most about them; the name itself below least."""
-    s = starters.select(F.col("category").alias("__c"), "keyword", "ord")
+    s = starters.select("category", "keyword", "ord")
+    met = containing(deals, s, "product_name", "keyword").join(s, "keyword")
     names = deals.select("product_name", "category").distinct()
-    hit = names.join(s, (F.col("category") == F.col("__c")) & F.contains(F.lower("product_name"), F.lower("keyword"))).withColumn("r", text.relevance(F.col("keyword"), F.col("product_name")))
+    hit = names.join(met, ["product_name", "category"]).withColumn("r", text.relevance(F.col("keyword"), F.col("product_name")))
     best = hit.filter(F.col("r") >= least).groupBy("product_name", "category").agg(F.min_by("keyword", F.struct(-F.col("r"), F.col("ord"))).alias("keyword"))
     return deals.join(best, ["product_name", "category"], "left").withColumn("keyword", F.coalesce("keyword", "product_name"))
 

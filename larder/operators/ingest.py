@@ -60,8 +60,8 @@ def rejections(df: DataFrame, top: int = 5) -> DataFrame:
     return out.orderBy(F.desc("n"), "reason").limit(top)
 
 
-def categorised(df: DataFrame, name: str = "productName", label: str = "sourceCategory", rules: classify.Rules = classify.KEYWORD_RULES) -> DataFrame:
-    """df with category, sub_category, tier, confidence; less certain rows than the gate go."""
+def categorised(df: DataFrame, name: str = "productName", label: str = "sourceCategory", rules: classify.Rules = ()) -> DataFrame:
+    """df with category, sub_category, tier, confidence; less certain rows than the gate go. rules: the user's keywords; without, brands and labels decide."""
     out = classify.over_distinct(df, [name, label], "__c", lambda n, c: classify.categorise(n, c, rules))
     out = out.withColumns({k: F.col(f"__c.{k}") for k in ("category", "sub_category", "tier", "confidence")}).drop("__c")
     return out.filter(F.col("confidence") >= CONFIDENCE_GATE)
@@ -95,6 +95,29 @@ def metadata_summary(df: DataFrame, name: str = "product_name") -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.count_if(text.brand(n).isNotNull()).alias("with_brand"), F.count_if(units.name_quantity(n).isNotNull()).alias("with_quantity"), F.count_if(text.organic(n)).alias("organic"))
 
 
+def with_metadata(df: DataFrame, rules: classify.Rules = (), name: str = "product_name", label: str = "source_category") -> DataFrame:
+    """df with metadata: struct<brand, quantity, unit, organic, sub_category, form> of the name, evaluated once a distinct name and label."""
+
+    def build(n: Column, c: Column) -> Column:
+        q = units.name_quantity(n)
+        return F.struct(text.brand(n).alias("brand"), q["quantity"].alias("quantity"), q["unit"].alias("unit"), text.organic(n).alias("organic"), classify.any_sub_category(n, c, rules).alias("sub_category"), units.product_form(n).alias("form"))
+
+    return classify.over_distinct(df, [name, label], "metadata", build)
+
+
+def recategorised(deals: DataFrame, rules: classify.Rules, name: str = "product_name", label: str = "source_category") -> DataFrame:
+    """(deal_id, category, sub_category) of the active deals whose category or sub-category the rules now see otherwise."""
+    live = deals.filter("is_active").select("deal_id", name, label, F.col("category").alias("__c"), F.col("sub_category").alias("__s"))
+    out = classify.over_distinct(live, [name, label], "__x", lambda n, c: classify.categorise(n, c, rules))
+    moved = out.filter(~F.col("__c").eqNullSafe(F.col("__x.category")) | ~F.col("__s").eqNullSafe(F.col("__x.sub_category")))
+    return moved.select("deal_id", F.col("__x.category").alias("category"), F.col("__x.sub_category").alias("sub_category"))
+
+
+def public_runs(runs: DataFrame) -> DataFrame:
+    """What anyone may read of the runs: no errors."""
+    return runs.select("id", "run_at", "store_results", "total_stored", "duration_ms")
+
+
 def store_status(stored: DataFrame, stores=STORES) -> DataFrame:
     """Per store: success if any rows came, else failed; and their number."""
     from .read import dimension

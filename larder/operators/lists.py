@@ -146,3 +146,14 @@ def populate_concepts(deals: DataFrame, rules: DataFrame) -> tuple[DataFrame, Da
 def above_fold(suggestions: DataFrame, keys: list[str], order: str, n: int = 3) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(F.desc(order), "deal_id")
     return suggestions.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= n).drop("__n")
+
+
+def by_display_name(concepts: DataFrame, group: str) -> DataFrame:
+    """Concepts of each group with place, by name without regard to case, then by name and id."""
+    order = Window.partitionBy(group).orderBy(F.lower("display_name"), "display_name", "concept_id")
+    return concepts.withColumn("place", F.row_number().over(order))
+
+
+def in_order_of_creation(items: DataFrame) -> DataFrame:
+    """Items of each list with place, the oldest first."""
+    return items.withColumn("place", F.row_number().over(Window.partitionBy("list_id").orderBy("created_at", "item")))

@@ -133,10 +133,33 @@ def search(deals: DataFrame, keyword: str, limit: int = 50, store: str | None =
     return hit.orderBy(F.desc("discount_percent"), "deal_id").limit(limit)
 
 
+def sort_keys(by: str) -> list[Column]:
+    """Of unit_price (unknown last), discount or price; ids break ties."""
+    keys = {"unit_price": F.asc_nulls_last("price_per_unit"), "discount": F.desc("discount_percent"), "price": F.asc("sale_price")}
+    return [keys[by], F.asc("deal_id")]
+
+
 def sort_deals(deals: DataFrame, by: str) -> DataFrame:
-    """By unit_price (unknown last), discount or price."""
-    keys = {"unit_price": [F.asc_nulls_last("price_per_unit")], "discount": [F.desc("discount_percent")], "price": [F.asc("sale_price")]}
-    return deals.orderBy(*keys[by], "deal_id")
+    return deals.orderBy(*sort_keys(by))
+
+
+def page(deals: DataFrame, by: str, number: int, size: int = 50) -> DataFrame:
+    """The number-th page (from 0) of sorted deals."""
+    return sort_deals(deals, by).offset(number * size).limit(size)
+
+
+CANTONS = ("ZH", "BE", "LU", "UR", "SZ", "OW", "NW", "GL", "ZG", "FR", "SO", "BS", "BL", "SH", "AR", "AI", "SG", "GR", "AG", "TG", "TI", "VD", "VS", "NE", "GE", "JU")
+
+
+def valid_canton(c: Column) -> Column:
+    """Whether it is a canton's code; null is none."""
+    return F.coalesce(c.isin(*CANTONS), F.lit(False))
+
+
+def guarded_stores(selected: Column, covered: Column) -> Column:
+    """The selected stores that a region covers; if none is left, all that it covers."""
+    both = F.array_intersect(F.coalesce(selected, F.array().cast("array<string>")), covered)
+    return F.when(F.size(both) > 0, both).otherwise(covered)
 
 
 def covered_stores(regions: DataFrame, canton: str) -> DataFrame:
@@ -176,6 +199,7 @@ def share_totals(items: DataFrame) -> DataFrame:
     return items.groupBy("store").agg(F.count("*").alias("n"), F.sum(p).alias("total")).orderBy(F.desc("total"), "store")
 
 
-def rehydrate(ids: DataFrame, deals: DataFrame) -> DataFrame:
-    """A shared list (one row, array ids) joined to deals; unknown ids go, the order stays."""
-    return ids.select(F.posexplode("ids").alias("pos", "deal_id")).join(deals, "deal_id").orderBy("pos")
+def rehydrate(lists: DataFrame, deals: DataFrame) -> DataFrame:
+    """Shared lists (array ids, and what names a list) joined to deals; unknown ids go, pos keeps the order."""
+    names = [c for c in lists.columns if c != "ids"]
+    return lists.select(*names, F.posexplode("ids").alias("pos", "deal_id")).join(deals, "deal_id")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
-from .store import on_keys
+from .terms import containing
 
 
 def surrogate(*parts: str | Column) -> Column:
@@ -43,18 +45,48 @@ def unknown_tags(deals: DataFrame, aliases: DataFrame) -> DataFrame:
     return d.groupBy("tag", "store").agg(F.min_by("product_name", "deal_id").alias("product_name"))
 
 
-def group_by_keywords(products: DataFrame, groups: DataFrame, name: str = "name") -> DataFrame:
-    """The group of each product with the longest keyword in its name and none of its exclusions; groups: (group_id, include, exclude).
+#: Edges of words, as letters, digits and underscores of any script make them.
+WORD_START, WORD_END = r"(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_])", r"(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])"
+
+
+def group_by_keywords(products: DataFrame, groups: DataFrame, name: str = "name", substring: bool = False) -> DataFrame:
+    """products with group_id and product_form (if groups have one); groups: (group_id, include, exclude, ...).
 
-    Groups are exploded to one row a keyword, and a keyword meets only products that have its first word: an equi-join, not all against all.
-    A keyword of several words is found from its first word, which must start a word of the name.
+    A keyword is literal text, without regard to case. It stands as a whole word of the name, or starts it, or ends it; of the
+    groups that have such a keyword, one with a keyword found only at the end comes first, then the one whose longest other
+    keyword is longest, then the smallest id. A group with an exclusion (a regular expression) found in the name is out.
+    substring: a keyword may stand anywhere, exclusions are literal text, and the smallest id decides.
+    Products that have a group_id keep it. Names meet keywords by a join on grams (terms.containing).
     """
-    low = F.lower(F.col(name))
-    kws = groups.select("group_id", F.explode("include").alias("kw"), "exclude").select("group_id", F.lower("kw").alias("kw"), "exclude").withColumn("word", F.element_at(F.split("kw", " "), 1))
-    tokens = products.select(F.col(name).alias("__name"), F.explode(F.array_distinct(F.split(low, " "))).alias("word")).distinct()
-    hit = tokens.join(kws, "word").filter(F.contains(F.lower("__name"), F.col("kw")) & ~F.coalesce(F.exists("exclude", lambda x: F.contains(F.lower(F.col("__name")), F.lower(x))), F.lit(False)))
-    best = hit.groupBy("__name").agg(F.min_by("group_id", F.struct(-F.length("kw"), F.col("group_id"))).alias("group_id"))
-    return products.join(best, products[name] == best["__name"], "left").drop("__name")
+    form = "product_form" if "product_form" in groups.columns else None
+    kws = groups.select("group_id", F.explode("include").alias("kw"), "exclude", (F.col(form) if form else F.lit(None).cast("string")).alias("__form"))
+    met = containing(products, kws, name, "kw").join(kws, "kw").withColumnRenamed(name, "__name")
+    n, kw = F.lower("__name"), F.lower("kw")
+    quoted = F.concat(F.lit(r"\Q"), F.replace(kw, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    if substring:
+        out = F.exists("exclude", lambda x: (x != "") & F.contains(n, F.lower(x)))
+        rank = F.struct("group_id")
+    else:
+        front = F.startswith(n, kw) | F.regexp_like(n, F.concat(F.lit(WORD_START), quoted, F.lit(WORD_END)))
+        met = met.withColumn("__front", front).filter(F.col("__front") | F.endswith(n, kw))
+        out = F.exists("exclude", lambda x: (x != "") & F.regexp_like(F.col("__name"), F.concat(F.lit("(?iu)"), x)))
+        rank = F.struct(F.col("__long").isNotNull(), -F.coalesce("__long", F.lit(0)), "group_id")
+    met = met.filter(~F.coalesce(out, F.lit(False)))
+    longest = F.lit(0) if substring else F.max(F.when(F.col("__front"), F.length("kw")))
+    each = met.groupBy("__name", "group_id").agg(longest.alias("__long"), F.min("__form").alias("__form"))
+    best = each.groupBy("__name").agg(F.min_by(F.struct("group_id", "__form"), rank).alias("__g"))
+    j = products.join(best, products[name] == best["__name"], "left")
+    free = F.col("group_id").isNull() if "group_id" in products.columns else F.lit(True)
+    old = lambda c: F.col(c) if c in products.columns else F.lit(None).cast("string")
+    new = {"group_id": F.when(free, F.col("__g.group_id")).otherwise(old("group_id"))}
+    if form:
+        new["product_form"] = F.when(free & F.col("__g").isNotNull(), F.col("__g.__form")).otherwise(old("product_form"))
+    return j.withColumns(new).drop("__name", "__g")
+
+
+def backfill_groups(products: DataFrame, groups: DataFrame, name: str = "name") -> DataFrame:
+    """The products that get a group now, as rows of a merge."""
+    return group_by_keywords(products.filter("group_id is null"), groups, name).filter("group_id is not null")
 
 
 def violates_group(products: DataFrame, groups: DataFrame, name: str = "name") -> DataFrame:
@@ -100,6 +132,10 @@ def skus(deals: DataFrame) -> DataFrame:
 
 
 def attach_skus(deals: DataFrame, sku: DataFrame) -> DataFrame:
-    """Deals with sku_id by (store, product_name)."""
-    s = sku.groupBy("store", "product_name").agg(F.min("sku_id").alias("sku_id"))
-    return deals.join(s, on_keys(deals, s, ["store", "product_name"]), "left").drop(s["store"], s["product_name"])
+    """Deals with sku_id by (store, region, product_name), region being the store's where deals have none; a sku_id that is there stays."""
+    keys = ["store", "region", "product_name"]
+    d = deals if "region" in deals.columns else deals.withColumn("region", region_of(F.col("store")))
+    s = sku.groupBy(*keys).agg(F.min("sku_id").alias("__sku")).withColumnsRenamed({k: f"__{k}" for k in keys})
+    cond = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
+    had = F.col("sku_id") if "sku_id" in deals.columns else F.lit(None).cast("string")
+    return d.join(s, cond, "left").withColumn("sku_id", F.coalesce(had, "__sku")).select(*deals.columns, *([] if "sku_id" in deals.columns else ["sku_id"]))

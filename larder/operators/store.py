@@ -26,6 +26,16 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], keep: tuple[st
     return j.select(*(pick(c).alias(c) if c in source.columns else F.col(c) for c in target.columns))
 
 
+def touched(before: DataFrame, after: DataFrame, keys: list[str], now: str, column: str = "updated_at") -> DataFrame:
+    """after, with column set to now on rows that were there before and differ in anything else."""
+    other = [c for c in after.columns if c not in keys and c != column]
+    b = before.select(*(F.col(c).alias(f"__{c}") for c in [*keys, *other]), F.lit(True).alias("__was"))
+    j = after.join(b, reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys)), "left")
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in other), F.lit(True))
+    stamp = F.lit(now).cast(after.schema[column].dataType)
+    return j.withColumn(column, F.when(F.col("__was") & ~same, stamp).otherwise(F.col(column))).select(*after.columns)
+
+
 def insert_ignore(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """target and the rows of source whose keys it lacks; the first of equal keys, by all columns."""
     w = Window.partitionBy(*keys).orderBy(*([c for c in source.columns if c not in keys] or keys))
@@ -86,5 +96,10 @@ def write_table(df: DataFrame, path: str) -> None:
     spark.range(1).select(F.lit(version).alias("version")).coalesce(1).write.mode("overwrite").parquet(f"{path}/current")
 
 
+def has_table(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current/_SUCCESS")
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{spark.read.parquet(f'{path}/current').first()['version']}")

@@ -30,6 +30,12 @@ def personal(cands: DataFrame, user: int, limit: int = 10) -> DataFrame:
     return cands.filter(F.col("user_id") == user).orderBy(F.desc("score"), "event_id").limit(limit)
 
 
+def personal_all(cands: DataFrame, limit: int = 10) -> DataFrame:
+    """The best of each user."""
+    w = Window.partitionBy("user_id").orderBy(F.desc("score"), "event_id")
+    return cands.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= limit).drop("__n")
+
+
 def cold_start(deals: DataFrame, limit: int = 10) -> DataFrame:
     """Highest discounts among active deals, whatever their dates."""
     return deals.filter(F.col("is_active") & (F.col("discount_percent") >= CANDIDATE_DISCOUNT)).orderBy(F.desc("discount_percent"), "deal_id").limit(limit)

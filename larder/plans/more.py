@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import text, units
 from ..functions import values as V
-from ..operators import compare, ingest, lists, read, resolve, suggest, verdict
-from .queries import ACTIVE, CHEAPEST, INTERESTS, basket, cheapest, live, r6, register
+from ..operators import compare, ingest, lists, read, resolve, store, suggest, verdict
+from .queries import ACTIVE, CHEAPEST, DEMO_RULES, INTERESTS, LABELLED, basket, cheapest, labelled, live, quoted, r6, register, sql_any_sub, sql_cases, with_products
 from .star import AS_OF, DEALS, NOW, WEEK, deals, interests, table
 
 
@@ -73,7 +73,11 @@ def n11_pack_texts(s, d):
     return al.join(packs, "product_name").select("deal_id", pack.alias("pack"), lists.per_unit_text(F.col("sale_price"), F.lit("x")).alias("price"))
 
 
-@register()
+@register(
+    """SELECT coalesce(string_agg(category || ': ' || winner, ' · ' ORDER BY category), '') AS line, sum(n)::BIGINT AS deals FROM (SELECT category, sum(n) AS n, CASE WHEN count(*) > 1 AND NOT (max(CASE WHEN p = 1 THEN n END) < 5 OR max(CASE WHEN p = 1 THEN a END) - max(CASE WHEN p = 2 THEN a END) < 2) THEN max(CASE WHEN p = 1 THEN store END) END AS winner
+      FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY a DESC, n DESC, store) p FROM (SELECT category, store, avg(discount_percent) a, count(*) n FROM live GROUP BY ALL)) GROUP BY category)""",
+    DEALS, ACTIVE,
+)
 def st13_summary(s, d):
     return lists.summary(verdict.verdicts(live(s, d), V.CATEGORIES))
 
@@ -189,3 +193,107 @@ def j19_attach_skus(s, d):
     al = live(s, d)
     unit = resolve.skus(al).withColumn("sku_id", F.md5(F.concat_ws("|", "store", "product_name")))
     return resolve.attach_skus(al, unit).select("deal_id", F.col("sku_id").alias("sku"))
+
+
+# --- orders, guards, stamps
+
+COMPARED = """compared AS (SELECT *, CASE WHEN lows > 1 THEN 'tie' ELSE low_store END AS best_store FROM (SELECT *, count(*) FILTER (WHERE sale_price = low) OVER w AS lows, max(CASE WHEN sale_price = low THEN store END) OVER w AS low_store
+  FROM (SELECT *, count(*) OVER w AS stores, min(sale_price) OVER w AS low FROM (SELECT product_group AS "group", store, deal_id, sale_price, discount_percent, row_number() OVER (PARTITION BY product_group, store ORDER BY discount_percent DESC, deal_id) n FROM live) WHERE n = 1 WINDOW w AS (PARTITION BY "group"))
+  WHERE stores >= 2 WINDOW w AS (PARTITION BY "group")))"""
+STORE_LIST = quoted(V.STORES)
+
+
+@register(f"""SELECT "group", store, row_number() OVER (PARTITION BY "group" ORDER BY store = best_store DESC, sale_price, list_position([{STORE_LIST}], store))::INT AS place FROM compared""", DEALS, ACTIVE, COMPARED)
+def o6_comparison_rows(s, d):
+    return compare.rows_in_order(compare.group_comparisons(*with_products(s, d))).select("group", "store", "place")
+
+
+@register(
+    """SELECT "group", kind, best_discount, (row_number() OVER (ORDER BY kind = 'product-group' DESC, best_discount DESC, "group"))::INT AS place FROM (SELECT "group", 'product-group' AS kind, max(discount_percent) AS best_discount FROM compared GROUP BY 1
+    UNION ALL SELECT 'ns-' || store, 'name-similarity', max(discount_percent) FROM live GROUP BY store)""",
+    DEALS, ACTIVE, COMPARED,
+)
+def o7_comparison_list(s, d):
+    groups = compare.group_comparisons(*with_products(s, d)).select("group", F.lit("product-group").alias("kind"), "discount_percent")
+    names = live(s, d).select(F.concat(F.lit("ns-"), "store").alias("group"), F.lit("name-similarity").alias("kind"), "discount_percent")
+    return compare.in_order(groups.unionByName(names)).withColumn("place", F.col("place").cast("int"))
+
+
+@register("SELECT deal_id, discount_percent FROM live ORDER BY discount_percent DESC, deal_id LIMIT 50 OFFSET 50", DEALS, ACTIVE)
+def o9_second_page(s, d):
+    return read.page(live(s, d), "discount", 1).select("deal_id", "discount_percent")
+
+
+@register("SELECT user_id AS list_id, event_id AS item, row_number() OVER (PARTITION BY user_id ORDER BY added_at, event_id)::INT AS place FROM interests", INTERESTS)
+def o13_items_in_order(s, d):
+    items = interests(s, d).select(F.col("user_id").alias("list_id"), F.col("event_id").alias("item"), F.col("added_at").alias("created_at"))
+    return lists.in_order_of_creation(items).select("list_id", "item", "place")
+
+
+@register("SELECT p_partkey AS concept_id, p_name AS display_name, rank() OVER (PARTITION BY p_brand ORDER BY lower(p_name), p_name, p_partkey)::INT AS place FROM part")
+def o11_concepts_by_name(s, d):
+    p = table(s, d, "part").select(F.col("p_partkey").alias("concept_id"), F.col("p_name").alias("display_name"), "p_brand")
+    return lists.by_display_name(p, "p_brand").select("concept_id", "display_name", "place")
+
+
+@register(f"SELECT user_id, event_id, deal_id FROM (SELECT user_id, event_id, deal_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) n FROM (SELECT *, exp(-(epoch_us(TIMESTAMP '{NOW}') - epoch_us(added_at)) / 2592000000000.0) * discount_percent AS score FROM interests i JOIN cheapest c ON c.concept_id = i.concept_id WHERE dismissed_at IS NULL AND added_at > TIMESTAMP '{NOW}' - INTERVAL 90 DAY AND discount_percent >= 30)) WHERE n <= 10", DEALS, ACTIVE, CHEAPEST, INTERESTS)
+def o3_personal(s, d):
+    return suggest.personal_all(suggest.candidates(interests(s, d), cheapest(s, d), NOW)).select("user_id", "event_id", "deal_id")
+
+
+@register(f"SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN ['coop', 'lidl'] WHEN c_custkey % 3 = 1 THEN ['lidl'] ELSE ['coop'] END AS stores, list_contains([{quoted(read.CANTONS)}], CASE WHEN c_nationkey % 2 = 0 THEN 'ZH' ELSE 'XX' END) AS known FROM customer")
+def f22_region_guard(s, d):
+    k, n = F.col("c_custkey") % 3, F.col("c_nationkey")
+    a = lambda *xs: F.array(*(F.lit(x) for x in xs))
+    chosen, covered = F.when(k == 0, a("migros")).when(k == 1, a("migros", "lidl")).otherwise(a("coop", "aldi")), a("coop", "lidl")
+    return table(s, d, "customer").select("c_custkey", read.guarded_stores(chosen, covered).alias("stores"), read.valid_canton(F.when(n % 2 == 0, "ZH").otherwise("XX")).alias("known"))
+
+
+@register("SELECT l_orderkey, l_linenumber, CASE WHEN even THEN high ELSE low END AS q, CASE WHEN even AND high <> low - (l_orderkey % 2 = 0)::INT THEN 'now' ELSE 'then' END AS updated_at FROM (SELECT l_orderkey, l_linenumber, min(l_quantity) AS low, max(l_quantity) AS high, l_linenumber % 2 = 0 AS even FROM lineitem GROUP BY ALL)")
+def u6_touched(s, d):
+    """Even lines were there before, some with another quantity; odd ones are new."""
+    g = table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"))
+    even, then = F.col("l_linenumber") % 2 == 0, F.lit("then").alias("updated_at")
+    after = g.select("l_orderkey", "l_linenumber", F.when(even, F.col("high")).otherwise(F.col("low")).alias("q"), then)
+    before = g.filter(even).select("l_orderkey", "l_linenumber", (F.col("low") - F.when(F.col("l_orderkey") % 2 == 0, 1).otherwise(0)).alias("q"), then)
+    return store.touched(before, after, ["l_orderkey", "l_linenumber"], "now")
+
+
+@register(f"SELECT p_partkey::VARCHAR AS deal_id, split_part(x, '|', 1) AS category, nullif(split_part(x, '|', 2), '') AS sub_category FROM (SELECT *, {sql_cases()} AS x FROM labelled WHERE p_partkey % 3 > 0) WHERE split_part(x, '|', 1) <> 'fresh' OR nullif(split_part(x, '|', 2), '') IS DISTINCT FROM 'dairy'", LABELLED)
+def u10_recategorised(s, d):
+    p = F.col("p_partkey")
+    held = labelled(s, d).select(p.cast("string").alias("deal_id"), F.col("name").alias("product_name"), F.col("label").alias("source_category"), F.lit("fresh").alias("category"), F.lit("dairy").alias("sub_category"), (p % 3 > 0).alias("is_active"))
+    return ingest.recategorised(held, DEMO_RULES)
+
+
+@register("SELECT c_custkey AS id, c_nationkey::BIGINT AS total_stored, c_custkey % 7 AS duration_ms FROM customer")
+def p7_public_runs(s, d):
+    runs = table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.lit(NOW).alias("run_at"), F.lit("x").alias("store_results"), F.col("c_nationkey").cast("long").alias("total_stored"), (F.col("c_custkey") % 7).alias("duration_ms"), F.lit("secret").alias("error_log"))
+    return ingest.public_runs(runs).drop("run_at", "store_results")
+
+
+@register("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'next week!' ELSE strftime(o_orderdate, '%-d.%m.%y') END AS said FROM orders")
+def dt7_short_dates(s, d):
+    text_date = F.when(F.col("o_orderkey") % 7 == 0, "next week!").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return table(s, d, "orders").select("o_orderkey", units.short_date(text_date, "d.MM.yy").alias("said"))
+
+
+BRANDED = ("Emmi", "bio zweifel", "coop naturaplan", "x-lindt", "Thomy senf", "M-Budget")
+
+
+@register(f"SELECT p_partkey, CASE WHEN k = 0 THEN 'Emmi' WHEN k = 1 THEN 'Zweifel' WHEN k = 2 THEN 'Naturaplan' WHEN k = 4 THEN 'Thomy' WHEN k = 5 THEN 'M-Budget' END AS brand, ([{quoted(BRANDED)}])[(k + 1)::INT] || ' ' || p_name AS name FROM (SELECT *, p_partkey % {len(BRANDED)} AS k FROM part)")
+def st3_brands(s, d):
+    name = F.concat(F.element_at(F.array(*(F.lit(b) for b in BRANDED)), (F.col("p_partkey") % len(BRANDED) + 1).cast("int")), F.lit(" "), "p_name")
+    return table(s, d, "part").select("p_partkey", text.brand(name).alias("brand"), name.alias("name"))
+
+
+@register(f"SELECT p_partkey, regexp_matches(low, '(^|[^a-z0-9_])(bio|naturaplan|demeter|knospe|organic)($|[^a-z0-9_])') AS organic, {sql_any_sub()} AS sub_category FROM labelled", LABELLED)
+def cl11_metadata(s, d):
+    m = ingest.with_metadata(labelled(s, d), DEMO_RULES, "name", "label")
+    return m.select("p_partkey", "metadata.organic", "metadata.sub_category")
+
+
+@register("SELECT 'run' AS id, (SELECT count(*) FROM live)::INT AS total_stored, (SELECT count(*) FROM live WHERE store = 'coop')::INT AS coop", DEALS, ACTIVE)
+def s9_run_log(s, d):
+    log = ingest.run_log(ingest.store_status(live(s, d)), "run", NOW)
+    return log.select("id", "total_stored", F.col("store_results")["coop"]["count"].alias("coop"))

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import classify, text, units
 from ..functions import values as V
+from ..functions.group_rules import GROUP_RULES
 from ..operators import compare, ingest, read, resolve, store, suggest, verdict
 from ..sources import cards, feeds
 from .star import AS_OF, DEALS, INTERESTS, NOW, WEEK, deals, interests, store_of, table
@@ -177,10 +178,11 @@ def a18_share_totals(s, d):
     return read.share_totals(items).withColumn("total", units.cents(F.col("total")))
 
 
-@register("SELECT pos, deal_id, store FROM (SELECT (row_number() OVER (ORDER BY deal_id DESC) - 1)::INT AS pos, deal_id, store FROM live) WHERE pos < 40", DEALS, ACTIVE)
+@register("SELECT list_id, (row_number() OVER (PARTITION BY list_id ORDER BY deal_id DESC) - 1)::INT AS pos, deal_id, store FROM (SELECT supplier_id AS list_id, * FROM live)", DEALS, ACTIVE)
 def j9_rehydrate(s, d):
-    ids = live(s, d).orderBy(F.desc("deal_id")).limit(40).agg(F.reverse(F.array_sort(F.collect_list("deal_id"))).alias("ids"))
-    return read.rehydrate(ids.select(F.concat(F.col("ids"), F.array(F.lit("unknown"))).alias("ids")), deals(s, d)).select("pos", "deal_id", "store")
+    al = live(s, d)
+    lists = al.groupBy(F.col("supplier_id").alias("list_id")).agg(F.concat(F.reverse(F.array_sort(F.collect_list("deal_id"))), F.array(F.lit("unknown"))).alias("ids"))
+    return read.rehydrate(lists, al).select("list_id", "pos", "deal_id", "store")
 
 
 @register("SELECT category, count(*) AS n FROM deals WHERE sub_category IS NULL OR sub_category NOT IN ('bolt', 'gear', 'ring') GROUP BY category", DEALS)
@@ -201,9 +203,11 @@ def f27_stale(s, d):
     return deals(s, d).groupBy("store").agg(F.count_if(old).alias("stale"), F.count("*").alias("n"))
 
 
-@register("SELECT deal_id, sale_price FROM deals ORDER BY sale_price, deal_id LIMIT 25", DEALS)
-def o4_cheapest(s, d):
-    return read.sort_deals(deals(s, d), "price").select("deal_id", "sale_price").limit(25)
+@register("SELECT deal_id, store, row_number() OVER (PARTITION BY store ORDER BY price_per_unit NULLS LAST, deal_id)::INT AS by_unit, row_number() OVER (PARTITION BY store ORDER BY discount_percent DESC, deal_id)::INT AS by_discount, row_number() OVER (PARTITION BY store ORDER BY sale_price, deal_id)::INT AS by_price FROM (SELECT *, CASE WHEN line % 3 < 2 THEN floor(sale_price) END AS price_per_unit FROM deals)", DEALS)
+def o4_sorted_deals(s, d):
+    al = deals(s, d).withColumn("price_per_unit", F.when(F.col("line") % 3 < 2, F.floor("sale_price")))
+    place = lambda by: F.row_number().over(Window.partitionBy("store").orderBy(*read.sort_keys(by)))
+    return al.select("deal_id", "store", place("unit_price").alias("by_unit"), place("discount").alias("by_discount"), place("price").alias("by_price"))
 
 
 @register(
@@ -240,10 +244,10 @@ def st1_names(s, d):
 
 
 @register(
-    r"""SELECT doc_id, left(regexp_replace(regexp_replace(translate(lower(left(text, 60)), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 200) AS slug FROM documents"""
+    r"""SELECT doc_id, left(regexp_replace(regexp_replace(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 200) AS slug FROM documents"""
 )
 def st5_slug(s, d):
-    return table(s, d, "documents").select("doc_id", text.slug(F.left("text", F.lit(60))).alias("slug"))
+    return table(s, d, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
 
 
 @register(
@@ -255,14 +259,18 @@ def st6_titles(s, d):
 
 
 KEYWORDS = ("bolt", "red", "gear", "small ring", "6x", "old", "widget")
-RELEVANCE_SQL = r"""rel AS (SELECT *, CASE WHEN len(list_filter(ws, lambda w: starts_with(w, kw) AND list_contains(changing, substr(w, length(kw) + 1)))) > 0 THEN 0
+def relevance_sql(*keywords: str) -> str:
+    return r"""rel AS (SELECT *, CASE WHEN len(list_filter(ws, lambda w: starts_with(w, kw) AND list_contains(changing, substr(w, length(kw) + 1)))) > 0 THEN 0
     WHEN starts_with(w1, kw) OR ends_with(w1, kw) THEN 4 WHEN (starts_with(w2, kw) OR ends_with(w2, kw)) AND list_contains(qualifiers, w1) THEN 4
     WHEN regexp_matches(name, '(^|\s)' || kw || '(\s|\d|$)') THEN 3 WHEN regexp_matches(name, kw || '([\s\d,.)·;!?]|$)') THEN 2
     WHEN len(list_filter(ws, lambda w: starts_with(w, kw) AND length(w) > length(kw))) > 0 THEN 2 WHEN contains(name, kw) THEN 1 ELSE 0 END AS relevance
   FROM (SELECT *, coalesce(ws[1], '') AS w1, coalesce(ws[2], '') AS w2 FROM (SELECT k.kw, product_name, lower(product_name) AS name, list_filter(regexp_split_to_array(lower(product_name), '[\s·,]+'), lambda w: w <> '') AS ws,
     [{changing}] AS changing, [{qualifiers}] AS qualifiers FROM (SELECT DISTINCT product_name FROM deals), (VALUES {kws}) k(kw))))""".format(
-    changing=", ".join(f"'{w}'" for w in V.FORM_CHANGING), qualifiers=", ".join(f"'{w}'" for w in V.QUALIFIERS), kws=", ".join(f"('{k}')" for k in KEYWORDS)
-)
+        changing=", ".join(f"'{w}'" for w in V.FORM_CHANGING), qualifiers=", ".join(f"'{w}'" for w in V.QUALIFIERS), kws=", ".join(f"('{k}')" for k in keywords)
+    )
+
+
+RELEVANCE_SQL = relevance_sql(*KEYWORDS)
 
 
 def basket(df: DataFrame) -> DataFrame:
@@ -362,6 +370,11 @@ def st14_share_links(s, d):
 # --- classification
 
 SAMPLES = ("Lindt Lindor", "Vollmilch", "Poulet Brust", "Schweinesteak", "Emmi Joghurt", "Gala 3-Eier Hörnli", "Nestea-Bar Nestea", "Bärlauch Schnitzel", "Meridol Mundspülung Zahnfleisch", "Pilze", "Reis", "Preiselbeer", "Risotto Tomaten", "Parkside Performance Bohrer", "Crivit", "Papier", "Bier 6x33cl", "Tee", "Olivenöl", "Unbekannt")
+#: A small table of keyword rules for these names; the real one is the user's (sources.rules).
+DEMO_RULES = (
+    ("fresh", "dairy", ("milch", "joghurt")), ("fresh", "poultry", ("poulet",)), ("fresh", "meat", ("steak", "schnitzel", "fleisch")), ("fresh", "vegetables", ("pilze", "tomaten", "lauch")), ("long-life", "pasta-rice", ("reis", "risotto", "hörnli")),
+    ("long-life", "beer", ("bier",)), ("long-life", "wine", ("wein",)), ("long-life", "tea", ("tee", "tea")), ("long-life", "condiments", ("olivenöl",)), ("non-food", "personal-care", ("mundspülung", "zahnpasta")), ("non-food", "paper-goods", ("papier",)), ("non-food", "tools", ("gear", "bolt")),
+)
 LABELS = ("", "Baby", "Softdrinks", "Werkzeug", "Garten & Auto", "Waschen & Putzen")
 
 
@@ -392,14 +405,14 @@ LABELLED = f"""labelled AS (SELECT *, lower(name) AS low, lower(label) AS lab FR
 def sql_cases() -> str:
     cases = [(sql_whole("low", b), *V.BRANDS[b], "brand") for b in classify.longest_first(V.BRANDS)]
     cases += [(f"lab = '{k}'", *v, "source") for k, v in V.SOURCE_LABELS.items()]
-    cases += [(" OR ".join(f"({sql_keyword(k)})" for k in kws), c, sub, "keyword") for c, sub, kws in V.KEYWORD_RULES]
+    cases += [(" OR ".join(f"({sql_keyword(k)})" for k in kws), c, sub, "keyword") for c, sub, kws in DEMO_RULES]
     body = " ".join(f"WHEN {cond} THEN '{c}|{sub}|{tier}'" for cond, c, sub, tier in cases)
     return f"CASE {body} ELSE '{V.DEFAULT_CATEGORY}||fallback' END"
 
 
 @register(f"SELECT p_partkey, string_split(x, '|')[1] AS category, nullif(string_split(x, '|')[2], '') AS sub_category, string_split(x, '|')[3] AS tier, CASE string_split(x, '|')[3] WHEN 'brand' THEN 0.95 WHEN 'source' THEN 0.85 WHEN 'keyword' THEN 0.7 ELSE 0.3 END::DOUBLE AS confidence FROM (SELECT p_partkey, {sql_cases()} AS x FROM labelled)", LABELLED)
 def cl4_categorise(s, d):
-    return ingest.categorised(labelled(s, d), "name", "label").select("p_partkey", "category", "sub_category", "tier", "confidence")
+    return ingest.categorised(labelled(s, d), "name", "label", DEMO_RULES).select("p_partkey", "category", "sub_category", "tier", "confidence")
 
 
 def sql_grocery() -> str:
@@ -428,22 +441,28 @@ def cl9_forms(s, d):
 
 
 def sql_any_sub() -> str:
-    return "CASE " + " ".join(f"WHEN {' OR '.join(f'''contains(low, '{k}') OR contains(coalesce(lab, ''), '{k}')''' for k in kws)} THEN '{sub}'" for _, sub, kws in V.KEYWORD_RULES) + " END"
+    return "CASE " + " ".join(f"WHEN {' OR '.join(f'''contains(low, '{k}') OR contains(coalesce(lab, ''), '{k}')''' for k in kws)} THEN '{sub}'" for _, sub, kws in DEMO_RULES) + " END"
 
 
 @register(f"SELECT p_partkey, {sql_any_sub()} AS sub_category FROM labelled", LABELLED)
 def cl8_any_sub_category(s, d):
-    out = classify.over_distinct(labelled(s, d), ["name", "label"], "sub_category", classify.any_sub_category)
+    out = classify.over_distinct(labelled(s, d), ["name", "label"], "sub_category", lambda n, c: classify.any_sub_category(n, c, DEMO_RULES))
     return out.select("p_partkey", "sub_category")
 
 
-GROUP_RULES = (("small-bolts", "raw", (r"small", r"bolt"), ()), ("red-things", None, (r"^red",), (r"ring", r"gear")), ("rings", "raw", (r"ring$",), ()), ("gear", None, (r"gear",), (r"old",)))
+GROUP_NAMES = ("Bio Vollmilch", "Hafermilch Drink", "Schokolade Milch", "Butter", "Käse", "Rispentomaten", "Tomatenpüree", "Kartoffel Gratin", "Pommes Frites", "Poulet Flügeli", "Pouletbrust", "Rotwein, Rioja", "Steinofen-Pizza", "Erdbeeren", "Erdbeeren Joghurt", "Müller-Thurgau", "Reis Milch", "WC-Papier", "Eier Nudeln", "Hackfleisch Burger")
+
 
+def sql_groups() -> str:
+    hit = lambda p: f"regexp_matches(n, {quoted([p])})"
+    return "CASE " + " ".join("WHEN " + " AND ".join([*map(hit, must), *(f"NOT {hit(p)}" for p in never)]) + f" THEN '{g}|{form}'" for g, form, must, never in GROUP_RULES) + " END"
 
-@register("SELECT p_partkey, CASE WHEN n LIKE '%small%' AND n LIKE '%bolt%' THEN 'small-bolts' WHEN n LIKE 'red%' AND n NOT LIKE '%ring%' AND n NOT LIKE '%gear%' THEN 'red-things' WHEN n LIKE '%ring' THEN 'rings' WHEN n LIKE '%gear%' AND n NOT LIKE '%old%' THEN 'gear' END AS product_group FROM (SELECT p_partkey, lower(p_name) n FROM part)")
+
+@register(f"SELECT p_partkey, split_part(x, '|', 1) AS product_group, split_part(x, '|', 2) AS product_form FROM (SELECT p_partkey, {sql_groups()} AS x FROM (SELECT p_partkey, lower(([{quoted(GROUP_NAMES)}])[(p_partkey % {len(GROUP_NAMES)} + 1)::INT] || ' ' || p_name) n FROM part))")
 def cl7_product_group(s, d):
-    out = classify.over_distinct(table(s, d, "part").select("p_partkey", "p_name"), ["p_name"], "g", lambda n: classify.group_of(n, GROUP_RULES))
-    return out.select("p_partkey", F.col("g.group").alias("product_group"))
+    pick = F.element_at(F.array(*(F.lit(x) for x in GROUP_NAMES)), (F.col("p_partkey") % len(GROUP_NAMES) + 1).cast("int"))
+    named = table(s, d, "part").select("p_partkey", F.concat(pick, F.lit(" "), "p_name").alias("name"))
+    return classify.over_distinct(named, ["name"], "g", classify.group_of).select("p_partkey", F.col("g.group").alias("product_group"), F.col("g.form").alias("product_form"))
 
 
 RULES = "(VALUES ('r1', 'contains', 'BOLT', 11, 20, true), ('r2', 'exact', 'small ring 7 pcs', 12, 5, true), ('r3', 'regex', '^(red|hot) g', 13, 10, true), ('r4', 'multipack', 'widget', 14, 1, true), ('r5', 'brand', 'gear', NULL, 0, true), ('r6', 'contains', 'old', 16, 0, false)) r(id, rule_type, pattern, concept_id, priority, is_active)"
@@ -579,16 +598,43 @@ def j4_unknown_tags(s, d):
     return resolve.unknown_tags(deals(s, d), s.sql(f"SELECT * FROM {ALIASES}"))
 
 
-GROUPS = "(VALUES ('g1', array('bolt', 'small bolt'), array('red')), ('g2', array('ring', 'bolt'), CAST(NULL AS array<string>)), ('g3', array('hot gear'), array('x'))) g(group_id, include, exclude)"
-GROUPS_SQL = "(VALUES ('g1', ['bolt', 'small bolt'], ['red']), ('g2', ['ring', 'bolt'], NULL), ('g3', ['hot gear'], ['x'])) g(group_id, include, exclude)"
+GROUPS = "(VALUES ('g1', array('bolt', 'small bolt'), array('red'), 'raw'), ('g2', array('ring', 'milch'), array('schoko.*', ''), 'raw'), ('g3', array('hot gear'), array('x'), 'frozen'), ('g4', array('voll', 'milchdrink', 'wein'), CAST(NULL AS array<string>), NULL)) g(group_id, include, exclude, product_form)"
+GROUPS_SQL = "(VALUES ('g1', ['bolt', 'small bolt'], ['red'], 'raw'), ('g2', ['ring', 'milch'], ['schoko.*', ''], 'raw'), ('g3', ['hot gear'], ['x'], 'frozen'), ('g4', ['voll', 'milchdrink', 'wein'], NULL, NULL)) g(group_id, include, exclude, product_form)"
+COMPOUNDS = ("", "Vollmilch, ", "Milchdrink ", "(Milch) ", "Schokomilch ", "Rotwein/", "Ringli ")
+COMPOUND = f"SELECT p_partkey, ([{', '.join(repr(x) for x in COMPOUNDS)}])[(p_partkey % {len(COMPOUNDS)} + 1)::INT] || p_name || CASE WHEN p_partkey % 5 = 0 THEN ' Vollmilch' ELSE '' END AS name, CASE WHEN p_partkey % 11 = 0 THEN 'g9' END AS group_id FROM part"
+
+
+def compounds(s: SparkSession, d: str) -> DataFrame:
+    first = F.element_at(F.array(*(F.lit(x) for x in COMPOUNDS)), (F.col("p_partkey") % len(COMPOUNDS) + 1).cast("int"))
+    p = F.col("p_partkey")
+    return table(s, d, "part").select("p_partkey", F.concat(first, "p_name", F.when(p % 5 == 0, " Vollmilch").otherwise("")).alias("name"), F.when(p % 11 == 0, "g9").alias("group_id"))
 
 
 @register(
-    f"""SELECT p_partkey, group_id FROM part LEFT JOIN (SELECT p_name AS n, min_by(group_id, (-length(kw), group_id)) AS group_id FROM (SELECT DISTINCT p_name FROM part), (SELECT group_id, unnest(include) AS kw, exclude FROM {GROUPS_SQL})
-      WHERE contains(lower(p_name), kw) AND len(list_filter(coalesce(exclude, []), lambda x: contains(lower(p_name), x))) = 0 GROUP BY p_name) ON n = p_name"""
+    f"""WITH p AS ({COMPOUND}), hit AS (SELECT p_partkey, group_id, product_form, max(CASE WHEN front THEN length(kw) END) AS long FROM (
+      SELECT p_partkey, g.group_id, product_form, kw, starts_with(lower(name), kw) OR regexp_matches(lower(name), '(^|[^a-z0-9_äöü])' || kw || '($|[^a-z0-9_äöü])') AS front, ends_with(lower(name), kw) AS tail
+      FROM p, (SELECT group_id, unnest(include) AS kw, exclude, product_form FROM {GROUPS_SQL}) g WHERE len(list_filter(coalesce(exclude, []), lambda x: x <> '' AND regexp_matches(lower(name), x))) = 0)
+      WHERE front OR tail GROUP BY ALL),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY long IS NOT NULL, long DESC, group_id) n FROM hit) WHERE n = 1)
+    SELECT p.p_partkey, coalesce(p.group_id, best.group_id) AS group_id, CASE WHEN p.group_id IS NULL THEN best.product_form END AS product_form FROM p LEFT JOIN best USING (p_partkey)"""
 )
 def j10_group_by_keywords(s, d):
-    return resolve.group_by_keywords(table(s, d, "part").select("p_partkey", F.col("p_name").alias("name")), s.sql(f"SELECT * FROM {GROUPS}")).select("p_partkey", "group_id")
+    return resolve.group_by_keywords(compounds(s, d), s.sql(f"SELECT * FROM {GROUPS}")).select("p_partkey", "group_id", "product_form")
+
+
+@register(
+    f"""WITH p AS ({COMPOUND}) SELECT p.p_partkey, coalesce(p.group_id, min(g.group_id)) AS group_id FROM p LEFT JOIN (SELECT group_id, unnest(include) AS kw, exclude FROM {GROUPS_SQL}) g
+      ON contains(lower(name), kw) AND len(list_filter(coalesce(exclude, []), lambda x: x <> '' AND contains(lower(name), x))) = 0 GROUP BY p.p_partkey, p.group_id"""
+)
+def j11_group_by_substrings(s, d):
+    return resolve.group_by_keywords(compounds(s, d), s.sql(f"SELECT * FROM {GROUPS}"), substring=True).select("p_partkey", "group_id")
+
+
+@register(f"WITH p AS ({COMPOUND}) SELECT CASE WHEN contains(lower(name), 'wein') THEN 'g4' ELSE 'other' END AS kind, count(*) AS n FROM p WHERE group_id IS NULL AND contains(lower(name), 'rotwein') GROUP BY 1")
+def u11_backfill_groups(s, d):
+    """Of names with wine in them: `wein` only ends a word here, so the longest keyword of another group may win; counted by name."""
+    got = resolve.backfill_groups(compounds(s, d).withColumn("name", F.when(F.lower("name").contains("rotwein"), F.concat("name", F.lit(" wein")))).filter("name is not null"), s.sql("SELECT * FROM (VALUES ('g4', array('wein'), CAST(NULL AS array<string>))) g(group_id, include, exclude)"))
+    return got.groupBy(F.col("group_id").alias("kind")).agg(F.count("*").alias("n"))
 
 
 @register("SELECT p_partkey FROM part WHERE p_name LIKE '%bolt%' AND p_name LIKE '%red%'")
@@ -671,16 +717,24 @@ def j18_similar_names(s, d):
     return compare.similar_names(live(s, d))
 
 
-@register()
+MATCHED = """matched AS (SELECT k.kw AS item_id, coalesce(b.store, 'none') AS best_store, b.deal_id, b.sale_price, coalesce(b.stores, 0)::BIGINT AS stores,
+      k.kw = 'gear' AND (SELECT count(DISTINCT store) = 7 FROM deals WHERE product_group = 'gear' AND original_price IS NOT NULL) AS show_regular FROM (VALUES {kws}) k(kw)
+    LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY item_id) AS stores, row_number() OVER (PARTITION BY item_id ORDER BY sale_price, list_position(['migros','coop','lidl','aldi','denner','spar','volg'], store)) AS p FROM (
+      SELECT item_id, store, deal_id, sale_price FROM (SELECT kw AS item_id, l.store, l.deal_id, l.sale_price, row_number() OVER (PARTITION BY kw, l.store ORDER BY (kw = 'bolt' AND contains(name, 'small')) DESC, relevance + (relevance >= 3 AND len(ws) <= 4)::INT DESC, discount_percent DESC, deal_id) n
+        FROM rel JOIN live l USING (product_name) WHERE kw <> 'gear' AND relevance >= 2 AND discount_percent > 0 AND NOT (kw = 'bolt' AND contains(name, 'red'))) WHERE n = 1
+      UNION ALL SELECT 'gear', store, deal_id, sale_price FROM (SELECT *, row_number() OVER (PARTITION BY store ORDER BY discount_percent DESC, deal_id) n FROM live WHERE product_group = 'gear' AND discount_percent > 0) WHERE n = 1)) b ON b.item_id = k.kw AND b.p = 1)""".format(kws=", ".join(f"('{k}')" for k in KEYWORDS))
+
+
+@register("SELECT * FROM matched", DEALS, ACTIVE, RELEVANCE_SQL, MATCHED)
 def j16_match_basket(s, d):
     al, products = with_products(s, d)
     return compare.match_basket(basket(al), al, products)
 
 
-@register()
+@register("SELECT best_store, list(item_id ORDER BY item_id) AS items, floor(sum(sale_price) * 100 + 0.5) / 100 AS total FROM matched GROUP BY best_store", DEALS, ACTIVE, RELEVANCE_SQL, MATCHED)
 def a22_split_list(s, d):
     al, products = with_products(s, d)
-    return compare.split_list(compare.match_basket(basket(al), al, products))
+    return compare.split_list(compare.match_basket(basket(al), al, products)).withColumn("total", units.cents(F.col("total")))
 
 
 @register("SELECT product_group, store, min(original_price) AS regular_price FROM deals GROUP BY ALL", DEALS)
@@ -724,13 +778,24 @@ def j22_by_category(s, d):
     return compare.by_category(items, s.sql(f"SELECT * FROM {BROWSE}"), live(s, d))
 
 
-@register()
+STARTERS = "(VALUES ('fresh', 'bolt', 1), ('fresh', 'small', 2), ('long-life', 'ring', 3), ('non-food', 'gear', 4)) t(category, keyword, ord)"
+
+
+@register(
+    f"""SELECT deal_id, coalesce(k.keyword, l.product_name) AS keyword FROM live l LEFT JOIN (SELECT product_name, category, min_by(keyword, (-relevance, ord)) AS keyword FROM rel JOIN {STARTERS} ON keyword = kw WHERE relevance >= 3 GROUP BY ALL) k
+    ON k.product_name = l.product_name AND k.category = l.category""",
+    DEALS, ACTIVE, relevance_sql("bolt", "small", "ring", "gear"),
+)
 def j23_keyword_for_deal(s, d):
-    starters = s.sql("SELECT * FROM (VALUES ('fresh', 'bolt', 1), ('fresh', 'small', 2), ('long-life', 'ring', 3), ('non-food', 'gear', 4)) t(category, keyword, ord)")
-    return compare.keyword_for(live(s, d), starters).select("deal_id", "keyword")
+    return compare.keyword_for(live(s, d), s.sql(f"SELECT * FROM {STARTERS}")).select("deal_id", "keyword")
 
 
-@register()
+@register(
+    """SELECT product_id, name, deal_id, 4 AS relevance FROM (SELECT p.product_id, p.name, b.deal_id, row_number() OVER (ORDER BY b.deal_id IS NULL, b.discount_percent DESC, p.product_id) n
+      FROM (SELECT DISTINCT store || '|' || p_name AS product_id, p_name AS name FROM deals WHERE product_group = 'gear') p
+      LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY discount_percent DESC, deal_id) r FROM (SELECT store || '|' || p_name AS product_id, * FROM live)) b ON b.product_id = p.product_id AND b.r = 1) WHERE n <= 8""",
+    DEALS, ACTIVE,
+)
 def j21_search_products(s, d):
     al, products = with_products(s, d)
     groups = products.select(F.col("product_group").alias("group_id"), F.col("product_group").alias("label")).distinct()

@@ -21,7 +21,9 @@ def store_of(c):
 
 def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as deals; repeated line items are one deal."""
-    li, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    raw = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+    # once over the columns themselves: filters on what is made of them go below, to the scan
+    li, part = table(spark, sf_dir, "lineitem").select(*raw).distinct(), table(spark, sf_dir, "part")
     d = li.join(part, li["l_partkey"] == part["p_partkey"])
     whole = lambda c, k: half_up(F.col(c) * k).cast("long").cast("string")
     ident = F.md5(
@@ -33,7 +35,7 @@ def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
     third = F.col("l_linenumber") % 3
     size = F.col("p_size").cast("string")
     day = F.col("l_shipdate").cast("date")
-    d = d.select(
+    return d.select(
         ident.alias("deal_id"), store_of(F.col("l_suppkey")).alias("store"),
         F.concat("p_name", F.lit(" "), F.when(third == 0, F.concat(size, F.lit("g"))).when(third == 1, F.concat(F.lit("6x"), size, F.lit("cl"))).otherwise(F.concat(size, F.lit(" pcs")))).alias("product_name"),
         "p_name", F.col("p_partkey").alias("concept_id"), F.col("l_suppkey").alias("supplier_id"), F.when(F.col("p_type").isin("ECONOMY", "SMALL"), "fresh").when(F.col("p_type").isin("MEDIUM", "PROMO"), "long-life").otherwise("non-food").alias("category"),
@@ -42,7 +44,6 @@ def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
         day.alias("valid_from"), F.when(F.col("l_linenumber") != 7, F.date_add(day, F.col("l_linenumber") + 7)).alias("valid_to"), (F.col("l_linestatus") == "O").alias("is_active"),
         (day + F.make_dt_interval(hours=F.col("l_linenumber"))).cast("timestamp_ntz").alias("updated_at"), F.col("l_linenumber").alias("line"),
     )
-    return d.dropDuplicates(["deal_id"])
 
 
 #: `deals AS (...)`, the same in DuckDB.

@@ -6,30 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.classify import Rules
 from ..operators import ingest
-from ..operators.store import read_table, upsert, write_table
+from ..operators.store import has_table, read_table, upsert, write_table
 
 KEYS = ["store", "product_name", "valid_from"]
 
 
-def ingest_batch(raw: DataFrame) -> DataFrame:
-    """Raw feed rows as stored deals, one a key."""
+def ingest_batch(raw: DataFrame, rules: Rules = ()) -> DataFrame:
+    """Raw feed rows as stored deals, one a key; rules are the user's keywords."""
     valid, _ = ingest.split_valid(raw)
     kept = ingest.filter_grocery(valid).filter("grocery.keep").drop("grocery")
-    rows = ingest.to_row(ingest.with_unit_price(ingest.categorised(kept)))
+    rows = ingest.to_row(ingest.with_unit_price(ingest.categorised(kept, rules=rules)))
     return ingest.best_per_key(rows, KEYS, order="id")
 
 
-def stream_feeds(spark: SparkSession, source: str, table: str, checkpoint: str) -> StreamingQuery:
+def stream_feeds(spark: SparkSession, source: str, table: str, checkpoint: str, rules: Rules = ()) -> StreamingQuery:
     """Ingests new JSON files of source into table until they are used up. A replayed batch changes nothing: the merge is by key."""
 
     def apply(batch: DataFrame, _: int) -> None:
-        rows = ingest_batch(batch)
-        try:
+        rows = ingest_batch(batch, rules)
+        if has_table(batch.sparkSession, table):
             rows = upsert(read_table(batch.sparkSession, table), rows, KEYS)
-        except Exception as e:  # no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
         write_table(rows, table)
 
     rows = spark.readStream.schema(ingest.RAW).option("multiLine", True).json(source)

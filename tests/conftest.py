@@ -1,3 +1,5 @@
+import tempfile
+
 import pytest
 from pyspark.sql import SparkSession
 
@@ -7,6 +9,7 @@ SESSION = (
     .config("spark.driver.memory", "4g").config("spark.sql.warehouse.dir", "/tmp/larder-test-warehouse").getOrCreate()
 )
 SESSION.sparkContext.setLogLevel("ERROR")
+SESSION.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="larder-"))
 
 
 @pytest.fixture(scope="session")

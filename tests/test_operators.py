@@ -2,15 +2,20 @@
 
 import datetime as dt
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from larder.functions.values import STORES
 from larder.operators import compare, ingest, read, resolve, store, suggest, verdict
+from larder.operators import terms as terms_in
 from larder.sources import cards, feeds
+from larder.sources import rules as keyword_rules
 from larder.streaming import ingest as streaming
 
+from . import plain
+
 DEAL = "deal_id string, store string, product_name string, category string, sub_category string, category_slug string, discount_percent int, sale_price double, valid_from date, valid_to date, is_active boolean, updated_at timestamp_ntz, concept_id long"
 
 
@@ -180,7 +185,7 @@ def plain_greedy(rows):
                     continue
                 best, top = None, 0
                 for c in sorted((r for r in rows if r["store"] == t and r["deal_id"] not in used), key=lambda r: r["deal_id"]):
-                    n = max(compare._relevance(a["product_name"], c["product_name"]), compare._relevance(c["product_name"], a["product_name"]))
+                    n = max(plain.relevance(a["product_name"], c["product_name"]), plain.relevance(c["product_name"], a["product_name"]))
                     if c["sub_category"] == a["sub_category"] and n >= 3 and n > top:
                         best, top = c, n
                 if best:
@@ -231,12 +236,13 @@ def test_feeds_and_streaming(spark, tmp_path):
     (src / "aldi-suisse-deals.json").write_text("{broken")
     rows = feeds.read_feeds(spark, str(src))
     assert sorted(r.store for r in rows.collect()) == ["coop", "coop", "coop", "lidl"]
-    batch = streaming.ingest_batch(rows)
+    rules = [("fresh", "dairy", ("butter",))]
+    batch = streaming.ingest_batch(rows, rules)
     assert sorted((r.store, r.product_name, r.discount_percent, r.canonical_unit) for r in batch.collect()) == [("coop", "butter 250g", 34, "L"), ("lidl", "butter 250g", 34, "L")]
     for _ in range(2):
-        streaming.stream_feeds(spark, str(src), str(tmp_path / "table"), str(tmp_path / "cp")).awaitTermination()
+        streaming.stream_feeds(spark, str(src), str(tmp_path / "table"), str(tmp_path / "cp"), rules).awaitTermination()
     feed(src, "spar-deals.json", [raw(store="spar"), raw(store="spar", discountPercent=40.0)])
-    streaming.stream_feeds(spark, str(src), str(tmp_path / "table"), str(tmp_path / "cp")).awaitTermination()
+    streaming.stream_feeds(spark, str(src), str(tmp_path / "table"), str(tmp_path / "cp"), rules).awaitTermination()
     got = {(r.store, r.discount_percent) for r in store.read_table(spark, str(tmp_path / "table")).collect()}
     assert got == {("coop", 34), ("lidl", 34), ("spar", 40)}
 
@@ -251,3 +257,56 @@ def test_api_cards(spark):
 def test_run_log(spark):
     log = ingest.run_log(ingest.store_status(deals(spark, {}, dict(store="coop"), dict(store="coop"))), "r1", "2026-04-01 00:00:00").first()
     assert log.total_stored == 3 and log.store_results["coop"]["status"] == "success" and log.store_results["aldi"]["status"] == "failed"
+
+
+def test_groups_by_keywords(spark):
+    names = ["vollmilch 1l", "Milch, frisch", "bio milch", "milchdrink 500ml", "pouletbrustfilet", "(Rioja) rot", "x.milch.y", "buttermilch", "Schokomilch", "milch1", "mil", "", None]
+    groups = [("g1", ["milch"], ["schoko."], "raw"), ("g2", ["milchdrink", "butter", "Pouletbrust"], None, None), ("g3", ["rioja", "a.b", ""], [""], "x")]
+
+    def plain_group(n, substring):
+        best = None
+        for g, include, exclude, form in groups:
+            low = n.lower()
+            if any(x and ((x.lower() in low) if substring else re.search(x, low)) for x in exclude or []):
+                continue
+            front = [k for k in include if k and (low.startswith(k.lower()) or re.search(rf"(?<!\w)(?=\w){re.escape(k.lower())}(?<=\w)(?!\w)", low))]
+            hit = [k for k in include if k and (k.lower() in low if substring else low.endswith(k.lower()) or k in front)]
+            rank = (g,) if substring else (bool(front), -max(map(len, front), default=0), g)
+            if hit and (best is None or rank < best[0]):
+                best = rank, g, form
+        return best[1:] if best else (None, None)
+
+    p = spark.createDataFrame([(n, None) for n in names] + [("milch", "mine")], "name string, group_id string")
+    g = spark.createDataFrame(groups, "group_id string, include array<string>, exclude array<string>, product_form string")
+    for substring in (False, True):
+        got = {r.name: (r.group_id, r.product_form) for r in resolve.group_by_keywords(p.filter("group_id is null"), g, substring=substring).collect()}
+        assert got == {n: plain_group(n, substring) if n else (None, None) for n in names}
+    assert got["Milch, frisch"] == ("g1", "raw")
+    assert resolve.group_by_keywords(p.filter("group_id = 'mine'"), g).first().group_id == "mine"
+    assert {r.name for r in resolve.backfill_groups(p, g).collect()} == {n for n in names if n and plain_group(n, False)[0]}
+
+
+def test_terms_in_names(spark):
+    names, terms = ["Bio Milch", "öl", "a", "Käse-Mix", None, "aaa"], ["milch", "a", "AA", "öl", "se-m", "", "bio milch x", None]
+    got = terms_in.containing(spark.createDataFrame([(n,) for n in names * 2], "n string"), spark.createDataFrame([(t,) for t in terms * 2], "t string"), "n", "t")
+    assert sorted(map(tuple, got.collect())) == sorted((n, t) for n in names if n for t in terms if t and t.lower() in n.lower())
+
+
+def test_keyword_rules_are_the_users(spark, tmp_path):
+    (tmp_path / "rules.json").write_text('{"category": "fresh", "sub_category": "dairy", "keywords": ["Milch", ""]}\n\n{"category": "x", "keywords": []}\n{"category": "non-food", "keywords": ["milchkanne"]}\n')
+    rules = keyword_rules.read_rules(spark, str(tmp_path / "rules.json"))
+    assert rules == [("fresh", "dairy", ("milch",)), ("non-food", None, ("milchkanne",))]
+    d = deals(spark, dict(product_name="Milchkanne", category="fresh", sub_category="dairy"), dict(product_name="Reis", category="fresh"), dict(product_name="alt", is_active=False)).withColumn("source_category", F.lit(None).cast("string"))
+    assert [tuple(r) for r in ingest.recategorised(d, rules).collect()] == [("1", "long-life", None)]
+    m = {r.product_name: r.metadata for r in ingest.with_metadata(d, rules).collect()}
+    assert m["Milchkanne"]["sub_category"] == "dairy" and m["Reis"]["form"] == "raw"
+
+
+def test_stamps_and_guards(spark):
+    before = spark.createDataFrame([(1, "a", "old"), (2, "b", "old")], "k int, v string, updated_at string")
+    after = spark.createDataFrame([(1, "a", "old"), (2, "c", "old"), (3, "d", "old")], "k int, v string, updated_at string")
+    assert {r.k: r.updated_at for r in store.touched(before, after, ["k"], "new").collect()} == {1: "old", 2: "new", 3: "old"}
+    rows = spark.createDataFrame([(["a", "b"], ["b", "c"]), (["a"], ["c"]), (None, ["c"])], "s array<string>, c array<string>")
+    assert [r[0] for r in rows.select(read.guarded_stores(F.col("s"), F.col("c"))).collect()] == [["b"], ["c"], ["c"]]
+    c = spark.createDataFrame([("g", "product-group", 5), ("n", "name-similarity", 90), ("h", "product-group", 7)], "group string, kind string, discount_percent int")
+    assert [r.group for r in compare.in_order(c).orderBy("place").collect()] == ["h", "g", "n"]
