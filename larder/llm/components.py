@@ -1,7 +1,11 @@
-"""Connected components of an edge table, by minimum labels and pointer jumping.
+"""Connected components of an edge table, by contraction.
 
-Every round, a vertex takes the smallest label among its own and its neighbours', then the label of that label. Rounds go on
-until nothing changes; each is written to the shared folder. Only the number of changes goes to the driver.
+Every round, a vertex goes over to the smallest of itself and its neighbours; edges are carried over, and what has become one
+edge or a loop goes. So each round joins fewer edges than the one before, and a star needs one. The last vertex left of a
+component is its smallest. The way back gives every vertex its label, round by round. Vertices are digests, whose order has
+nothing to do with the edges: a share of the vertices goes each round, whatever the graph's shape (a path too). A vertex of
+very many edges makes a large partition of the merge join, which Spark splits. Rounds are written to the shared folder; only
+whether edges are left goes to the driver.
 """
 
 from __future__ import annotations
@@ -9,20 +13,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, label) of every vertex of edges (a, b); the label is the component's smallest vertex."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = materialize(both, "edges")
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("label")), "labels")
-    while True:
-        near = both.join(labels, both["b"] == labels["v"]).groupBy("a").agg(F.min("label").alias("m"))
-        step = labels.join(near, labels["v"] == near["a"]).select("v", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        jump = labels.select(F.col("v").alias("w"), F.col("label").alias("far"))
-        step = step.join(jump, step["label"] == jump["w"]).select("v", "old", F.least("label", "far").alias("label"))
-        step = materialize(step, "labels")
-        labels = step.select("v", "label")
-        if step.filter("old <> label").isEmpty():
-            return labels
+    left = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    rounds: list[DataFrame] = []
+    while not rounds or not left.isEmpty():
+        ends = left.select(F.col("a").alias("v"), F.col("a").alias("m")).unionByName(left.select(F.col("b").alias("v"), F.col("a").alias("m")))
+        to = materialize(ends.groupBy("v").agg(F.min("m").alias("m")), "contracted")
+        rounds.append(to)
+        one, two = to.select(F.col("v").alias("a"), F.col("m").alias("x")), to.select(F.col("v").alias("b"), F.col("m").alias("y"))
+        moved = left.join(one.hint("merge"), "a").join(two.hint("merge"), "b").filter("x <> y")
+        after = materialize(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        discard(left)
+        left = after
+    labels = rounds.pop().select("v", F.col("m").alias("label"))
+    while rounds:
+        to = rounds.pop()
+        labels = materialize(to.join(labels.withColumnRenamed("v", "m"), "m", "left").select("v", F.coalesce("label", "m").alias("label")), "labels")
+    return labels

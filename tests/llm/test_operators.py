@@ -540,3 +540,31 @@ def test_chat_matches_sql(spark, sf_dir):
     c.sql(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet'")
     assert {tuple(r) for r in Q.op9_chat_format(spark, sf_dir).collect()} == set(c.sql(Q.SQL_OP9).fetchall())
     assert hashlib.sha256(b"").hexdigest() == brute.sha(b"")
+
+
+def test_components_of_any_shape(spark):
+    import hashlib
+    import random
+
+    from larder.llm.components import components
+
+    name = lambda k: hashlib.md5(str(k).encode()).digest()
+    rng = random.Random(3)
+    path = [(k, k + 1) for k in range(300)]
+    star = [(1000, 1000 + k) for k in range(1, 400)]
+    some = [(2000 + rng.randrange(200), 2000 + rng.randrange(200)) for _ in range(150)]
+    pairs = path + star + some + some[:20] + [(5000, 5000)]
+    parent: dict[bytes, bytes] = {}
+
+    def root(v):
+        while parent.setdefault(v, v) != v:
+            v = parent[v]
+        return v
+
+    for a, b in pairs:
+        x, y = sorted((root(name(a)), root(name(b))))
+        parent[y] = x
+    edges = spark.createDataFrame([(bytearray(name(a)), bytearray(name(b))) for a, b in pairs], "a binary, b binary")
+    got = components(edges).collect()
+    assert {bytes(r.v): bytes(r.label) for r in got} == {v: root(v) for v in parent} and len(got) == len(parent)
+    assert components(edges.filter("false")).count() == 0
