@@ -14,6 +14,8 @@ from larder.llm.common import fresh, materialize, tune
 
 #: A document whose language is less certain than this goes.
 CERTAIN = 0.5
+#: Bytes of a string that repeats: a passage of over fifty words, even of short ones (four bytes with their space).
+PASSAGE = 200
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +33,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes strings of suffix.PASSAGE bytes, about fifty words, that occur more than once from the texts; documents stay."""
+    """Removes strings of PASSAGE bytes that occur more than once from the texts; documents stay."""
     tune(spark)
-    return suffix.strip_repeats(docs, length=suffix.PASSAGE).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return suffix.strip_repeats(docs, length=PASSAGE).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ def test_stages(spark, sf_dir):
     before, after = seen["n-gram Jaccard join"]
     assert set(after) == {c for c, _, _ in brute.near(list(before.items())).values()}
     before, after = seen["suffix-array dedup"]
-    want = {r[0]: (r[1], r[2]) for r in brute.suffix(list(before.items()), 250)}
+    want = {r[0]: (r[1], r[2]) for r in brute.suffix(list(before.items()), corpus_pipeline.PASSAGE)}
     assert set(after) == set(before)
     for k, t in after.items():
         assert abs(len(t.encode()) - (want[k][0] - want[k][1])) <= 3 * 2 * max(1, want[k][1] > 0) * 3 and (want[k][1] > 0 or t == before[k])
