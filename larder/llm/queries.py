@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontaminate, langid, lm, near, sharding, substring, suffix
+from . import ann, bpe, chat, codes, decontaminate, langid, lm, near, resample, sharding, substring, suffix
 from .common import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,9 +114,77 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(docs).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per vector: its code by codebooks of sixteen parts, and the squared error."""
+    return codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def _assigned(books: str) -> str:
+    """SQL: every part with its nearest entry in a codebook table."""
+    return f"""SELECT r, part, p, arg_min(entry, d * 64 + entry) AS entry, min(d) AS d FROM (
+    SELECT v.r, v.part, v.p, e.entry, list_sum(list_transform(list_zip(v.p, e.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM parts v JOIN {books} e USING (part)) GROUP BY r, part, p"""
+
+
+def _moved(books: str, assigned: str) -> str:
+    """SQL: the codebooks after a round."""
+    return f"""SELECT e.part, e.entry, coalesce(m.c, e.c) AS c FROM {books} e LEFT JOIN (
+    SELECT part, entry, list(floor(total::DOUBLE / n)::BIGINT ORDER BY k) AS c FROM (
+      SELECT part, entry, k, sum(p[k]) AS total, count(*) AS n FROM {assigned}, range(1, len(p) + 1) t(k) GROUP BY part, entry, k)
+    GROUP BY part, entry) m USING (part, entry)"""
+
+
+SQL_OP12 = f"""
+WITH kept AS (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id, embedding) AS r, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), parts AS MATERIALIZED (
+  SELECT r, part, v[part * (len(v) // 16) + 1:(part + 1) * (len(v) // 16)] AS p FROM kept, range(16) t(part)
+), b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, p AS c FROM parts WHERE r <= 64),
+a0 AS MATERIALIZED ({_assigned("b0")}), b1 AS MATERIALIZED ({_moved("b0", "a0")}),
+a1 AS MATERIALIZED ({_assigned("b1")}), b2 AS MATERIALIZED ({_moved("b1", "a1")}),
+a2 AS MATERIALIZED ({_assigned("b2")}),
+coded AS (SELECT r, string_agg(lower(lpad(hex(entry), 2, '0')), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM b2) AS codebooks_sha256
+FROM kept JOIN coded USING (r)
+"""
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: how much like the benchmark its words are, and its rank among the tenth drawn."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample.resample(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+SQL_OP13 = r"""
+WITH crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) r(i))
+), lowered AS (
+  SELECT doc_id, true AS own, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+  UNION ALL SELECT item_id, false, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark
+), found AS (SELECT doc_id, own, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM lowered),
+counted AS MATERIALIZED (SELECT doc_id, own, w, count(*) AS n FROM found GROUP BY ALL),
+bucketed AS MATERIALIZED (
+  SELECT w, xor(list_reduce(list_concat([4294967295], list_transform(range(octet_length(encode(w))), lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) % 10000 AS bucket FROM (SELECT DISTINCT w FROM counted), crc
+), sums AS (
+  SELECT bucket, coalesce(sum(n) FILTER (WHERE own), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (WHERE NOT own), 0)::DOUBLE AS t FROM counted JOIN bucketed USING (w) GROUP BY bucket
+), gain AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM sums) + 10000) / ((s + 1) * ((SELECT sum(t) FROM sums) + 10000))))::BIGINT AS g FROM sums
+), weights AS (
+  SELECT doc_id, sum(n)::BIGINT AS n_features, floor(sum(n * g)::DOUBLE / sum(n))::BIGINT AS weight FROM counted JOIN bucketed USING (w) JOIN gain USING (bucket) WHERE own GROUP BY doc_id
+), scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM documents LEFT JOIN weights USING (doc_id)
+), ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS k, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN k <= 10 * n // 100 THEN k END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_hilbert_ann, op3_ngram_jaccard, op4_decontaminate, op5_byte_bpe, op6_lm_score, op7_suffix_dedup, op8_language_id, op9_chat_format, op10_sharding)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_hilbert_ann, op3_ngram_jaccard, op4_decontaminate, op5_byte_bpe, op6_lm_score, op7_suffix_dedup, op8_language_id, op9_chat_format, op10_sharding, op12_vector_codes, op13_resample)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_format": SQL_OP9}
+    return {"op9_chat_format": SQL_OP9, "op12_vector_codes": SQL_OP12, "op13_resample": SQL_OP13}
