@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, codes, decontaminate, langid, lm, near, resample, sharding, substring, suffix
+from . import ann, bpe, chat, codes, decontaminate, langid, lm, near, pii, resample, sharding, substring, suffix
 from .common import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,6 +114,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(docs).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: personal data that the patterns find, and all spans with what the model adds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(docs).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per vector: its code by codebooks of sixteen parts, and the squared error."""
     return codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
@@ -183,7 +189,7 @@ SELECT doc_id, n_features, weight, score, CASE WHEN k <= 10 * n // 100 THEN k EN
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_hilbert_ann, op3_ngram_jaccard, op4_decontaminate, op5_byte_bpe, op6_lm_score, op7_suffix_dedup, op8_language_id, op9_chat_format, op10_sharding, op12_vector_codes, op13_resample)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_hilbert_ann, op3_ngram_jaccard, op4_decontaminate, op5_byte_bpe, op6_lm_score, op7_suffix_dedup, op8_language_id, op9_chat_format, op10_sharding, op11_pii, op12_vector_codes, op13_resample)}
 
 
 def oracle_sql() -> dict[str, str]:
