@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
 from ..functions.values import STORES
+from .steps import forget, step
 from .terms import containing
 
 
@@ -124,44 +126,56 @@ def alike_names(names: DataFrame, least: int = 3) -> DataFrame:
     return hit.unionByName(back).groupBy("sub", "a", "b").agg(F.max("score").alias("score"))
 
 
+def alike_offers(deals: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
+    """The cheapest offer of each sub-category, store and name, as vertices (u: struct<place, deal_id>), and the links (u, v, score) of those of two stores whose names are alike, both ways."""
+    known = deals.withColumn("place", store_place(F.col("store"))).filter("place > 0")
+    sub = F.coalesce(F.concat(F.lit("="), "sub_category"), F.lit("")).alias("sub")
+    one = first_by(known, ["sub_category", "store", "product_name"], "sale_price", "deal_id").select(sub, F.struct("place", "deal_id").alias("u"), "store", "product_name", "sale_price")
+    pairs = alike_names(one.select("sub", F.col("product_name").alias("name")).distinct(), least)
+    left = one.select("sub", F.col("product_name").alias("a"), "u").join(pairs, ["sub", "a"])
+    links = left.join(one.select("sub", F.col("product_name").alias("b"), F.col("u").alias("v")), ["sub", "b"]).filter("u.place <> v.place")
+    return one.drop("sub"), links.select("u", "v", "score")
+
+
+def greedy_rounds(links: DataFrame) -> DataFrame:
+    """(anchor, u) of the greedy matching of links (u, v, score), which hold both directions: in the order of u, each free offer with a free partner takes the best free partner of every other store.
+
+    What an offer does depends on earlier ones only through offers that both are linked to, or their own link. So in a round every
+    offer that is the first among those within two links acts at once, and what is used goes with its links; the first offer of all
+    always acts, and the result is that of the loop. An offer without links left has had its turn and takes part no more.
+    A round is three groupings and joins of the links that are left; only whether any are goes to the driver.
+    """
+    links, found = step(links, "links"), []
+    empty = links.select(F.col("u").alias("anchor"), "u").limit(0)
+    while not links.isEmpty():
+        near = links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        reach = links.join(near.withColumnsRenamed({"u": "v"}), "v").groupBy("u").agg(F.min("m").alias("m"))
+        acting = reach.filter(F.col("m") == F.col("u")).select("u")
+        best = F.min_by("v", F.struct(-F.col("score"), F.col("v.deal_id")))
+        taken = step(links.join(acting, "u", "left_semi").groupBy("u", "v.place").agg(best.alias("v")).select(F.col("u").alias("anchor"), F.col("v").alias("u")), "taken")
+        found.append(taken)
+        used = taken.select("u").unionByName(taken.select(F.col("anchor").alias("u")).distinct())
+        rest = step(links.join(used, "u", "left_anti").join(used.withColumnRenamed("u", "v"), "v", "left_anti").select("u", "v", "score"), "links")
+        forget(links)
+        links = rest
+    both = reduce(DataFrame.unionByName, found, empty)
+    return both.unionByName(both.select("anchor", F.col("anchor").alias("u")).distinct())
+
+
 def similar_names(deals: DataFrame, least: int = 3) -> DataFrame:
     """Greedy comparisons by name within a sub-category (null is one of its own): match_id, deal_id, store, label, best_store.
 
     Stores come in their order, deals by id; each free deal takes, from every other store, the free deal whose name is most alike
-    (either way round, the first of equals), and all of a match are used up. least: 3 or more. Pairs of alike names come from
-    Spark; the loop, whose order makes a sub-category one task, goes once over the distinct (store, name) and these pairs.
+    (either way round, the first of equals), and all of a match are used up. least: 3 or more.
     """
-
-    def greedy(rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        offers = {(d.store, d.product_name): d for d in rows.itertuples(index=False)}
-        near: dict[str, list[tuple[str, int]]] = {}
-        for a, b, score in zip(pairs["a"], pairs["b"], pairs["score"]):
-            near.setdefault(a, []).append((b, score))
-        used, out = set(), []
-        place = {s: k for k, s in enumerate(STORES)}
-        for anchor in sorted((d for d in offers.values() if d.store in place), key=lambda d: (place[d.store], d.deal_id)):
-            if anchor.deal_id in used:
-                continue
-            best: dict[str, tuple] = {}
-            for name, score in near.get(anchor.product_name, ()):
-                for store in STORES:
-                    d = offers.get((store, name))
-                    if store != anchor.store and d is not None and d.deal_id not in used and (-score, d.deal_id) < best.get(store, (0, "", None))[:2]:
-                        best[store] = (-score, d.deal_id, d)
-            if not best:
-                continue
-            found = [anchor, *(best[s][2] for s in STORES if s in best)]
-            used.update(d.deal_id for d in found)
-            low = min(d.sale_price for d in found)
-            at_low = [d.store for d in found if d.sale_price == low]
-            label = min((d.product_name for d in found), key=len)
-            out += [(f"ns-{anchor.deal_id}", d.deal_id, d.store, label, at_low[0] if len(at_low) == 1 else "tie") for d in found]
-        return pd.DataFrame(out, columns=["match_id", "deal_id", "store", "label", "best_store"])
-
-    sub = F.coalesce(F.concat(F.lit("="), "sub_category"), F.lit("")).alias("sub")
-    one = first_by(deals, ["sub_category", "store", "product_name"], "sale_price", "deal_id").select(sub, "store", "product_name", "deal_id", "sale_price")
-    pairs = alike_names(one.select("sub", F.col("product_name").alias("name")).distinct(), least)
-    return one.groupBy("sub").cogroup(pairs.withColumnRenamed("sub", "of").groupBy("of")).applyInPandas(greedy, "match_id string, deal_id string, store string, label string, best_store string")
+    one, links = alike_offers(deals, least)
+    w = Window.partitionBy("anchor")
+    rows = greedy_rounds(links).join(one, "u")
+    low = rows.withColumn("low", F.min("sale_price").over(w) == F.col("sale_price"))
+    winner = F.when(F.count_if("low").over(w) > 1, "tie").otherwise(F.max(F.when(F.col("low"), F.col("store"))).over(w))
+    # the shortest name, the anchor's before others, then by store
+    label = F.min(F.struct(F.length("product_name").alias("n"), (F.col("u") != F.col("anchor")).alias("other"), "u.place", "product_name")).over(w)["product_name"]
+    return low.select(F.concat(F.lit("ns-"), "anchor.deal_id").alias("match_id"), "u.deal_id", "store", label.alias("label"), winner.alias("best_store"))
 
 
 def in_order(comparisons: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 import re
 
 import pytest
@@ -196,16 +197,55 @@ def plain_greedy(rows):
     return sorted(out)
 
 
+def plain_outcome(rows):
+    """Label and best store of each match of the plain matching."""
+    by, out = {r["deal_id"]: r for r in rows}, {}
+    for m, _ in plain_greedy(rows):
+        own = [by[d] for x, d in plain_greedy(rows) if x == m] if m not in out else None
+        if own:
+            own.sort(key=lambda r: (f"ns-{r['deal_id']}" != m, STORES.index(r["store"])))
+            low = [r["store"] for r in own if r["sale_price"] == min(x["sale_price"] for x in own)]
+            out[m] = (min((r["product_name"] for r in own), key=len), low[0] if len(low) == 1 else "tie")
+    return out
+
+
+def once_a_name(rows):
+    """The offers that take part: the cheapest of a store and name in a sub-category."""
+    first = {}
+    for r in sorted(rows, key=lambda r: (r["sale_price"], r["deal_id"])):
+        first.setdefault((r["store"], r["product_name"], r["sub_category"]), r)
+    return list(first.values())
+
+
 def test_greedy_names(spark):
-    names = ["milch 1l", "bio milch", "vollmilch", "brot", "ruchbrot hell", "brot hell", "käse"]
-    rows = [dict(deal_id=f"{k:02}", store=STORES[k % 4], product_name=names[k * 3 % 7], sub_category=["a", None][k % 5 == 0]) for k in range(24)]
-    seen, once = set(), []
-    for r in rows:  # a store's name once a sub-category
-        if (key := (r["store"], r["product_name"], r["sub_category"])) not in seen:
-            seen.add(key)
-            once.append(r)
-    got = sorted((r.match_id, r.deal_id) for r in compare.similar_names(deals(spark, *once)).collect())
-    assert got == plain_greedy(once) and got
+    names = ["milch 1l", "bio milch", "vollmilch", "brot", "ruchbrot hell", "brot hell", "käse", "milch", "bio brot", "hell", "1l", "bio"]
+    rows = []
+    for seed in range(20):  # a sub-category each, one of them null
+        rng = random.Random(seed)
+        size = rng.randint(2, 40)
+        rows += [dict(deal_id=f"{rng.randrange(10**9):09}-{seed}-{k}", store=rng.choice(STORES), product_name=rng.choice(names[: rng.randint(2, 12)]), sale_price=float(rng.randint(1, 3)), sub_category=f"s{seed}" if seed else None) for k in range(size)]
+    once = once_a_name(rows)
+    got = compare.similar_names(deals(spark, *rows, dict(deal_id="x", store="nowhere", product_name="milch"))).collect()
+    assert sorted((r.match_id, r.deal_id) for r in got) == plain_greedy(once) and len(got) > 100
+    assert {r.match_id: (r.label, r.best_store) for r in got} == plain_outcome(once)
+    assert compare.similar_names(deals(spark, *rows).limit(0)).collect() == []
+
+
+def test_greedy_names_over_many_rounds(spark):
+    """A chain of names, each about the next only, whose order lets one offer act at a time at first."""
+    words = [f"w{chr(97 + k)}" for k in range(20)]
+    rows = [dict(deal_id=f"{k:02}", store=STORES[k % 2], product_name=f"{words[k]} {words[k + 1]}" if k % 2 else words[k], sub_category="c") for k in range(19)]
+    _, links = compare.alike_offers(deals(spark, *rows))
+    taken = compare.greedy_rounds(links).select("anchor.deal_id", F.col("u.deal_id").alias("of")).collect()
+    assert sorted((f"ns-{r.deal_id}", r.of) for r in taken) == plain_greedy(rows) and taken
+
+
+def test_greedy_names_have_no_group_a_sub_category(spark):
+    rows = [dict(deal_id=f"{k:03}", store=STORES[k % 7], product_name=f"milch {k % 40}", sub_category="one") for k in range(200)]
+    df = compare.similar_names(deals(spark, *rows))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMap" not in plan and "Python" not in plan
+    assert sorted((r.match_id, r.deal_id) for r in df.collect()) == plain_greedy(once_a_name([dict(sale_price=1.0) | r for r in rows]))
 
 
 def test_cards_round_trip(spark):
