@@ -88,18 +88,34 @@ def latest(df: DataFrame, keys: list[str], by: str, tie: str) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    """Writes a new version beside the old ones and points `current` at it: a reader never sees half a table, and df may read the old version."""
+def _pointers(spark: SparkSession, path: str):
+    """The file system, and the names of the versions pointed at, oldest first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/pointers")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, sorted(f.getPath().getName() for f in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
+def write_table(df: DataFrame, path: str, keep: int = 2) -> None:
+    """Writes a new version beside the old ones and points at it by one file that is renamed into place: a reader sees a whole
+    version, always, and df may read the one before. Of old versions, keep - 1 stay."""
     spark = df.sparkSession
     version = f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{version}")
-    spark.range(1).select(F.lit(version).alias("version")).coalesce(1).write.mode("overwrite").parquet(f"{path}/current")
+    fs, old = _pointers(spark, path)
+    number = int(old[-1].partition("-")[0]) + 1 if old else 0
+    place = lambda *parts: spark._jvm.org.apache.hadoop.fs.Path("/".join((path, *parts)))
+    fs.mkdirs(place("pointers"))
+    fs.create(place(version, "pointer"), False).close()
+    if not fs.rename(place(version, "pointer"), place("pointers", f"{number:012}-{version}")):
+        raise RuntimeError(f"version {number} of {path} could not be pointed at")
+    for name in old[: max(0, len(old) + 1 - keep)]:
+        fs.delete(place("pointers", name), False)
+        fs.delete(place(name.partition("-")[2]), True)
 
 
 def has_table(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current/_SUCCESS")
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return bool(_pointers(spark, path)[1])
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{spark.read.parquet(f'{path}/current').first()['version']}")
+    return spark.read.parquet(f"{path}/{_pointers(spark, path)[1][-1].partition('-')[2]}")

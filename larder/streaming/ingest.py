@@ -1,4 +1,4 @@
-"""Streaming ingest: feed files as they arrive, through the batch operators, into a keyed table."""
+"""Streaming ingest: feed files as they arrive, through the batch operators, into a keyed table (operators.keyed)."""
 
 from __future__ import annotations
 
@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.classify import Rules
-from ..operators import ingest
-from ..operators.store import has_table, read_table, upsert, write_table
+from ..operators import ingest, keyed
 
 KEYS = ["store", "product_name", "valid_from"]
 
@@ -22,13 +21,12 @@ def ingest_batch(raw: DataFrame, rules: Rules = ()) -> DataFrame:
 
 
 def stream_feeds(spark: SparkSession, source: str, table: str, checkpoint: str, rules: Rules = ()) -> StreamingQuery:
-    """Ingests new JSON files of source into table until they are used up. A replayed batch changes nothing: the merge is by key."""
+    """Ingests new JSON files of source into table until they are used up. A replayed batch changes nothing: the merge is by key,
+    and writes only the buckets of keys whose rows are new or differ."""
 
     def apply(batch: DataFrame, _: int) -> None:
         rows = ingest_batch(batch, rules)
-        if has_table(batch.sparkSession, table):
-            rows = upsert(read_table(batch.sparkSession, table), rows, KEYS)
-        write_table(rows, table)
+        keyed.merge(rows, table) if keyed.exists(batch.sparkSession, table) else keyed.create(rows, table, KEYS)
 
     rows = spark.readStream.schema(ingest.RAW).option("multiLine", True).json(source)
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

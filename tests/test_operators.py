@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 import random
 import re
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder.functions.values import STORES
-from larder.operators import compare, ingest, read, resolve, store, suggest, verdict
+from larder.operators import compare, ingest, keyed, read, resolve, store, suggest, verdict
 from larder.operators import terms as terms_in
 from larder.sources import cards, feeds
 from larder.sources import rules as keyword_rules
@@ -116,6 +117,12 @@ def test_tables_are_swapped(spark, tmp_path):
     store.write_table(spark.range(3).toDF("k"), path)
     store.write_table(store.read_table(spark, path).withColumn("k", F.col("k") + 1), path)
     assert sorted(r.k for r in store.read_table(spark, path).collect()) == [1, 2, 3]
+    early = store.read_table(spark, path)
+    store.write_table(spark.range(1).toDF("k"), path)
+    assert early.count() == 3 and store.read_table(spark, path).count() == 1  # who reads the version before can go on
+    for _ in range(2):
+        store.write_table(spark.range(2).toDF("k"), path)
+    assert len([p for p in os.listdir(path) if p.startswith("v-")]) == 2
 
 
 def test_expiry_and_backfills(spark):
@@ -283,7 +290,7 @@ def test_feeds_and_streaming(spark, tmp_path):
         streaming.stream_feeds(spark, str(src), str(tmp_path / "table"), str(tmp_path / "cp"), rules).awaitTermination()
     feed(src, "spar-deals.json", [raw(store="spar"), raw(store="spar", discountPercent=40.0)])
     streaming.stream_feeds(spark, str(src), str(tmp_path / "table"), str(tmp_path / "cp"), rules).awaitTermination()
-    got = {(r.store, r.discount_percent) for r in store.read_table(spark, str(tmp_path / "table")).collect()}
+    got = {(r.store, r.discount_percent) for r in keyed.read(spark, str(tmp_path / "table")).collect()}
     assert got == {("coop", 34), ("lidl", 34), ("spar", 40)}
 
 
