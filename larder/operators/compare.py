@@ -11,20 +11,17 @@ from pyspark.sql.window import Window
 from ..functions import text
 from ..functions.values import STORES
 from .steps import forget, step
-from .terms import containing
+from .terms import containing, first_piece, piece_ends
 
 
 def store_place(c: Column) -> Column:
     return F.array_position(F.array(*(F.lit(s) for s in STORES)), c)
 
 
-def first_by(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
+def first_by(df: DataFrame, keys: list[str], *order: Column | str, n: int = 1) -> DataFrame:
+    """The first n rows of each key."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
-
-
-#: What may stand after a keyword that ends a compound, and white space.
-PIECES = r"[\s·,\d.);!?]+"
+    return df.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= n).drop("__n")
 
 
 def name_keywords(names: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -34,14 +31,11 @@ def name_keywords(names: DataFrame, keywords: DataFrame) -> DataFrame:
     start or the end of a run of letters of the name. So both sides meet on that run, not all against all.
     Keywords without a letter meet names that contain them.
     """
-    kw = F.lower(F.trim("keyword"))
-    keyed = keywords.withColumn("key", F.get(F.filter(F.split(kw, PIECES), lambda p: p != ""), F.lit(0)))
-    sizes = lambda p: F.sequence(F.lit(1), F.length(p))
-    ends = lambda p: F.concat(F.transform(sizes(p), lambda n: F.left(p, n)), F.transform(sizes(p), lambda n: F.right(p, n)))
-    pieces = F.filter(F.split(F.lower("product_name"), PIECES), lambda p: p != "")
-    tokens = names.select("product_name", F.explode(F.array_distinct(F.flatten(F.transform(pieces, ends)))).alias("key"))
+    keyed = keywords.withColumn("key", first_piece(F.col("keyword")))
+    tokens = names.select("product_name", F.explode(piece_ends(F.col("product_name"))).alias("key"))
     met = tokens.join(keyed.filter("key is not null"), "key").select("product_name", "keyword").distinct()
-    odd = names.join(keyed.filter("key is null").select("keyword"), F.contains(F.lower("product_name"), F.lower(F.trim("keyword"))))
+    odd = containing(names, keyed.filter("key is null").select("keyword", F.trim("keyword").alias("bare")), "product_name", "bare")
+    odd = odd.join(keyed.select("keyword", F.trim("keyword").alias("bare")), "bare")
     return met.unionByName(odd.select("product_name", "keyword"))
 
 

@@ -101,6 +101,12 @@ def read(spark: SparkSession, path: str, number: int | None = None) -> DataFrame
     return _read(spark, path, state(spark, path, number))
 
 
+def lookup(spark: SparkSession, path: str, of: DataFrame) -> DataFrame:
+    """The buckets that may hold rows with these values of the columns that buckets go by."""
+    s = state(spark, path)
+    return _read(spark, path, s, _buckets(of, s))
+
+
 def _write(rows: DataFrame, path: str, s: State) -> dict[int, str]:
     """Writes rows as a part and returns it for each bucket that has any."""
     spark, part = rows.sparkSession, f"parts/{uuid.uuid4().hex}"

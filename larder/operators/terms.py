@@ -6,6 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRAM = 3
+#: What may stand after a keyword that ends a compound, and white space.
+PIECES = r"[\s·,\d.);!?]+"
+
+
+def pieces(c: Column) -> Column:
+    """The runs of letters of a text."""
+    return F.filter(F.split(F.lower(c), PIECES), lambda p: p != "")
+
+
+def first_piece(keyword: Column) -> Column:
+    """The first run of letters; null without one."""
+    return F.get(pieces(F.trim(keyword)), F.lit(0))
+
+
+def piece_ends(name: Column) -> Column:
+    """All starts and ends of a name's runs of letters, each once."""
+    sizes = lambda p: F.sequence(F.lit(1), F.length(p))
+    ends = lambda p: F.concat(F.transform(sizes(p), lambda n: F.left(p, n)), F.transform(sizes(p), lambda n: F.right(p, n)))
+    return F.array_distinct(F.flatten(F.transform(pieces(name), ends)))
 
 
 def grams(c: Column, n: int) -> Column:
