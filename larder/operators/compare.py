@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text
 from ..functions.values import STORES
+from .ranks import ranked
 from .steps import forget, step
 from .terms import containing, first_piece, piece_ends
 
@@ -175,10 +176,7 @@ def similar_names(deals: DataFrame, least: int = 3) -> DataFrame:
 def in_order(comparisons: DataFrame) -> DataFrame:
     """Comparisons (group, kind, discount_percent a row per store's deal) with place: those by product group first, then by their best discount, then by name."""
     best = comparisons.groupBy("group", "kind").agg(F.max(F.coalesce("discount_percent", F.lit(0))).alias("best_discount"))
-    order = Window.partitionBy("kind").orderBy(F.desc("best_discount"), "group")
-    groups = best.filter(F.col("kind") == "product-group").agg(F.count("*").alias("__groups"))
-    placed = best.withColumn("n", F.row_number().over(order)).crossJoin(F.broadcast(groups))  # one row
-    return placed.select("group", "kind", "best_discount", (F.col("n") + F.when(F.col("kind") == "product-group", 0).otherwise(F.col("__groups"))).alias("place"))
+    return ranked(best, F.asc(F.col("kind") != "product-group"), F.desc("best_discount"), F.asc("group"), F.asc("kind"))
 
 
 def rows_in_order(comparison: DataFrame) -> DataFrame:

@@ -109,8 +109,11 @@ def sections(deals: DataFrame, others: int | None = None) -> DataFrame:
     """Rows in sections by sub-category (none: Other): place 1 is the section's best discount; size is that of the whole section."""
     s = deals.withColumn("section", F.when(F.trim(F.coalesce(F.col("sub_category"), F.lit(""))) == "", "Other").otherwise(F.trim("sub_category")))
     order = Window.partitionBy("section").orderBy(F.desc("discount_percent"), "deal_id")
-    out = s.withColumn("place", F.row_number().over(order)).withColumn("size", F.count("*").over(Window.partitionBy("section")))
-    return out if others is None else out.filter(F.col("place") <= 1 + others)
+    if others is None:
+        return s.withColumn("place", F.row_number().over(order)).withColumn("size", F.count("*").over(Window.partitionBy("section")))
+    # sizes by aggregation; of the rows only the first of each section go through the shuffle
+    first = s.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= 1 + others)
+    return first.join(s.groupBy("section").agg(F.count("*").alias("size")), "section").select(*s.columns, "place", "size")
 
 
 def totals(deals: DataFrame) -> DataFrame:

@@ -94,29 +94,51 @@ def violates_group(products: DataFrame, groups: DataFrame, name: str = "name") -
     return products.join(groups.select("group_id", "exclude"), "group_id").filter(text.any_term(F.col(name), F.col("exclude"))).drop("exclude")
 
 
-def rule_hit(name: Column, kind: Column, pattern: Column) -> Column:
-    low, needle = F.lower(name), F.lower(pattern)
-    has = F.contains(low, needle)
-    return (
-        F.when(kind == "exact", low == needle).when(kind.isin("contains", "brand"), has).when(kind == "multipack", has & low.rlike(r"(?<![A-Za-z0-9_])\d+\s*[x×]\s*\d")).when(kind == "regex", F.regexp_like(name, F.concat(F.lit("(?i)"), pattern))).otherwise(F.lit(False))
-    )
-
-
-def resolve_concepts(deals: DataFrame, rules: DataFrame, name: str = "product_name", max_rules: int = 2000) -> DataFrame:
-    """Deals with rule_concept of the first active rule (priority, then id) that matches; rules without a concept don't count.
-
-    Distinct names meet the rules. The rules are an operator-written table; their number is checked, since they are broadcast,
-    and a larger table is applied in slices, of which the best match stays.
-    """
+#: A number, a times sign and a number: how many are in a pack.
+MULTIPACK = r"(?<![A-Za-z0-9_])\d+\s*[x×]\s*\d"
+#: Bytes of patterns that one pass over the names broadcasts.
+RULE_BYTES = 1 << 20
+
+
+def sound_patterns(rules: DataFrame) -> list[DataFrame]:
+    """The rules whose pattern is a regular expression, in slices of at most RULE_BYTES; others match nothing. They are written by hand, so few."""
+    spark, slices, size = rules.sparkSession, [[]], 0
+    for r in rules.toLocalIterator():
+        try:
+            spark._jvm.java.util.regex.Pattern.compile(r["pattern"])
+        except Exception:  # not a regular expression
+            continue
+        n = 64 + len(r["pattern"].encode())
+        if size + n > RULE_BYTES and slices[-1]:
+            slices.append([])
+            size = 0
+        slices[-1].append(tuple(r))
+        size += n
+    return [spark.createDataFrame(x, rules.schema) for x in slices if x]
+
+
+def rule_matches(names: DataFrame, rules: DataFrame) -> DataFrame:
+    """(__name, rule_concept, priority, rule_id) of the rules that match, each kind in its way: equal names meet by a join, names that contain
+    a pattern by a join on grams; only regular expressions meet all names. names: (__name), distinct; rules: (rule_id, rule_type, pattern, rule_concept, priority)."""
+    low, out = F.lower("__name"), ["__name", "rule_concept", "priority", "rule_id"]
+    exact = names.withColumn("__low", low).join(rules.filter("rule_type = 'exact'").withColumn("__low", F.lower("pattern")), "__low").select(*out)
+    within = rules.filter("rule_type in ('contains', 'brand', 'multipack')")
+    met = containing(names, within, "__name", "pattern").join(within, "pattern")
+    # every name contains the empty pattern: of such rules of a kind the first is enough
+    empty = within.filter("pattern = ''").groupBy("rule_type").agg(F.min(F.struct("priority", "rule_id", "rule_concept")).alias("__first")).select("rule_type", "__first.*")
+    met = met.select("rule_type", *out).unionByName(names.crossJoin(F.broadcast(empty)).select("rule_type", *out))  # three rows at most
+    met = met.filter((F.col("rule_type") != "multipack") | low.rlike(MULTIPACK)).select(*out)
+    for part in sound_patterns(rules.filter("rule_type = 'regex'")):
+        hit = F.regexp_like(F.col("__name"), F.concat(F.lit("(?i)"), F.col("pattern")))
+        met = met.unionByName(names.join(F.broadcast(part), hit).select(*out))
+    return exact.unionByName(met)
+
+
+def resolve_concepts(deals: DataFrame, rules: DataFrame, name: str = "product_name") -> DataFrame:
+    """Deals with rule_concept of the first active rule (priority, then id) that matches; rules without a concept, and patterns that are no regular expression, don't count."""
     live = rules.filter(F.col("is_active") & F.col("concept_id").isNotNull()).select(F.col("id").alias("rule_id"), "rule_type", "pattern", F.col("concept_id").alias("rule_concept"), "priority")
-    n = max(1, -(-live.count() // max_rules))
-    names = deals.select(F.col(name).alias("__name")).distinct()
-    hits = None
-    for k in range(n):
-        part = live.filter(F.pmod(F.xxhash64("rule_id"), F.lit(n)) == k) if n > 1 else live
-        got = names.join(F.broadcast(part), rule_hit(F.col("__name"), F.col("rule_type"), F.col("pattern")))
-        hits = got if hits is None else hits.unionByName(got)
-    best = hits.groupBy("__name").agg(F.min_by("rule_concept", F.struct("priority", "rule_id")).alias("rule_concept"))
+    names = deals.select(F.col(name).alias("__name")).filter("__name is not null").distinct()
+    best = rule_matches(names, live).groupBy("__name").agg(F.min_by("rule_concept", F.struct("priority", "rule_id")).alias("rule_concept"))
     return deals.join(best, deals[name] == best["__name"], "left").drop("__name")
 
 

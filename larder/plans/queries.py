@@ -12,6 +12,7 @@ from ..functions import classify, text, units
 from ..functions import values as V
 from ..functions.group_rules import GROUP_RULES
 from ..operators import compare, ingest, read, resolve, store, suggest, verdict
+from ..operators.ranks import ranked
 from ..sources import cards, feeds
 from .star import AS_OF, DEALS, INTERESTS, NOW, WEEK, deals, interests, store_of, table
 
@@ -203,11 +204,13 @@ def f27_stale(s, d):
     return deals(s, d).groupBy("store").agg(F.count_if(old).alias("stale"), F.count("*").alias("n"))
 
 
-@register("SELECT deal_id, store, row_number() OVER (PARTITION BY store ORDER BY price_per_unit NULLS LAST, deal_id)::INT AS by_unit, row_number() OVER (PARTITION BY store ORDER BY discount_percent DESC, deal_id)::INT AS by_discount, row_number() OVER (PARTITION BY store ORDER BY sale_price, deal_id)::INT AS by_price FROM (SELECT *, CASE WHEN line % 3 < 2 THEN floor(sale_price) END AS price_per_unit FROM deals)", DEALS)
+@register("SELECT deal_id, store, row_number() OVER (PARTITION BY store ORDER BY price_per_unit NULLS LAST, deal_id)AS by_unit, row_number() OVER (PARTITION BY store ORDER BY discount_percent DESC, deal_id)AS by_discount, row_number() OVER (PARTITION BY store ORDER BY sale_price, deal_id)AS by_price FROM (SELECT *, CASE WHEN line % 3 < 2 THEN floor(sale_price) END AS price_per_unit FROM deals)", DEALS)
 def o4_sorted_deals(s, d):
     al = deals(s, d).withColumn("price_per_unit", F.when(F.col("line") % 3 < 2, F.floor("sale_price")))
-    place = lambda by: F.row_number().over(Window.partitionBy("store").orderBy(*read.sort_keys(by)))
-    return al.select("deal_id", "store", place("unit_price").alias("by_unit"), place("discount").alias("by_discount"), place("price").alias("by_price"))
+    slim = al.select("deal_id", "store", "price_per_unit", "discount_percent", "sale_price")
+    for by, out in (("unit_price", "by_unit"), ("discount", "by_discount"), ("price", "by_price")):
+        slim = ranked(slim, *read.sort_keys(by), out=out, within="store")
+    return slim.select("deal_id", "store", "by_unit", "by_discount", "by_price")
 
 
 @register(

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder.functions.values import STORES
-from larder.operators import compare, ingest, keyed, read, resolve, store, suggest, verdict
+from larder.operators import compare, ingest, keyed, ranks, read, resolve, store, suggest, verdict
 from larder.operators import terms as terms_in
 from larder.sources import cards, feeds
 from larder.sources import rules as keyword_rules
@@ -153,8 +153,25 @@ def test_concept_rules(spark):
     d = deals(spark, dict(product_name="Bio Milch 6x1L"), dict(product_name="brot"), dict(product_name="x"))
     rules = spark.createDataFrame([("a", "contains", "MILCH", 1, 5, True), ("b", "multipack", "milch", 2, 1, True), ("c", "regex", "^BR", 3, 1, True), ("d", "exact", "x", None, 0, True), ("e", "exact", "X", 5, 9, True)], "id string, rule_type string, pattern string, concept_id long, priority int, is_active boolean")
     want = {"0": 2, "1": 3, "2": 5}
-    assert {r.deal_id: r.rule_concept for r in resolve.resolve_concepts(d, rules).collect()} == want
-    assert {r.deal_id: r.rule_concept for r in resolve.resolve_concepts(d, rules, max_rules=2).collect()} == want
+    found = lambda more: {r.deal_id: r.rule_concept for r in resolve.resolve_concepts(d, rules.unionByName(spark.createDataFrame(more, rules.schema)) if more else rules).collect()}
+    assert found([]) == want
+    assert found([("f", "regex", "(", 9, 0, True), ("g", "odd", "x", 8, 0, True), ("h", "contains", "", 7, 8, True), ("i", "brand", "", 6, 8, True)]) == {"0": 2, "1": 3, "2": 7}
+    resolve.RULE_BYTES, held = 1, resolve.RULE_BYTES  # a rule a slice
+    assert found([("j", "regex", "milch", 10, 0, True), ("k", "regex", "^x$", 11, 0, True)]) == {"0": 10, "1": 3, "2": 11}
+    resolve.RULE_BYTES = held
+    plan = resolve.rule_matches(d.select(F.col("product_name").alias("__name")).distinct(), rules.filter("rule_type <> 'regex' and pattern <> ''").select(F.col("id").alias("rule_id"), "rule_type", "pattern", F.col("concept_id").alias("rule_concept"), "priority"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("Cross") <= 1  # with rules of the empty pattern, a row a kind
+
+
+def test_ranks(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), rng.randint(0, 5), k) for k in range(500)]
+    df = spark.createDataFrame(rows, "g string, v int, k int").repartition(7)
+    key = lambda r: (-r[1], r[2])
+    assert {r.k: r.place for r in ranks.ranked(df, F.desc("v"), F.asc("k")).collect()} == {r[2]: n for n, r in enumerate(sorted(rows, key=key), 1)}
+    want = {r[2]: n for g in ("a", "b", None) for n, r in enumerate(sorted((r for r in rows if r[0] == g), key=key), 1)}
+    assert {r.k: r.place for r in ranks.ranked(df, F.desc("v"), F.asc("k"), within="g").collect()} == want
+    assert ranks.ranked(df.limit(0), F.asc("k")).collect() == []
 
 
 def test_suggestions(spark):
