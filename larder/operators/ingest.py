@@ -73,14 +73,14 @@ def with_unit_price(df: DataFrame, name: str = "productName", sale: str = "saleP
     return df.withColumn("__u", s).select(*df.columns, "__u.*")
 
 
-def to_row(df: DataFrame) -> DataFrame:
-    """Feed rows with categories and units as stored deals."""
+def to_row(df: DataFrame, *more: str) -> DataFrame:
+    """Feed rows with categories and units as stored deals, with more of their columns if named."""
     c = F.col
     return df.select(
         F.sha2(F.concat_ws("|", "store", text.stored_name(c("productName")), "validFrom"), 256).alias("id"), "store", text.stored_name(c("productName")).alias("product_name"), "category", "sub_category", c("originalPrice").cast("decimal(10,2)").alias("original_price"),
         c("salePrice").cast("decimal(10,2)").alias("sale_price"), units.filled_discount(c("discountPercent"), c("originalPrice"), c("salePrice")).cast("int").alias("discount_percent"), c("validFrom").cast("date").alias("valid_from"), c("validTo").cast("date").alias("valid_to"),
         c("imageUrl").alias("image_url"), c("sourceCategory").alias("source_category"), c("sourceUrl").alias("source_url"), "format", "container", "pack_size", "unit_volume_ml", "unit_weight_g", "canonical_unit", "canonical_unit_value", "price_per_unit",
-        c("confidence").alias("taxonomy_confidence"), F.lit(True).alias("is_active"),
+        c("confidence").alias("taxonomy_confidence"), F.lit(True).alias("is_active"), *more,
     )
 
 

@@ -149,8 +149,8 @@ def above_fold(suggestions: DataFrame, keys: list[str], order: str, n: int = 3)
 
 
 def by_display_name(concepts: DataFrame, group: str) -> DataFrame:
-    """Concepts of each group with place, by name without regard to case, then by name and id."""
-    order = Window.partitionBy(group).orderBy(F.lower("display_name"), "display_name", "concept_id")
+    """Concepts of each group with place, by name as the Unicode collation orders it (accents after their letter, capitals after small ones), then by id."""
+    order = Window.partitionBy(group).orderBy(F.collate("display_name", "UNICODE"), "concept_id")
     return concepts.withColumn("place", F.row_number().over(order))
 
 

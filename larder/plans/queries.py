@@ -491,7 +491,7 @@ def raw_rows(s: SparkSession, d: str) -> DataFrame:
     base = table(s, d, "lineitem")
     day = F.date_format("l_shipdate", "yyyy-MM-dd")
     return base.select(
-        F.col("l_orderkey"), F.col("l_linenumber"), F.when(k == 0, "nowhere").otherwise(store_of(F.col("l_suppkey"))).alias("store"), F.when(k == 1, "").otherwise("x").alias("productName"), F.when(k == 2, F.col("l_extendedprice") / 2).otherwise(F.col("l_extendedprice")).alias("originalPrice"),
+        F.col("l_orderkey"), F.col("l_linenumber"), "l_partkey", F.when(k == 0, "nowhere").otherwise(store_of(F.col("l_suppkey"))).alias("store"), F.when(k == 1, "").otherwise("x").alias("productName"), F.when(k == 2, F.col("l_extendedprice") / 2).otherwise(F.col("l_extendedprice")).alias("originalPrice"),
         F.when(k == 3, 0.0).otherwise(F.col("l_extendedprice")).alias("salePrice"), F.when(k == 4, 101.0).when(k == 5, None).otherwise(F.col("l_discount") * 100).alias("discountPercent"), F.when(k == 6, "2024-02-31").otherwise(day).alias("validFrom"), F.when(k == 7, "1990-01-01").when(k == 8, None).otherwise(day).alias("validTo"),
     )
 
