@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.units import half_up
 from ..functions.values import STORES
@@ -24,7 +25,7 @@ def store_of_slug(slug: Column) -> Column:
 
 def read_feeds(spark: SparkSession, path: str) -> DataFrame:
     """Rows of all feed files below path, with the store their file belongs to; broken files give nothing, unknown stores are skipped."""
-    rows = spark.read.schema(RAW).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "*-deals.json").json(path)
+    rows = spark.read.schema(RAW).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "*-deals.json").option("recursiveFileLookup", True).json(path)
     slug = F.regexp_extract(F.element_at(F.split(F.input_file_name(), "/"), -1), FILE, 1)
     routed = rows.withColumn("store", store_of_slug(slug))
     return routed.filter(F.col("store").isNotNull() & F.col("productName").isNotNull())
@@ -34,6 +35,29 @@ def write_feeds(deals: DataFrame, path: str) -> None:
     deals.write.mode("overwrite").partitionBy("store").json(path)
 
 
+def write_feed_files(deals: DataFrame, path: str, shards: int = 1) -> None:
+    """One JSON array a store, named <store>-deals.json, in `shards` folders (deals by their digest), each written by a task of its own.
+
+    The rows go out as lines of text, the first with the opening bracket and a closing one after the last, so no task holds an array;
+    then the files get their names: stores times shards renames.
+    """
+    spark, at = deals.sparkSession, ["shard", "store"]
+    lines = deals.withColumn("value", F.to_json(F.struct(*deals.columns))).withColumn("shard", F.pmod(F.xxhash64("value"), F.lit(shards))).select(*at, "value", F.lit(0).alias("last"))
+    lines = lines.unionByName(lines.select(*at).distinct().withColumns({"value": F.lit("]"), "last": F.lit(1)}))
+    n = F.row_number().over(Window.partitionBy(*at).orderBy("last", "value"))
+    text = lines.withColumn("n", n).withColumn("value", F.when(F.col("last") == 1, F.when(F.col("n") == 1, "[]").otherwise("]")).otherwise(F.concat(F.when(F.col("n") == 1, "[").otherwise(","), F.col("value"))))
+    text.sortWithinPartitions(*at, "n").select(*at, "value").write.mode("overwrite").partitionBy(*at).text(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for shard in fs.listStatus(place(path)):
+        for folder in fs.listStatus(shard.getPath()) if shard.isDirectory() else ():
+            store = folder.getPath().getName().removeprefix("store=")
+            for f in fs.listStatus(folder.getPath()):
+                if f.getPath().getName().startswith("part-"):
+                    fs.rename(f.getPath(), place(shard.getPath(), f"{store}-deals.json"))
+            fs.delete(folder.getPath(), True)
+
+
 API_CARD = """uid bigint, name string, title string, offer struct<price:struct<advertisedValue:double,effectiveValue:double>,promotionPrice:struct<advertisedValue:double,effectiveValue:double>,
 badges:array<struct<type:string,description:string>>,promotionDateRange:struct<startDate:string,endDate:string>>, imageTransparent struct<cdn:string,url:string>, images array<struct<cdn:string,url:string>>,
 breadcrumb array<struct<id:string,name:string>>, productUrls string"""

@@ -6,7 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from larder.plans import more, tables  # noqa: F401  register their queries
+from larder.plans import more, sources, tables  # noqa: F401  register their queries
 from larder.plans import queries as Q
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
