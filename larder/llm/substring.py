@@ -11,10 +11,12 @@ dropped, so that a batch meets few runs. What the index finds is then verified o
 hashes are compared window by window, and a window goes only if the same words start in a document of a smaller id. Chunks
 that agree in both of two 64-bit hashes, that of a gram and that of all their words, count as equal.
 
-An index given by the caller outlives the call: it keeps its runs and the batch's texts (bucketed by id), against which later
-batches are verified. Rows of earlier batches are not judged again, whatever ids come later.
+An index given by the caller outlives the call: it keeps its runs and the batch's texts (bucketed by id and text hash), against
+which later batches are verified, bucket by bucket, without being shuffled. Rows of earlier batches are not judged again,
+whatever ids come later.
 
-Null text has no words. Fewer than WINDOW words: nothing to remove. Null ids have no order: such documents neither lose
+Ids may be of any type with an order. A document is known by its id and the hash of its text, so that rows of one id with many
+texts are looked at each for its own hashes. Null text has no words. Fewer than WINDOW words: nothing to remove. Null ids have no order: such documents neither lose
 windows nor cost others any. Repeated rows have equal ids and don't affect each other. Batches may come in any order of ids.
 """
 
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,32 +32,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import blocks, discard, fresh, materialize, release, text_key
+from .common import blocks, discard, fresh, join_crowded, materialize, release, text_key
 from .windows import PIECE_CLASSES, binary, digest, grouped, spans_of
 
 WINDOW, GRAM, FANOUT = 13, 5, 2
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (fp, id), newest last."""
+    """Sorted immutable runs of (fp, id, h), newest last; h is the hash of the text."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT) -> None:
         self.spark, self.fanout = spark, fanout
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[tuple[int, str]] = []  # level, table
-        self.texts: list[str] = []  # tables (id, t) of earlier batches
+        self.texts: list[str] = []  # tables (id, h, t) of earlier batches
 
     def remember(self, batch: DataFrame) -> None:
-        """Keeps the texts of a batch (id, t)."""
+        """Keeps the texts of a batch (id, h, t)."""
         name = f"larder_texts_{uuid.uuid4().hex}"
-        batch.repartition(self.buckets, "id").write.bucketBy(self.buckets, "id").sortBy("id").option("compression", "zstd").format("parquet").saveAsTable(name)
+        batch.repartition(self.buckets, "id", "h").write.bucketBy(self.buckets, "id", "h").sortBy("id", "h").option("compression", "zstd").format("parquet").saveAsTable(name)
         self.texts.append(name)
 
-    def history(self) -> DataFrame | None:
-        out = None
-        for name in self.texts:
-            out = self.spark.table(name) if out is None else out.unionByName(self.spark.table(name))
-        return out
+    def history(self) -> list[DataFrame]:
+        """The texts of earlier batches, a bucketed table each."""
+        return [self.spark.table(name) for name in self.texts]
 
     def _write(self, df: DataFrame) -> str:
         name = f"larder_run_{uuid.uuid4().hex}"
@@ -63,7 +64,7 @@ class FingerprintIndex:
         return name
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Adds a batch of (fp, id), each pair once, as a run; returns the hashes it shares with an older run or within itself."""
+        """Adds a batch of (fp, id, h), each once, as a run; returns the hashes it shares with an older run or within itself."""
         name = self._write(batch)
         new = self.spark.table(name)
         shared = new.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
@@ -86,7 +87,7 @@ class FingerprintIndex:
                 self.spark.sql(f"DROP TABLE {name}")
 
     def entries(self, hashes: DataFrame) -> DataFrame:
-        """The (fp, id) entries of the given hashes."""
+        """The (fp, id, h) entries of the given hashes."""
         out = None
         for _, name in self.runs:
             part = self.spark.table(name).join(hashes, "fp", "left_semi")
@@ -108,8 +109,8 @@ def _hashed(texts: list[bytes], window: int, gram: int):
 
 
 def batch_prints(df: DataFrame, id_col: str, text: str, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(fp, id) pairs of a batch, each once per row."""
-    base = df.filter(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("_t"))
+    """(fp, id, h) of a batch, each once per row."""
+    base = df.filter(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).alias("id"), text_key(text).alias("h"), F.col(text).alias("_t"))
     kind = base.schema["id"].dataType.simpleString()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,22 +123,33 @@ def batch_prints(df: DataFrame, id_col: str, text: str, window: int = WINDOW, gr
                 owner, fp = owner[order], fp[order]
                 new = np.ones(len(fp), dtype=bool)
                 new[1:] = (fp[1:] != fp[:-1]) | (owner[1:] != owner[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(fp[new]), batch["id"].take(pa.array(owner[new] + lo))], ["fp", "id"])
+                pick = pa.array(owner[new] + lo)
+                yield pa.RecordBatch.from_arrays([pa.array(fp[new]), batch["id"].take(pick), batch["h"].take(pick)], ["fp", "id", "h"])
+
+    return base.mapInArrow(gather, f"fp long, id {kind}, h long")
+
+
+def _ranks(values: pa.ChunkedArray) -> np.ndarray:
+    """Numbers in the order of the values."""
+    if pa.types.is_integer(values.type):
+        return values.to_numpy()
+    return np.unique(np.array(values.to_pylist(), dtype=object), return_inverse=True)[1]
 
-    return base.mapInArrow(gather, f"fp long, id {kind}")
 
+def verify(parts: list[DataFrame], found: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(_id, _h, spans of words) of the windows that start in a document of a smaller id.
 
-def verify(df: DataFrame, found: DataFrame, id_col: str, text: str, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(_id, _h, spans of words) of the windows that start in a document of a smaller id. found: (fp, id) to look at.
+    parts: frames (id, h, t) that together hold the documents; each meets what is looked for on its own, so bucketed ones stay where they
+    are. found: (fp, id, h) to look at.
 
     First the chunks are named (fp, cid), without their words: a chunk that a smaller id has too goes whole. Only fingerprints
     with several different chunks need words; each of these comes once, from the document of its smallest id. Of crowded
     fingerprints each window comes as a row with its digest, and the smallest id of a digest is found by grouping.
     """
     width = window - gram + 1
-    wanted = found.groupBy("id").agg(F.collect_set("fp").alias("fps"))
-    base = df.select(F.col(id_col).alias("_id"), text_key(text).alias("_h"), F.col(text).alias("_t"))
-    kind = base.schema["_id"].dataType.simpleString()
+    wanted = found.groupBy("id", "h").agg(F.collect_set("fp").alias("fps"))
+    kind = parts[0].schema["id"].dataType.simpleString()
+    met = lambda rows, *columns: reduce(DataFrame.unionByName, (p.join(rows.hint("merge"), ["id", "h"]).select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("t").alias("_t"), *columns) for p in parts))
 
     def chunks(texts: list[bytes]):
         buf, starts, ends, bounds, h, first, last = _hashed(texts, window, gram)
@@ -156,12 +168,13 @@ def verify(df: DataFrame, found: DataFrame, id_col: str, text: str, window: int
                 pick = pa.array(owner + lo)
                 yield pa.RecordBatch.from_arrays([batch["_id"].take(pick), batch["_h"].take(pick), pa.array(fp), pa.array(cid), pa.array((a - bounds[owner]).astype(np.int32)), pa.array((b - a).astype(np.int32))], ["_id", "_h", "fp", "cid", "p", "core"])
 
-    hold = base.join(wanted.hint("merge"), base["_id"] == wanted["id"]).select("_id", "_h", "_t", "fps")
-    inst = materialize(hold.mapInArrow(name, f"_id {kind}, _h long, fp long, cid long, p int, core int"), "substring-chunks")
-    classes = materialize(inst.groupBy("fp", "cid").agg(F.min("_id").alias("least"), F.any_value("core").alias("core")), "substring-classes")
+    inst = materialize(met(wanted, "fps").mapInArrow(name, f"_id {kind}, _h long, fp long, cid long, p int, core int"), "substring-chunks")
+    first = F.min(F.struct("_id", "_h"))
+    classes = inst.groupBy("fp", "cid").agg(first.alias("first"), F.any_value("core").alias("core"), F.count("*").alias("n"))
+    classes = materialize(classes.select("fp", "cid", F.col("first._id").alias("least"), F.col("first._h").alias("least_h"), "core", "n"), "substring-classes")
 
     sizes = classes.groupBy("fp").agg(F.count("*").alias("m")).filter("m > 1").select("fp", (F.col("m") > PIECE_CLASSES).alias("crowded"))
-    several = classes.join(sizes, "fp").groupBy("least").agg(F.collect_list(F.struct("fp", "cid", "crowded")).alias("need"))
+    several = classes.join(sizes, "fp").groupBy(F.col("least").alias("id"), F.col("least_h").alias("h")).agg(F.collect_list(F.struct("fp", "cid", "crowded")).alias("need"))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,8 +203,7 @@ def verify(df: DataFrame, found: DataFrame, id_col: str, text: str, window: int
                 w = pa.array([digest(t) if x else None for t, x in zip(body, apart.tolist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.array(cid[at]), batch["_id"].take(pa.array(owner[at] + lo)), pa.array(core.astype(np.int32)), pa.array(s.astype(np.int32)), chunk, w], ["fp", "cid", "least", "core", "s", "chunk", "w"])
 
-    held = base.join(several.hint("merge"), base["_id"] == several["least"]).select("_id", "_t", "need")
-    spelled = materialize(held.mapInArrow(spell, f"fp long, cid long, least {kind}, core int, s int, chunk binary, w binary"), "substring-spelled")
+    spelled = materialize(met(several, "need").dropDuplicates(["_id", "_h"]).mapInArrow(spell, f"fp long, cid long, least {kind}, core int, s int, chunk binary, w binary"), "substring-spelled")
     meeting = spelled.filter("w is null").select("fp", "cid", "least", "core", "chunk").repartition("fp").sortWithinPartitions("fp")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +211,7 @@ def verify(df: DataFrame, found: DataFrame, id_col: str, text: str, window: int
             bodies = binary(rows["chunk"])
             buf, at = K.pack(bodies)
             starts, ends, bounds = K.words(buf, at)
-            cores, least = rows["core"].to_numpy(), rows["least"].to_numpy()
+            cores, least = rows["core"].to_numpy(), _ranks(rows["least"])
             w = K.ranges(K.prefix_hashes(buf), starts, ends)
             h = K.grams(w, window)
             owner = np.repeat(np.arange(len(bodies)), cores)
@@ -230,7 +242,7 @@ def verify(df: DataFrame, found: DataFrame, id_col: str, text: str, window: int
     later = alone.join(heads, ["fp", "w"]).filter("least > head").select("fp", "cid", "least", "s", (F.col("s") + window).alias("e"))
     apart = materialize(meeting.mapInArrow(compare, f"fp long, cid long, least {kind}, s int, e int").unionByName(later), "substring-apart")
     named = (inst, classes, spelled, apart)
-    inst = inst.select("fp", "cid", "_id", "_h", "p").join(classes.select("fp", "cid", "least", (F.col("core") + window - 1).alias("n_words")), ["fp", "cid"])
+    inst = join_crowded(inst.select("fp", "cid", "_id", "_h", "p"), classes.select("fp", "cid", "least", (F.col("core") + window - 1).alias("n_words"), "n"), ["fp", "cid"], "n")
     copies = inst.filter("_id > least").select("_id", "_h", F.struct(F.col("p").alias("s"), (F.col("p") + F.col("n_words")).alias("e")).alias("x"))
     firsts = inst.filter("_id = least").select("fp", "cid", "_id", "_h", "p").join(apart.select("fp", "cid", "s", "e"), ["fp", "cid"])
     firsts = firsts.select("_id", "_h", F.struct((F.col("p") + F.col("s")).alias("s"), (F.col("p") + F.col("e")).alias("e")).alias("x"))
@@ -240,14 +252,10 @@ def verify(df: DataFrame, found: DataFrame, id_col: str, text: str, window: int
 
 
 def _look_up(df: DataFrame, index: FingerprintIndex, id_col: str, text: str, batches: int, window: int) -> DataFrame:
-    """The (fp, id) entries of all hashes that rows of df share with each other or with the index, to which they are added."""
-    cuts = [F.percentile_approx(id_col, k / batches, 1000).alias(f"c{k}") for k in range(1, batches)]
-    bounds = [None, *sorted({c for c in (df.agg(*cuts).first() if cuts else ()) if c is not None}), None]
+    """The (fp, id, h) entries of all hashes that rows of df share with each other or with the index, to which they are added."""
     shared = None
-    for lo, hi in zip(bounds, bounds[1:]):
-        part = df.select(id_col, text)
-        part = part.filter(F.col(id_col) > lo) if lo is not None else part
-        part = part.filter(F.col(id_col) <= hi) if hi is not None else part
+    for k in range(batches):
+        part = df.select(id_col, text).filter(F.pmod(F.xxhash64(id_col), F.lit(batches)) == k)
         got = index.add(batch_prints(part, id_col, text, window))
         shared = got if shared is None else shared.unionByName(got)
     return materialize(index.entries(shared.distinct()), "substring-found")
@@ -256,20 +264,20 @@ def _look_up(df: DataFrame, index: FingerprintIndex, id_col: str, text: str, bat
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text: str = "text", batches: int = 2, window: int = WINDOW, kept: str = "kept", removed: str = "removed", index: FingerprintIndex | None = None) -> DataFrame:
     """df with n_words, the remaining words joined by one space, and the removed runs of words (array<struct<s, e>>).
 
-    The rows come to the index in batches of about equal numbers, by ranges of the id.
+    The rows come to the index in batches, by the hash of the id.
     """
     spark, own = df.sparkSession, index is None
     index = index or FingerprintIndex(spark)
     try:
-        found, rows = _look_up(df, index, id_col, text, batches, window), df.select(F.col(id_col).alias("id"), F.col(text).alias("t"))
+        found, rows = _look_up(df, index, id_col, text, batches, window), df.select(F.col(id_col).alias("id"), text_key(text).alias("h"), F.col(text).alias("t"))
+        parts = [rows]
         if not own:
-            old = index.history()
+            parts += index.history()
             index.remember(rows.filter("id is not null and t is not null"))
-            rows = rows if old is None else rows.unionByName(old)
     finally:
         if own:
             index.drop()
-    spans = verify(rows, found, "id", "t", window)
+    spans = verify(parts, found, window)
     discard(found)
     key, h, at, said = fresh(df, "__id", "__h", "__spans", "__said")
     spans = spans.select(F.col("_id").alias(key), F.col("_h").alias(h), F.col("spans").alias(at))
