@@ -236,19 +236,20 @@ def find_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", length
     apart = few.mapInArrow(compare, "fp long, cid binary, len int, s int, e int")
     # of crowded fingerprints: runs of windows alike at both sides, then the windows of runs that are found twice, by digest
     runs = materialize(crowded.select("fp", "cid", "core", "chunk").mapInArrow(cut_again, "fp long, cid binary, key long, s int, e int"), "suffix-runs")
-    twice = runs.join(runs.groupBy("fp", "key").agg(F.count("*").alias("m")).filter("m > 1").select("fp", "key"), ["fp", "key"])
+    alike = materialize(runs.groupBy("fp", "key").agg(F.count("*").alias("m")).filter("m > 1"), "suffix-alike")
+    twice = join_crowded(runs, alike, ["fp", "key"], "m")
     asked = twice.groupBy("fp", "cid").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
     windows = crowded.select("fp", "cid", "n", "chunk").join(asked, ["fp", "cid"]).mapInArrow(name, "fp long, cid binary, n long, len int, s int, w binary")
     windows = materialize(windows, "suffix-windows")
-    again = windows.groupBy("fp", "len", "w").agg(F.count("*").alias("m")).filter("m > 1").select("fp", "len", "w")
-    hits = windows.filter("n = 1").join(again, ["fp", "len", "w"]).select("fp", "cid", "len", "s", (F.col("s") + F.col("len")).alias("e"))
+    again = materialize(windows.groupBy("fp", "len", "w").agg(F.count("*").alias("m")).filter("m > 1"), "suffix-again")
+    hits = join_crowded(windows.filter("n = 1"), again, ["fp", "len", "w"], "m").select("fp", "cid", "len", "s", (F.col("s") + F.col("len")).alias("e"))
     # a chunk of several places goes whole, as far as its windows of each length reach
     reach = F.least(F.octet_length("chunk"), F.col("core") - 1 + F.col("len")).cast("int")
     all_of = classes.filter("n > 1").select("*", F.explode(F.array(*(F.lit(n) for n in lengths))).alias("len")).filter(F.octet_length("chunk") >= F.col("len")).select("fp", "cid", "len", F.lit(0).alias("s"), reach.alias("e"))
     spans = apart.unionByName(hits).unionByName(all_of).groupBy("fp", "cid").agg(F.collect_list(F.struct("len", "s", "e")).alias("of"))
     spans = materialize(classes.select("fp", "cid", "n").join(spans, ["fp", "cid"]), "suffix-marked")
     out = materialize(document_spans(places, spans), "suffix-spans")
-    discard(classes, places, runs, windows, spans)
+    discard(classes, places, runs, alike, windows, again, spans)
     return out
 
 

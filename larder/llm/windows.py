@@ -20,6 +20,8 @@ from .common import join_crowded, materialize
 
 #: Classes of a fingerprint that one task compares; with more it is crowded.
 PIECE_CLASSES = 2048
+#: Crowded fingerprints that are broadcast at most, eight bytes each; more are joined.
+CROWD_ROWS = 1 << 20
 #: Bytes of chunks compared at once in a task.
 BATCH_BYTES = 1 << 21
 
@@ -39,10 +41,11 @@ def by_crowding(classes: DataFrame, undecided: str = "false") -> tuple[DataFrame
     """Classes (fp, cid, ...) of fingerprints that have several, sorted by fp within partitions; and those of crowded ones.
 
     undecided: which classes must be looked at even if they are their fingerprint's only one. The list of crowded fingerprints
-    has at most a row for every PIECE_CLASSES classes and is broadcast, so their classes stay where they are.
+    has at most a row for every PIECE_CLASSES classes; up to CROWD_ROWS it is broadcast, so their classes stay where they are.
     """
     sizes = classes.groupBy("fp").agg(F.count("*").alias("_m"), F.max(F.expr(undecided)).alias("_u"))
-    crowd = F.broadcast(materialize(sizes.filter(F.col("_m") > PIECE_CLASSES).select("fp"), "windows-crowd"))
+    crowd = materialize(sizes.filter(F.col("_m") > PIECE_CLASSES).select("fp"), "windows-crowd")
+    crowd = F.broadcast(crowd) if crowd.count() <= CROWD_ROWS else crowd.hint("merge")
     few = classes.join(crowd, "fp", "left_anti").join(sizes.filter("_m > 1 or _u").select("fp"), "fp")
     return few.repartition("fp").sortWithinPartitions("fp"), classes.join(crowd, "fp", "left_semi")
 
