@@ -101,6 +101,50 @@ def test_index_outlives_a_call(spark):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("larder_")]
 
 
+def test_ids_of_other_types(spark):
+    """Words as ids, in their own order; dates too."""
+    rows = [(r[0], r[1]) for r in tricky() if r[0] is not None]
+    name = lambda k: f"doc-{k:03}é"
+    df = spark.createDataFrame([(name(k), t) for k, t in rows] + [(None, rows[5][1])], "doc_id string, text string")
+    got = substring.deduplicate(df).select("doc_id", "n_words", removed(), F.sha2("kept", 256)).collect()
+    want = brute.substring([*rows, (None, rows[5][1])])
+    assert Counter(map(tuple, got)) == Counter({(None if r[0] is None else name(r[0]), *r[1:]): n for r, n in want.items()})
+    dated = spark.createDataFrame(rows, "k int, text string").select(F.date_add(F.lit("2020-01-01").cast("date"), "k").alias("doc_id"), "text")
+    assert substring.deduplicate(dated).select(F.sum(removed())).first()[0] == sum(r[2] * n for r, n in brute.substring(rows).items())
+
+
+def test_one_id_of_many_texts(spark):
+    """Rows of one id carry their own hashes, not those of all rows of the id: 20,000 rows in pairs, the hot id on half of them."""
+    rows = [(7 if k % 2 else 100 + k, prose(k // 2, 16)) for k in range(20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = substring.deduplicate(df).select("doc_id", "n_words", removed(), F.sha2("kept", 256)).collect()
+    assert Counter(map(tuple, got)) == brute.substring(rows)
+
+
+def test_history_is_not_shuffled(spark):
+    index = substring.FingerprintIndex(spark)
+    batch = lambda ks: spark.createDataFrame([(k, prose(k % 5, 40)) for k in ks], "id long, t string").withColumn("h", F.xxhash64("t"))
+    index.remember(batch(range(50)))
+    index.remember(batch(range(50, 90)))
+    wanted = batch(range(0, 90, 9)).select("id", "h").withColumn("fps", F.array(F.lit(1)))
+    for old in index.history():
+        plan = old.join(wanted.hint("merge"), ["id", "h"]).select("t")._jdf.queryExecution().executedPlan().toString()
+        scan = plan[: plan.index("larder_texts_")].splitlines()  # down to the scan of the history
+        assert "SortMergeJoin" in plan and "Bucketed: true" in plan and not any("Exchange" in line for line in scan)
+    index.drop()
+
+
+def test_crowd_beyond_the_broadcast(spark, monkeypatch):
+    import larder.llm.windows as W
+
+    rows = [(k, f"{prose(100 + k, 20)} {prose(7, 40)} {prose(200 + k, 20)}") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(W, "PIECE_CLASSES", 4)
+    monkeypatch.setattr(W, "CROWD_ROWS", 0)
+    out = suffix.drop_repeats(df, length=100).select("doc_id", F.octet_length("text"), removed(), F.size("removed"), F.sha2("kept", 256)).collect()
+    assert Counter(map(tuple, out)) == brute.suffix(rows, 100)
+
+
 def test_crowded_fingerprints_are_cut_into_pieces(spark, monkeypatch):
     import larder.llm.windows as W
 
