@@ -158,12 +158,12 @@ def matches(texts: list[bytes], items: Items, q: int = Q) -> list[tuple[int, int
 
 
 def slices(benchmark: DataFrame, item_id: str, text: str, limit: int = INDEX_BYTES) -> Iterator[Items]:
-    """Indexes of the benchmark, each of about limit bytes at most."""
+    """Indexes of the benchmark, each of about limit bytes at most; items of one text are dealt by their ids."""
     total = benchmark.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = max(1, -(-int(total) * INDEX_RATE * 5 // (4 * limit)))
     for k in range(n):
         part = benchmark.select(item_id, text)
-        part = part.filter(F.pmod(F.xxhash64(text), F.lit(n)) == k) if n > 1 else part
+        part = part.filter(F.pmod(F.xxhash64(text, item_id), F.lit(n)) == k) if n > 1 else part
         yield index(sorted(((r[0], r[1]) for r in part.collect()), key=lambda r: (r[1] or "", str(r[0]))))
 
 

@@ -9,8 +9,8 @@ the sum of log10((c + 1) / (N + V + 1)).
 Model.  Its vocabulary is the VOCABULARY most frequent training words, the end, and one class for all other words. The two
 preceding tokens' vectors, each through its position's matrix, are added to a context vector; a token's score is the
 product with its own vector plus its bias. Training reads every training token once. Texts are dealt to shards by a hash of
-text and id and sorted there; their number follows the number of training tokens (SHARD_TOKENS each), not the cluster, so
-the same rows give the same model on any layout and after any retry. Each shard runs noise-contrastive estimation with noise
+text and id and sorted there; their number follows the number of training tokens (SHARD_TOKENS each, or more where SHARDS are not
+enough), not the cluster, so the same rows give the same model on any layout and after any retry. A shard is read as a stream. Each shard runs noise-contrastive estimation with noise
 from the unigram distribution, and the shards' parameters are averaged, weighted by tokens (partial sums first, in blocks of
 parameters). Texts are scored by batched matrix products with all vocabulary
 vectors, so token probabilities are normalised; a word of the open class has the class's probability times
@@ -38,7 +38,9 @@ from .common import blocks, materialize
 from .windows import binary
 
 VOCABULARY, WIDTH, CONTEXT, NOISE, BATCH, RATE = 1022, 24, 2, 48, 1024, 0.05
-HEAVY, SHARD_TOKENS = 1 << 17, 1 << 18
+HEAVY, SHARD_TOKENS, SHARDS = 1 << 17, 1 << 18, 4096
+#: Shards whose parameters are added by one task, in two rounds.
+FAN = 64
 #: Bytes of texts whose tokens are shuffled together.
 STEP_BYTES = 1 << 21
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -220,7 +222,7 @@ def train(texts: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
                     seen += len(pick)
             flat = np.concatenate([p[name].reshape(-1) for name, _ in shapes]).astype(np.float64) * seen
             n = -(-len(flat) // chunk)
-            return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([shard % 64] * n, pa.int32()), pa.array([float(seen)] * n), pa.array([flat[i * chunk : (i + 1) * chunk] for i in range(n)], pa.list_(pa.float64()))], ["part", "salt", "weight", "x"])
+            return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([shard % FAN] * n, pa.int32()), pa.array([float(seen)] * n), pa.array([flat[i * chunk : (i + 1) * chunk] for i in range(n)], pa.list_(pa.float64()))], ["part", "salt", "weight", "x"])
 
         def steps() -> Iterator[tuple[int, list[bytes]]]:
             """(shard, texts) of about STEP_BYTES, cut by the rows alone: batches may end anywhere."""
@@ -246,7 +248,7 @@ def train(texts: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
         return pd.DataFrame({"part": [key[0]], "salt": [0], "weight": [rows["weight"].sum()], "x": [x]})
 
     kind = "part int, salt int, weight double, x array<double>"
-    shards = max(1, round(v.tokens / SHARD_TOKENS))
+    shards = min(SHARDS, max(1, round(v.tokens / SHARD_TOKENS)))
     dealt = texts.select("_t", F.pmod(F.xxhash64("_t", "_id"), F.lit(shards)).cast("int").alias("_shard"), F.xxhash64("_id", "_t").alias("_o"))
     dealt = dealt.repartition(shards, "_shard").sortWithinPartitions("_shard", "_o", "_t").select("_t", "_shard")
     sums = dealt.mapInArrow(run, kind).groupBy("part", "salt").applyInPandas(add, kind).groupBy("part").applyInPandas(add, kind)
