@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import FORM_CHANGING, KNOWN_BRANDS, LETTERS, ORGANIC, QUALIFIERS
+from .values import FEED_UNITS, FORM_CHANGING, KNOWN_BRANDS, LETTERS, ORGANIC, QUALIFIERS
 
 #: A word edge of ASCII letters, digits and underscore only: Java's own takes accented letters for part of a word.
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
@@ -55,7 +55,7 @@ def squeeze(c: Column) -> Column:
 def feed_name(c: Column) -> Column:
     """Lower case, single spaces, `6 x 1` as `6x1`, no space before a unit."""
     c = F.regexp_replace(squeeze(F.lower(c)), r"(\d+)\s*x\s*(\d)", "$1x$2")
-    return F.regexp_replace(c, r"(\d)\s*(ml|cl|dl|l|g|kg)(?![\p{L}\p{N}_])", "$1$2")
+    return F.regexp_replace(c, rf"(\d)\s*({FEED_UNITS})(?![\p{{L}}\p{{N}}_])", "$1$2")
 
 
 def stored_name(c: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import EDGE, any_contained, first_match, let
-from .values import CANONICAL_UNITS, CONTAINERS, CUTS, FORMATS, FORMS
+from .values import CANONICAL_UNITS, CARD_PIECES, CARD_UNITS, CONTAINERS, CUTS, FORMATS, FORMS, NAME_PIECES, NAME_UNITS
 
 NUMBER = r"(\d+(?:[.,]\d+)?)"
 
@@ -57,7 +57,7 @@ def unit_name(u: Column) -> Column:
 
 def described_quantity(c: Column) -> Column:
     """struct<quantity, unit, display> of a description: a pack's total, a single amount, or pieces."""
-    multi, single, piece = rf"(?i)(\d+)\s*x\s*{NUMBER}\s*(ml|cl|dl|l|liter|g|kg)(?![\p{{L}}\p{{N}}_])", rf"(?i){NUMBER}\s*(ml|cl|dl|l|liter|g|kg)(?![\p{{L}}\p{{N}}_])", r"(?i)(\d+)\s*(Stück|Stk)(?![\p{L}\p{N}_])"
+    multi, single, piece = rf"(?i)(\d+)\s*x\s*{NUMBER}\s*({CARD_UNITS})(?![\p{{L}}\p{{N}}_])", rf"(?i){NUMBER}\s*({CARD_UNITS})(?![\p{{L}}\p{{N}}_])", rf"(?i)(\d+)\s*({CARD_PIECES})(?![\p{{L}}\p{{N}}_])"
     row = lambda q, u, d: F.struct(q.alias("quantity"), u.alias("unit"), d.alias("display"))
     g = lambda p, k: F.regexp_extract(c, p, k)
     return (
@@ -77,7 +77,7 @@ def described_unit_price(c: Column) -> Column:
 def name_quantity(c: Column) -> Column:
     """struct<quantity, unit> of a name: packs in base units, from a thousand on in l or kg; single amounts and pieces as they stand."""
     c = F.lower(c)
-    multi, single, piece = rf"(\d+)\s*x\s*{NUMBER}\s*(ml|cl|dl|l|liter|litre|g|gr|kg)", rf"{NUMBER}\s*(ml|cl|dl|l|liter|litre|g|gr|kg){EDGE}", rf"(\d+)\s*(stück|stücke|stk|pcs|rollen|pack){EDGE}"
+    multi, single, piece = rf"(\d+)\s*x\s*{NUMBER}\s*({NAME_UNITS})", rf"{NUMBER}\s*({NAME_UNITS}){EDGE}", rf"(\d+)\s*({NAME_PIECES}){EDGE}"
     # the alternatives stand in this order, so `liter` is read as `l` where no edge follows, as in packs
     g = lambda p, k: F.regexp_extract(c, p, k)
     unit = unit_name(g(multi, 3))
@@ -125,8 +125,8 @@ def meat_cut(c: Column) -> Column:
     return by_keywords(c, CUTS)
 
 
-MULTI = rf"(?i)(\d+)\s*x\s*{NUMBER}\s*(ml|cl|dl|l|liter|g|kg)"
-SINGLE = rf"(?i){NUMBER}\s*(ml|cl|dl|l|liter|g|kg){EDGE}"
+MULTI = rf"(?i)(\d+)\s*x\s*{NUMBER}\s*({CARD_UNITS})"
+SINGLE = rf"(?i){NUMBER}\s*({CARD_UNITS}){EDGE}"
 
 
 def unit_price(name: Column, sale: Column, sub_category: Column, description: Column | None = None, quantity: Column | None = None, unit: Column | None = None, display: Column | None = None) -> Column:

@@ -68,9 +68,16 @@ def categorised(df: DataFrame, name: str = "productName", label: str = "sourceCa
 
 
 def with_unit_price(df: DataFrame, name: str = "productName", sale: str = "salePrice", sub: str = "sub_category") -> DataFrame:
-    opt = lambda c: F.col(c) if c in df.columns else None
-    s = units.unit_price(F.col(name), F.col(sale), F.col(sub), opt("description"), opt("quantity"), opt("quantityUnit"), opt("quantityDisplay"))
-    return df.withColumn("__u", s).select(*df.columns, "__u.*")
+    """df with format, container, pack and unit columns (units.unit_price). Texts are read once for each that is different; the price a unit is of each row."""
+    said = [c for c in ("description", "quantity", "quantityUnit", "quantityDisplay") if c in df.columns]
+
+    def read(n: Column, s: Column, *more: Column) -> Column:
+        given = dict(zip(said, more))
+        return units.unit_price(n, F.lit(1.0), s, *(given.get(c) for c in ("description", "quantity", "quantityUnit", "quantityDisplay")))
+
+    out = classify.over_distinct(df, [name, sub, *said], "__u", read)
+    price = units.cents(F.col(sale) / F.col("canonical_unit_value")).alias("price_per_unit")
+    return out.select(*df.columns, "__u.*").withColumn("price_per_unit", price)
 
 
 def to_row(df: DataFrame, *more: str) -> DataFrame:

@@ -6,6 +6,7 @@ no row is read again to be counted. The frame is written aside first: a run whos
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation
@@ -15,6 +16,7 @@ from ..functions import classify, text, units
 from ..functions.values import CONFIDENCE_GATE, STORES
 from . import ingest, keyed, resolve
 from .steps import step
+from .upkeep import changed
 
 KEYS = ["store", "product_name", "valid_from"]
 
@@ -41,12 +43,12 @@ def classified(raw: DataFrame, rules: classify.Rules, aliases: DataFrame) -> Dat
     return resolve.alias_taxonomy(rows, aliases)
 
 
-def weekly(raw: DataFrame, table: str, log: str, run_id: str, started_at: str, rules: classify.Rules, aliases: DataFrame, least: float = 0.8, stores: tuple[str, ...] = STORES) -> Outcome:
+def weekly(raw: DataFrame, table: str, log: str, run_id: str, started_at: str, rules: classify.Rules, aliases: DataFrame, least: float = 0.8, stores: tuple[str, ...] = STORES, tell: Callable[[str], None] | None = None) -> Outcome:
     """Merges raw into the keyed table, retires what the run's stores no longer offer and what has ended, and appends a row to the log.
 
     raw: feed rows (ingest.RAW); aliases: (source_tag, category_slug, subcategory_slug), one a tag. stores: those expected; one without rows
     has failed, and its deals stay. Fails, with the log written, if less than the share least of the categorised rows were stored
-    (rows of one key are stored once); without any rows at all it fails before it stores.
+    (rows of one key are stored once); without any rows at all it fails before it stores. tell: hears of the change once all is well.
     """
     spark, seen, c = raw.sparkSession, Observation("rows"), F.col
     if raw.isEmpty():
@@ -70,5 +72,6 @@ def weekly(raw: DataFrame, table: str, log: str, run_id: str, started_at: str, r
     line = spark.createDataFrame([(run_id, results, numbers["stored"], "; ".join(errors) or None)], "id string, store_results map<string,struct<status:string,count:long>>, total_stored long, error_log string")
     line.withColumn("run_at", started).write.mode("append").parquet(log)
     ingest.check_ratio(numbers["stored"], numbers["categorised"], least)
+    changed(spark, "deals", [table], tell=tell)
     tags = stored.select("sub_category", "store", "product_name", F.col("id").alias("deal_id"))
     return Outcome(numbers, stored, resolve.unknown_tags(tags, aliases), state.number)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, units
 from ..functions import values as V
-from ..operators import ingest, layer, prices, read, verdict
+from ..operators import access, ingest, layer, prices, read, upkeep, verdict
 from ..sources import cards, feeds
 from .more import BRANDED
 from .queries import ACTIVE, DEMO_RULES, LABELLED, RULES, labelled, live, quoted, r6, raw_rows, register, sql_any_sub, sql_cases, sql_lists
@@ -177,3 +177,31 @@ def u17_families(s, d):
 @register("SELECT concept, store, region, product_name, max_by(floor(original_price * 1e6 + 0.5) / 1e6, (valid_from, deal_id)) AS regular_price, max(updated_at) AS last_seen FROM tagged WHERE concept IS NOT NULL GROUP BY ALL", DEALS, ACTIVE, RULED)
 def u17_units(s, d):
     return laid(s, d).skus.drop("sku_id").withColumn("regular_price", r6(F.col("regular_price")))
+
+
+@register("SELECT o_orderkey AS \"oOrderkey\", o_custkey AS \"oCustkey\", o_orderpriority AS \"oOrderpriority\" FROM orders")
+def p4_camel_rows(s, d):
+    """Rows with their columns as the other side writes them, there and back and there."""
+    rows = table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return access.renamed(access.renamed(access.renamed(rows, access.camel), access.snake), access.camel)
+
+
+@register("SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_nationkey = 3 OR c_mktsegment = 'BUILDING'")
+def u15_readable_rows(s, d):
+    """Customers as a role sees them: two conditions, and no balances."""
+    seen = ("c_custkey", "c_name", "c_mktsegment")
+    policies = [access.Policy("anon", F.col("c_nationkey") == 3, seen), access.Policy("anon", F.col("c_mktsegment") == "BUILDING"), access.Policy("other", F.lit(True))]
+    return access.readable(table(s, d, "customer"), "anon", policies)
+
+
+@register("SELECT r_regionkey, r_name || '!' AS r_name, count(n_nationkey) AS nations FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL")
+def s19_migrated(s, d):
+    """Tables that scripts of statements make from the given ones, run twice; the second time none is left to run."""
+    mark = folder(s, "m").rpartition("-")[2]
+    for name in ("region", "nation"):
+        table(s, d, name).createOrReplaceTempView(f"{name}_{mark}")
+    log = folder(s, "migrations")
+    scripts = [("002", f"CREATE OR REPLACE TEMPORARY VIEW named_{mark} AS SELECT r_regionkey, concat(r_name, '!') AS r_name FROM region_{mark}; CREATE OR REPLACE TEMPORARY VIEW result_{mark} AS SELECT r_regionkey, r_name, count(n_nationkey) AS nations FROM named_{mark} LEFT JOIN counted_{mark} ON n_regionkey = r_regionkey GROUP BY ALL;"), ("001", f"CREATE OR REPLACE TEMPORARY VIEW counted_{mark} AS SELECT n_nationkey, n_regionkey FROM nation_{mark}")]
+    if upkeep.migrate(s, scripts, log, AS_OF) != ["001", "002"] or upkeep.migrate(s, scripts, log, AS_OF):
+        raise RuntimeError("migrations did not run once each")
+    return s.table(f"result_{mark}")

@@ -12,6 +12,7 @@ from ..functions import units
 
 RAW_CARD = "struct<name:string,description:string,price_new:string,price_old:string,price_discount:string,date_text:string,href:string,image_url:string>"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+# Class names of a page's cards, and what their texts are.
 TEXTS = {"card-description": "description", "price-new": "price_new", "price-old": "price_old", "price-discount": "price_discount", "card-date": "date_text"}
 
 

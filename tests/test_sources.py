@@ -2,9 +2,10 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from larder.operators import layer, prices
+from larder.operators import access, layer, prices, upkeep
 from larder.sources import feeds
 
 
@@ -49,3 +50,29 @@ def test_concept_layer(spark):
     linked = {r.deal_id: (r.concept, r.sku_id is None) for r in out.deals.collect()}
     assert linked == {"1": ("dairy-milch-1l", False), "2": ("dairy-milch-1l", False), "3": ("7", False), "4": (None, True), "5": ("oil-vinegar-ol-essig", False)}
     assert out.deals.filter(F.col("deal_id") == "1").first().sku_id == out.deals.filter(F.col("deal_id") == "2").first().sku_id
+
+
+def test_policies(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (2, None, "y"), (3, "b", "z")], "id int, owner string, secret string")
+    p = [access.Policy("anon", F.col("owner") == "a", ("id", "owner")), access.Policy("anon", F.col("id") == 3), access.Policy("mail", F.lit(True))]
+    assert access.readable(df, "anon", p).columns == ["id", "owner"] and sorted(r.id for r in access.readable(df, "anon", p).collect()) == [1, 3]
+    assert access.readable(df, access.SERVICE, p).count() == 3 and access.readable(df, "nobody", p).count() == 0 and access.readable(df, "mail", p).columns == df.columns
+    assert access.of_token(df, "owner", "b").first().id == 3
+    with pytest.raises(KeyError):
+        access.of_token(df, "owner", "nope")
+    assert [access.camel(c) for c in ("sub_category", "a", "is_active")] == ["subCategory", "a", "isActive"] and access.snake("subCategoryId") == "sub_category_id"
+
+
+def test_migrations_run_once(spark, tmp_path):
+    log = str(tmp_path / "log")
+    one, two = ("001", "CREATE OR REPLACE TEMPORARY VIEW mig_a AS SELECT 1 AS x; CREATE OR REPLACE TEMPORARY VIEW mig_b AS SELECT x + 1 AS x FROM mig_a;"), ("002", "SELECT * FROM no_such_table")
+    with pytest.raises(Exception, match="no_such_table"):
+        upkeep.migrate(spark, [two, one], log, "2026-01-01")
+    assert spark.table("mig_b").first().x == 2 and upkeep.applied(spark, log) == {"001"}
+    assert upkeep.migrate(spark, [one, ("002", "SELECT 1")], log, "2026-01-02") == ["002"] and upkeep.migrate(spark, [one], log, "2026-01-03") == []
+
+
+def test_others_hear_of_a_change(spark, tmp_path):
+    heard = []
+    assert upkeep.changed(spark, "deals", [str(tmp_path)], tell=heard.append) and heard == ["deals"]
+    assert not upkeep.changed(spark, "deals") and not upkeep.changed(spark, "deals", tell=lambda tag: 1 / 0)
