@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text, units
+from ..functions import classify, text, units
 from ..functions import values as V
-from ..operators import access, ingest, layer, prices, read, upkeep, verdict
+from ..operators import access, ingest, layer, lists, prices, read, upkeep, verdict
 from ..sources import cards, feeds
 from .more import BRANDED
 from .queries import ACTIVE, DEMO_RULES, LABELLED, RULES, labelled, live, quoted, r6, raw_rows, register, sql_any_sub, sql_cases, sql_lists
@@ -205,3 +205,48 @@ def s19_migrated(s, d):
     if upkeep.migrate(s, scripts, log, AS_OF) != ["001", "002"] or upkeep.migrate(s, scripts, log, AS_OF):
         raise RuntimeError("migrations did not run once each")
     return s.table(f"result_{mark}")
+
+
+# --- the same operators on rows that vary
+
+STORE_LIST = f"[{quoted(V.STORES)}]"
+
+
+@register(f"SELECT p_partkey, x.sub_category, t.canonical_unit, t.default_format FROM (SELECT p_partkey, {sql_any_sub()} AS sub_category FROM labelled) x LEFT JOIN (VALUES ('water', 'L', 'still'), ('dairy', 'L', 'whole'), ('juice', 'L', '100pct'), ('bread', 'kg', 'loaf'), ('poultry', 'kg', 'fresh'), ('coffee', '100g', 'beans'), ('eggs', 'piece', 'medium')) t(sub_category, canonical_unit, default_format) ON t.sub_category = x.sub_category", LABELLED)
+def cl17_schemas_of_names(s, d):
+    """What the schema of each name's sub-category says."""
+    named = classify.over_distinct(labelled(s, d), ["name", "label"], "sub_category", lambda n, c: classify.any_sub_category(n, c, DEMO_RULES))
+    known = lists.schemas(named).select("sub_category", "canonical_unit", "default_format")
+    return named.select("p_partkey", "sub_category").join(known, "sub_category", "left").select("p_partkey", "sub_category", "canonical_unit", "default_format")
+
+
+@register(
+    f"""SELECT c_custkey, array_to_string(CASE WHEN len(left_over) > 0 THEN left_over ELSE covered END, ',') AS stores FROM (SELECT c_custkey, covered, list_filter(coalesce(chosen, []), lambda x: list_contains(covered, x)) AS left_over FROM (SELECT c_custkey,
+      CASE WHEN c_custkey % 5 > 0 THEN list_filter({STORE_LIST}, lambda x, i: (c_custkey // (2 ** i)::BIGINT) % 2 = 1) END AS chosen, list_filter({STORE_LIST}, lambda x, i: (c_nationkey + i) % 3 = 0) AS covered FROM customer))"""
+)
+def f22_guarded_stores(s, d):
+    """Stores that customers chose, as far as their region has them."""
+    every = F.array(*(F.lit(x) for x in V.STORES))
+    place = lambda x: F.array_position(every, x)
+    chosen = F.when(F.col("c_custkey") % 5 > 0, F.filter(every, lambda x: F.floor(F.col("c_custkey") / F.pow(F.lit(2.0), place(x).cast("double"))) % 2 == 1))
+    covered = F.filter(every, lambda x: (F.col("c_nationkey") + place(x)) % 3 == 0)
+    return table(s, d, "customer").select("c_custkey", F.array_join(read.guarded_stores(chosen, covered), ",").alias("stores"))
+
+
+@register("SELECT store, CASE WHEN n > 0 THEN 'success' ELSE 'failed' END AS status, n, (SELECT count(*) FROM live WHERE category = 'fresh' AND store <> 'spar') AS total FROM (SELECT s.store, count(l.deal_id) AS n FROM (VALUES ('migros'), ('coop'), ('lidl'), ('aldi'), ('denner'), ('spar'), ('volg')) s(store) LEFT JOIN live l ON l.store = s.store AND category = 'fresh' AND l.store <> 'spar' GROUP BY s.store)", DEALS, ACTIVE)
+def s9_run_log_of_stores(s, d):
+    """The whole map of a run's row, a store a line."""
+    log = ingest.run_log(ingest.store_status(live(s, d).filter("category = 'fresh' and store <> 'spar'")), "run", AS_OF)
+    each = log.select(F.explode("store_results").alias("store", "x"), F.col("total_stored").cast("long").alias("total"))
+    return each.select("store", "x.status", F.col("x.count").cast("long").alias("n"), "total")
+
+
+@register("SELECT o_orderkey AS id, o_orderdate AS run_at, CASE o_orderstatus WHEN 'F' THEN 'failed' ELSE 'success' END AS status, o_custkey AS n, o_custkey * 2 AS total_stored, o_orderkey % 1000 AS duration_ms FROM orders")
+def p7_public_runs_of_orders(s, d):
+    """Runs as anyone may read them: times, numbers, what each store gave, no errors."""
+    result = F.create_map(F.lit("coop"), F.struct(F.when(F.col("o_orderstatus") == "F", "failed").otherwise("success").alias("status"), F.col("o_custkey").alias("count")))
+    runs = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("run_at"), result.alias("store_results"), (F.col("o_custkey") * 2).alias("total_stored"), (F.col("o_orderkey") % 1000).alias("duration_ms"), F.col("o_orderpriority").alias("error_log"))
+    seen = ingest.public_runs(runs)
+    if "error_log" in seen.columns:
+        raise RuntimeError("errors are not public")
+    return seen.select("id", "run_at", F.col("store_results")["coop"]["status"].alias("status"), F.col("store_results")["coop"]["count"].alias("n"), "total_stored", "duration_ms")
