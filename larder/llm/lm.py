@@ -6,14 +6,17 @@ the end alone. Training tokens are those of the rows that learn.
 Counts.  Every training word is counted (per task first, then summed by a 64-bit hash of the word). The base of a text is
 the sum of log10((c + 1) / (N + V + 1)).
 
-Model.  Its vocabulary is the VOCABULARY most frequent training words, the end, and one class for all other words. The two
-preceding tokens' vectors, each through its position's matrix, are added to a context vector; a token's score is the
-product with its own vector plus its bias. Training reads every training token once. Texts are dealt to shards by a hash of
-text and id and sorted there; their number follows the number of training tokens (SHARD_TOKENS each, or more where SHARDS are not
-enough), not the cluster, so the same rows give the same model on any layout and after any retry. A shard is read as a stream. Each shard runs noise-contrastive estimation with noise
-from the unigram distribution, and the shards' parameters are averaged, weighted by tokens (partial sums first, in blocks of
-parameters). Texts are scored by batched matrix products with all vocabulary
-vectors, so token probabilities are normalised; a word of the open class has the class's probability times
+Model.  Its vocabulary is the training words that occur LEAST times or more, the VOCABULARY most frequent of these at most, the
+end, and one open class for all other words. Ids follow frequency, and as many consecutive ids as classes make a class: a
+token's probability is that of its class times its own within the class, so that a normalised one costs two sums of the
+square root of the vocabulary. The two preceding tokens' vectors, each through its position's matrix, are added to a context
+vector; a class's or a token's score is the product with its own vector plus its bias. Training reads every training token once.
+Texts are dealt to shards by a hash of text and id and sorted there; their number follows the number of training tokens
+(SHARD_TOKENS each, or more where SHARDS are not enough), not the cluster, so the same rows give the same model on any layout
+and after any retry. A shard is read as a stream. Each shard runs noise-contrastive estimation, for the class with noise
+from the classes' unigram distribution, for the token with noise from its class's, and the shards' parameters are averaged,
+weighted by tokens (FAN at a time, in blocks of parameters). Texts are scored by batched matrix products, context vectors with
+all class vectors and with those of each token's class; a word of the open class has that class's probability times
 (c + 1) / (N' + V' + 1) over the training words outside of the vocabulary, N' and V' being their tokens and types, so that
 the probabilities of all words that can follow, one unseen word among them, add up to one.
 
@@ -37,8 +40,10 @@ from . import kernels as K
 from .common import blocks, materialize
 from .windows import binary
 
-VOCABULARY, WIDTH, CONTEXT, NOISE, BATCH, RATE = 1022, 24, 2, 48, 1024, 0.05
-HEAVY, SHARD_TOKENS, SHARDS = 1 << 17, 1 << 18, 4096
+VOCABULARY, LEAST, WIDTH, CONTEXT, BATCH, RATE = 16_382, 4, 24, 2, 1024, 0.05
+#: Noise classes of a batch, and noise words of a token.
+NOISE, NOISE_WORDS = 48, 4
+HEAVY, SHARD_TOKENS, SHARDS = 1 << 17, 1 << 20, 4096
 #: Shards whose parameters are added by one task, in two rounds.
 FAN = 64
 #: Bytes of texts whose tokens are shuffled together.
@@ -102,6 +107,11 @@ class Vocabulary:
     tail_types: int
     ends: int
 
+    @property
+    def width(self) -> int:
+        """Ids of a class."""
+        return int(np.ceil(np.sqrt(len(self.unigram))))
+
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Model ids and counts of word hashes; count -1: not heavy."""
         if not len(self.hashes):
@@ -119,7 +129,7 @@ class Vocabulary:
         return out, n + 1, counts
 
 
-def vocabulary(counts: DataFrame, size: int = VOCABULARY, heavy: int = HEAVY) -> Vocabulary:
+def vocabulary(counts: DataFrame, size: int = VOCABULARY, heavy: int = HEAVY, least: int = LEAST) -> Vocabulary:
     words = counts.filter("w is not null")
     total, types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = counts.filter("w is null").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
@@ -132,7 +142,8 @@ def vocabulary(counts: DataFrame, size: int = VOCABULARY, heavy: int = HEAVY) ->
         if n > heavy:
             break
         cut = r["o"]
-    top = {r["w"]: r["c"] for r in words.orderBy(F.desc("c"), "w").limit(size).collect()}
+    top = {r["w"]: r["c"] for r in words.filter(F.col("c") >= least).orderBy(F.desc("c"), "w").limit(size).collect()}
+    size = len(top)
     if cut is not None:
         top |= {r["w"]: r["c"] for r in words.filter(octave >= cut).collect()}  # bounded by heavy
     top = sorted(top.items(), key=lambda x: (-x[1], x[0]))
@@ -153,45 +164,80 @@ def contexts(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.stack([np.where(at - k >= first, ids[at - k], 0) for k in range(1, CONTEXT + 1)], axis=1)
 
 
+def class_mass(v: Vocabulary) -> np.ndarray:
+    return np.add.reduceat(v.unigram, np.arange(0, len(v.unigram), v.width))
+
+
 def start(v: Vocabulary, seed: int = 5) -> dict[str, np.ndarray]:
+    """Small vectors, and biases that make the model the unigram."""
     rng = np.random.default_rng(seed)
-    n = len(v.unigram)
+    n, mass = len(v.unigram), class_mass(v)
+    small = lambda rows: rng.normal(0, 0.1, (rows, WIDTH)).astype(np.float32)
     return {
-        "context": rng.normal(0, 0.1, (n, WIDTH)).astype(np.float32), "target": rng.normal(0, 0.1, (n, WIDTH)).astype(np.float32), "bias": np.log(v.unigram).astype(np.float32),
+        "context": small(n), "target": small(n), "bias": np.log(v.unigram / np.repeat(mass, v.width)[:n]).astype(np.float32), "group": small(len(mass)), "group_bias": np.log(mass).astype(np.float32),
         "mix": np.stack([np.eye(WIDTH), 0.5 * np.eye(WIDTH)]).astype(np.float32),
     }
 
 
-def _scatter(size: int, ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of rows by id."""
-    out = np.zeros((size, rows.shape[1]), dtype=np.float32)
-    order = np.argsort(ids.astype(np.int16 if size < 1 << 15 else np.int64), kind="stable")
+class Noise:
+    """Draws classes by their unigram, and words by the unigram of a class."""
+
+    def __init__(self, v: Vocabulary, rng: np.random.Generator) -> None:
+        self.rng, self.width, mass = rng, v.width, class_mass(v)
+        self.word_cdf, self.class_cdf = np.append(0, np.cumsum(v.unigram)), np.cumsum(mass)
+        self.log_word, self.log_class = np.log(v.unigram / np.repeat(mass, v.width)[: len(v.unigram)]).astype(np.float32), np.log(mass).astype(np.float32)
+
+    def classes(self, k: int) -> np.ndarray:
+        return np.minimum(np.searchsorted(self.class_cdf, self.rng.random(k)), len(self.class_cdf) - 1)
+
+    def words(self, word: np.ndarray, k: int) -> np.ndarray:
+        """k words for each, of its own class."""
+        lo = word // self.width * self.width
+        hi = np.minimum(lo + self.width, len(self.word_cdf) - 1)
+        at = self.word_cdf[lo, None] + self.rng.random((len(word), k)) * (self.word_cdf[hi] - self.word_cdf[lo])[:, None]
+        return np.clip(np.searchsorted(self.word_cdf, at, side="right") - 1, lo[:, None], hi[:, None] - 1)
+
+
+def _step(p: np.ndarray, past: np.ndarray, ids: np.ndarray, rows: np.ndarray, rate: float) -> None:
+    """Adds rows to the parameters of their ids, scaled by the gradients so far; only these ids are touched."""
+    order = np.argsort(ids.astype(np.int16 if len(p) < 1 << 15 else np.int64), kind="stable")
     ids = ids[order]
     at = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    out[ids[at]] = np.add.reduceat(rows[order], at, axis=0)
-    return out
+    g, one = np.add.reduceat(rows[order], at, axis=0), ids[at]
+    past[one] += g * g
+    p[one] += np.float32(rate) * g / np.sqrt(past[one])
+
+
+def _pull(true: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the scores (over noise) of true and noise ones are pulled by."""
+    return 1 / (1 + np.exp(np.clip(true, -30, 30))), -1 / (1 + np.exp(np.clip(-other, -30, 30)))
 
 
-def nce_step(p: dict[str, np.ndarray], past: dict[str, np.ndarray], ctx: np.ndarray, word: np.ndarray, noise: np.ndarray, log_noise: np.ndarray, rate: float = RATE) -> None:
-    """One step on a batch, each true word against the batch's shared noise words; past: squared gradients so far."""
-    k, n = len(noise), len(p["bias"])
+def nce_step(p: dict[str, np.ndarray], past: dict[str, np.ndarray], ctx: np.ndarray, word: np.ndarray, noise: Noise, rate: float = RATE) -> None:
+    """One step on a batch: true classes against the batch's noise classes, true words each against noise words of their class. past: squared gradients so far."""
     parts = [p["context"][ctx[:, j]] for j in range(CONTEXT)]
     q = sum(parts[j] @ p["mix"][j] for j in range(CONTEXT))
-    true, other = p["target"][word], p["target"][noise]
-    s_true = (q * true).sum(axis=1) + p["bias"][word] - (log_noise[word] + np.float32(np.log(k)))
-    s_other = q @ other.T + p["bias"][noise] - (log_noise[noise] + np.float32(np.log(k)))
-    g_true = 1 / (1 + np.exp(np.clip(s_true, -30, 30)))  # 1 - probability of being true
-    g_other = -1 / (1 + np.exp(np.clip(-s_other, -30, 30)))
-    dq = g_true[:, None] * true + g_other @ other
-    grads = {
-        "context": sum(_scatter(n, ctx[:, j], dq @ p["mix"][j].T) for j in range(CONTEXT)),
-        "target": _scatter(n, word, g_true[:, None] * q) + _scatter(n, noise, g_other.T @ q),
-        "bias": (np.bincount(word, weights=g_true, minlength=n) + np.bincount(noise, weights=g_other.sum(axis=0), minlength=n)).astype(np.float32),
-        "mix": np.stack([parts[j].T @ dq for j in range(CONTEXT)]),
-    }
-    for name, g in grads.items():
-        past[name] += g * g
-        p[name] += np.float32(rate) * g / np.sqrt(past[name])
+    own, others = word // noise.width, noise.classes(NOISE)
+    k = np.float32(np.log(NOISE))
+    true, other = p["group"][own], p["group"][others]
+    g_own, g_others = _pull((q * true).sum(axis=1) + p["group_bias"][own] - noise.log_class[own] - k, q @ other.T + p["group_bias"][others] - noise.log_class[others] - k)
+    dq = g_own[:, None] * true + g_others @ other
+    drawn = noise.words(word, NOISE_WORDS)
+    k = np.float32(np.log(NOISE_WORDS))
+    mine, theirs = p["target"][word], p["target"][drawn]
+    g_word, g_drawn = _pull((q * mine).sum(axis=1) + p["bias"][word] - noise.log_word[word] - k, np.einsum("bw,bkw->bk", q, theirs) + p["bias"][drawn] - noise.log_word[drawn] - k)
+    dq += g_word[:, None] * mine + np.einsum("bk,bkw->bw", g_drawn, theirs)
+    flat = drawn.reshape(-1)
+    mix = np.stack([parts[j].T @ dq for j in range(CONTEXT)])
+    back = [dq @ p["mix"][j].T for j in range(CONTEXT)]
+    every = lambda a, b: np.concatenate([a, b])
+    _step(p["group"], past["group"], every(own, others), every(g_own[:, None] * q, g_others.T @ q), rate)
+    _step(p["group_bias"][:, None], past["group_bias"][:, None], every(own, others), every(g_own, g_others.sum(axis=0))[:, None], rate)
+    _step(p["target"], past["target"], every(word, flat), every(g_word[:, None] * q, (g_drawn[:, :, None] * q[:, None]).reshape(len(flat), -1)), rate)
+    _step(p["bias"][:, None], past["bias"][:, None], every(word, flat), every(g_word, g_drawn.reshape(-1))[:, None], rate)
+    _step(p["context"], past["context"], ctx.T.reshape(-1), np.concatenate(back), rate)
+    past["mix"] += mix * mix
+    p["mix"] += np.float32(rate) * mix / np.sqrt(past["mix"])
 
 
 def train(texts: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
@@ -204,11 +250,11 @@ def train(texts: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, begin = shared.value
-        log_noise, cdf = np.log(v.unigram).astype(np.float32), np.cumsum(v.unigram)
 
         def learn(shard: int, rows: Iterator[list[bytes]]) -> pa.RecordBatch:
             p = {name: begin[name].copy() for name, _ in shapes}
             rng = np.random.default_rng(shard)
+            noise = Noise(v, rng)
             past = {name: np.full_like(p[name], 1.0) for name, _ in shapes}
             seen = 0
             for texts in rows:
@@ -217,12 +263,11 @@ def train(texts: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
                 order = rng.permutation(len(ids))
                 for a in range(0, len(ids), BATCH):
                     pick = order[a : a + BATCH]
-                    noise = np.minimum(np.searchsorted(cdf, rng.random(NOISE)), len(cdf) - 1)
-                    nce_step(p, past, ctx[pick], ids[pick], noise, log_noise)
+                    nce_step(p, past, ctx[pick], ids[pick], noise)
                     seen += len(pick)
-            flat = np.concatenate([p[name].reshape(-1) for name, _ in shapes]).astype(np.float64) * seen
+            flat = np.concatenate([p[name].reshape(-1) for name, _ in shapes])
             n = -(-len(flat) // chunk)
-            return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([shard % FAN] * n, pa.int32()), pa.array([float(seen)] * n), pa.array([flat[i * chunk : (i + 1) * chunk] for i in range(n)], pa.list_(pa.float64()))], ["part", "salt", "weight", "x"])
+            return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([shard // FAN] * n, pa.int32()), pa.array([float(seen)] * n), pa.array([flat[i * chunk : (i + 1) * chunk] for i in range(n)], pa.list_(pa.float32()))], ["part", "salt", "weight", "x"])
 
         def steps() -> Iterator[tuple[int, list[bytes]]]:
             """(shard, texts) of about STEP_BYTES, cut by the rows alone: batches may end anywhere."""
@@ -241,13 +286,15 @@ def train(texts: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
             yield learn(shard, (texts for _, texts in rows))
 
     def add(key, rows):
+        """The mean of some shards' parameters, weighted by their tokens."""
         import pandas as pd
 
         rows = rows.sort_values("weight", kind="stable")
-        x = np.sum(np.stack(rows["x"].to_numpy()), axis=0)
-        return pd.DataFrame({"part": [key[0]], "salt": [0], "weight": [rows["weight"].sum()], "x": [x]})
+        weight = rows["weight"].to_numpy()
+        x = (np.stack(rows["x"].to_numpy()).astype(np.float64) * weight[:, None]).sum(axis=0) / weight.sum()
+        return pd.DataFrame({"part": [key[0]], "salt": [0], "weight": [weight.sum()], "x": [x.astype(np.float32)]})
 
-    kind = "part int, salt int, weight double, x array<double>"
+    kind = "part int, salt int, weight double, x array<float>"
     shards = min(SHARDS, max(1, round(v.tokens / SHARD_TOKENS)))
     dealt = texts.select("_t", F.pmod(F.xxhash64("_t", "_id"), F.lit(shards)).cast("int").alias("_shard"), F.xxhash64("_id", "_t").alias("_o"))
     dealt = dealt.repartition(shards, "_shard").sortWithinPartitions("_shard", "_o", "_t").select("_t", "_shard")
@@ -255,7 +302,7 @@ def train(texts: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
     rows = sorted(sums.collect(), key=lambda r: r["part"])  # one model
     if not rows:
         return begin
-    flat = np.concatenate([np.array(r["x"]) / r["weight"] for r in rows])
+    flat = np.concatenate([np.array(r["x"], dtype=np.float32) for r in rows])
     out, at = {}, 0
     for name, shape in shapes:
         n = int(np.prod(shape))
@@ -265,17 +312,30 @@ def train(texts: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
 
 
 def log_probabilities(p: dict[str, np.ndarray], ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Natural log-probability of each token, normalised over the vocabulary."""
-    code = ctx[:, 0] * len(p["bias"]) + ctx[:, 1]
-    distinct, back = np.unique(code, return_inverse=True)
-    pair = np.stack([distinct // len(p["bias"]), distinct % len(p["bias"])], axis=1)
-    q = sum(p["context"][pair[:, j]] @ p["mix"][j] for j in range(CONTEXT))
-    norm = np.empty(len(q), dtype=np.float64)
-    for lo in range(0, len(q), 2048):
-        s = q[lo : lo + 2048] @ p["target"].T + p["bias"]
-        top = s.max(axis=1, keepdims=True)
-        norm[lo : lo + 2048] = top[:, 0] + np.log(np.exp(s - top).sum(axis=1, dtype=np.float64))
-    return np.einsum("ij,ij->i", q[back], p["target"][word]).astype(np.float64) + p["bias"][word] - norm[back]
+    """Natural log-probability of each token: of its class, normalised over the classes, and of itself, normalised over its class."""
+    n, classes = len(p["bias"]), len(p["group_bias"])
+    width = int(np.ceil(np.sqrt(n)))
+    distinct, back = np.unique(ctx[:, 0] * n + ctx[:, 1], return_inverse=True)
+    q = p["context"][distinct // n] @ p["mix"][0] + p["context"][distinct % n] @ p["mix"][1]
+
+    def logsum(q: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        out = np.empty(len(q), dtype=np.float64)
+        for lo in range(0, len(q), 4096):
+            s = q[lo : lo + 4096] @ vectors.T + bias
+            top = s.max(axis=1, keepdims=True)
+            out[lo : lo + 4096] = top[:, 0] + np.log(np.exp(s - top).sum(axis=1, dtype=np.float64))
+        return out
+
+    own = word // width
+    out = np.einsum("ij,ij->i", q[back], p["group"][own] + p["target"][word]).astype(np.float64) + p["group_bias"][own] + p["bias"][word] - logsum(q, p["group"], p["group_bias"])[back]
+    # a context and class once, class by class
+    pairs, of = np.unique(own * len(distinct) + back, return_inverse=True)
+    at = np.searchsorted(pairs, np.arange(classes + 1) * len(distinct))
+    norm = np.empty(len(pairs), dtype=np.float64)
+    for c in np.flatnonzero(np.diff(at)):
+        lo, hi = c * width, min(n, (c + 1) * width)
+        norm[at[c] : at[c + 1]] = logsum(q[pairs[at[c] : at[c + 1]] % len(distinct)], p["target"][lo:hi], p["bias"][lo:hi])
+    return out - norm[of]
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text: str = "text", learn: Column | None = None, size: int = VOCABULARY, heavy: int = HEAVY) -> DataFrame:

@@ -425,11 +425,42 @@ def test_model_probabilities_add_up():
     rng = np.random.default_rng(0)
     for _ in range(50):
         past = {k: np.ones_like(x) for k, x in p.items()}
-        lm.nce_step(p, past, rng.integers(0, 9, (64, 2)), rng.integers(0, 9, 64), rng.integers(0, 9, 5), np.log(v.unigram).astype(np.float32))
+        lm.nce_step(p, past, rng.integers(0, 9, (64, 2)), rng.integers(0, 9, 64), lm.Noise(v, rng))
     ctx = np.array([[3, 4]] * 9)
     assert np.exp(lm.log_probabilities(p, ctx, np.arange(9))).sum() == pytest.approx(1, abs=1e-5)
 
 
+@pytest.mark.parametrize("n", [2, 3, 10, 17, 50])
+def test_classes_of_any_size(n):
+    """Probabilities add up for vocabularies whose last class is short; noise words stay in their class and follow the unigram."""
+    rng = np.random.default_rng(n)
+    u = rng.random(n) + 0.1
+    v = lm.Vocabulary(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), u / u.sum(), 10, 5, 2, 1, 3)
+    p = {k: x + rng.normal(0, 1, x.shape).astype(np.float32) for k, x in lm.start(v).items()}
+    for ctx in ([0, 1], [n - 1, 0]):
+        assert np.exp(lm.log_probabilities(p, np.array([ctx] * n), np.arange(n))).sum() == pytest.approx(1, abs=1e-5)
+    assert np.exp(lm.log_probabilities(lm.start(v), np.zeros((n, 2), dtype=np.int64), np.arange(n))) == pytest.approx(v.unigram, rel=0.3)
+    drawn = lm.Noise(v, rng).words(np.full(20_000, n - 1), 1)[:, 0]
+    own = np.arange(n) // v.width == (n - 1) // v.width
+    assert own[drawn].all() and np.bincount(drawn, minlength=n) / 20_000 == pytest.approx(np.where(own, v.unigram, 0) / v.unigram[own].sum(), abs=0.02)
+
+
+def test_model_learns_what_follows(spark):
+    """Held-out texts of a language in which a word decides the next are far more likely than by counts alone."""
+    rng = random.Random(1)
+    follow = {f"w{k}": f"w{(k * 7 + 3) % 60}" for k in range(60)}
+
+    def text():
+        w = [f"w{rng.randrange(60)}"]
+        while len(w) < 40:
+            w.append(follow[w[-1]] if rng.random() < 0.9 else f"w{rng.randrange(60)}")
+        return " ".join(w)
+
+    df = spark.createDataFrame([(k, text()) for k in range(1500)], "doc_id long, text string")
+    r = lm.score(df, learn=~lm.held_out("doc_id")).filter("held_out").agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
+    assert r[0] > r[1] + 0.3
+
+
 # --- 7: byte strings
 
 
