@@ -255,6 +255,15 @@ def test_greedy_names(spark):
     assert compare.similar_names(deals(spark, *rows).limit(0)).collect() == []
 
 
+def test_greedy_names_of_all_live_deals(spark):
+    from larder.plans.queries import QUERIES, live
+
+    sf = "/root/testdata/sf0.01"
+    rows = [r.asDict() for r in live(spark, sf).select("deal_id", "store", "product_name", "sub_category", "sale_price").collect()]
+    got = QUERIES["j18_similar_names"](spark, sf).collect()
+    assert sorted((r.match_id, r.deal_id) for r in got) == plain_greedy(once_a_name(rows)) and len(got) > 20
+
+
 def test_greedy_names_over_many_rounds(spark):
     """A chain of names, each about the next only, whose order lets one offer act at a time at first."""
     words = [f"w{chr(97 + k)}" for k in range(20)]
