@@ -45,6 +45,8 @@ def unknown_tags(deals: DataFrame, aliases: DataFrame) -> DataFrame:
     return d.groupBy("tag", "store").agg(F.min_by("product_name", "deal_id").alias("product_name"))
 
 
+#: Characters that make a keyword a regular expression.
+META = r"[\\.^$*+?()\[\]{}|]"
 #: Edges of words, as letters, digits and underscores of any script make them.
 WORD_START, WORD_END = r"(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_])", r"(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])"
 
@@ -52,15 +54,17 @@ WORD_START, WORD_END = r"(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_])", r"(?<=[\p{L}\p{N}
 def group_by_keywords(products: DataFrame, groups: DataFrame, name: str = "name", substring: bool = False) -> DataFrame:
     """products with group_id and product_form (if groups have one); groups: (group_id, include, exclude, ...).
 
-    A keyword is literal text, without regard to case. It stands as a whole word of the name, or starts it, or ends it; of the
+    A keyword is literal text, without regard to case, unless it has a character that means something in a regular expression: then it
+    is one (and matches nothing if it is not sound). It stands as a whole word of the name, or starts it, or ends it; of the
     groups that have such a keyword, one with a keyword found only at the end comes first, then the one whose longest other
     keyword is longest, then the smallest id. A group with an exclusion (a regular expression) found in the name is out.
     substring: a keyword may stand anywhere, exclusions are literal text, and the smallest id decides.
-    Products that have a group_id keep it. Names meet keywords by a join on grams (terms.containing).
+    Products that have a group_id keep it. Names meet keywords by a join on grams (terms.containing); only expressions meet all names.
     """
     form = "product_form" if "product_form" in groups.columns else None
     kws = groups.select("group_id", F.explode("include").alias("kw"), "exclude", (F.col(form) if form else F.lit(None).cast("string")).alias("__form"))
-    met = containing(products, kws, name, "kw").join(kws, "kw").withColumnRenamed(name, "__name")
+    plain = kws if substring else kws.filter(~F.col("kw").rlike(META))
+    met = containing(products, plain, name, "kw").join(plain, "kw").withColumnRenamed(name, "__name")
     n, kw = F.lower("__name"), F.lower("kw")
     quoted = F.concat(F.lit(r"\Q"), F.replace(kw, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     if substring:
@@ -69,6 +73,12 @@ def group_by_keywords(products: DataFrame, groups: DataFrame, name: str = "name"
     else:
         front = F.startswith(n, kw) | F.regexp_like(n, F.concat(F.lit(WORD_START), quoted, F.lit(WORD_END)))
         met = met.withColumn("__front", front).filter(F.col("__front") | F.endswith(n, kw))
+        names, p = products.select(F.col(name).alias("__name")).filter("__name is not null").distinct(), F.col("pattern")
+        like = lambda *parts: F.regexp_like(F.col("__name"), F.concat(F.lit("(?iu)"), *parts))
+        for part in sound_patterns(kws.filter(F.col("kw").rlike(META)).withColumnRenamed("kw", "pattern")):
+            front = like(F.lit(WORD_START), p, F.lit(WORD_END)) | like(F.lit("^"), p)
+            hit = names.join(F.broadcast(part), front | like(p, F.lit("$"))).withColumn("__front", front)
+            met = met.unionByName(hit.withColumnRenamed("pattern", "kw").select(*met.columns))
         out = F.exists("exclude", lambda x: (x != "") & F.regexp_like(F.col("__name"), F.concat(F.lit("(?iu)"), x)))
         rank = F.struct(F.col("__long").isNotNull(), -F.coalesce("__long", F.lit(0)), "group_id")
     met = met.filter(~F.coalesce(out, F.lit(False)))

@@ -334,7 +334,8 @@ def test_run_log(spark):
 
 def test_groups_by_keywords(spark):
     names = ["vollmilch 1l", "Milch, frisch", "bio milch", "milchdrink 500ml", "pouletbrustfilet", "(Rioja) rot", "x.milch.y", "buttermilch", "Schokomilch", "milch1", "mil", "", None]
-    groups = [("g1", ["milch"], ["schoko."], "raw"), ("g2", ["milchdrink", "butter", "Pouletbrust"], None, None), ("g3", ["rioja", "a.b", ""], [""], "x")]
+    groups = [("g1", ["milch"], ["schoko."], "raw"), ("g2", ["milchdrink", "butter", "Pouletbrust"], None, None), ("g3", ["rioja", "a.b", ""], [""], "x"), ("g4", ["ro[tz]", "b.ttermil", "(", "m.*1l"], None, "re")]
+    sound = lambda k: k and k != "("
 
     def plain_group(n, substring):
         best = None
@@ -342,8 +343,9 @@ def test_groups_by_keywords(spark):
             low = n.lower()
             if any(x and ((x.lower() in low) if substring else re.search(x, low)) for x in exclude or []):
                 continue
-            front = [k for k in include if k and (low.startswith(k.lower()) or re.search(rf"(?<!\w)(?=\w){re.escape(k.lower())}(?<=\w)(?!\w)", low))]
-            hit = [k for k in include if k and (k.lower() in low if substring else low.endswith(k.lower()) or k in front)]
+            said = lambda k: k.lower() if re.search(r"[\\.^$*+?()\[\]{}|]", k) else re.escape(k.lower())  # noqa: E731  a keyword may be an expression
+            front = [k for k in include if sound(k) and (re.search(f"^{said(k)}", low) or re.search(rf"(?<!\w)(?=\w){said(k)}(?<=\w)(?!\w)", low))]
+            hit = [k for k in include if k and (k.lower() in low if substring else sound(k) and (re.search(f"{said(k)}$", low) or k in front))]
             rank = (g,) if substring else (bool(front), -max(map(len, front), default=0), g)
             if hit and (best is None or rank < best[0]):
                 best = rank, g, form
