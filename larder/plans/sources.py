@@ -10,7 +10,7 @@ from ..operators import access, ingest, layer, lists, prices, read, upkeep, verd
 from ..sources import cards, feeds
 from .more import BRANDED
 from .queries import ACTIVE, DEMO_RULES, LABELLED, RULES, labelled, live, quoted, r6, raw_rows, register, sql_any_sub, sql_cases, sql_lists
-from .star import AS_OF, DEALS, deals, store_of, table
+from .star import AS_OF, DEALS, deals, table
 from .tables import folder
 
 
