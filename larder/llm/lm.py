@@ -40,9 +40,9 @@ from . import kernels as K
 from .common import blocks, materialize
 from .windows import binary
 
-VOCABULARY, LEAST, WIDTH, CONTEXT, BATCH, RATE = 16_382, 4, 24, 2, 1024, 0.05
+VOCABULARY, LEAST, WIDTH, CONTEXT, BATCH, RATE = 16_382, 4, 16, 2, 2048, 0.05
 #: Noise classes of a batch, and noise words of a token.
-NOISE, NOISE_WORDS = 48, 4
+NOISE, NOISE_WORDS = 32, 1
 HEAVY, SHARD_TOKENS, SHARDS = 1 << 17, 1 << 20, 4096
 #: Shards whose parameters are added by one task, in two rounds.
 FAN = 64
@@ -169,12 +169,12 @@ def class_mass(v: Vocabulary) -> np.ndarray:
 
 
 def start(v: Vocabulary, seed: int = 5) -> dict[str, np.ndarray]:
-    """Small vectors, and biases that make the model the unigram."""
+    """Small vectors, and biases (the last column of a target's or class's vector) that make the model the unigram."""
     rng = np.random.default_rng(seed)
     n, mass = len(v.unigram), class_mass(v)
     small = lambda rows: rng.normal(0, 0.1, (rows, WIDTH)).astype(np.float32)
     return {
-        "context": small(n), "target": small(n), "bias": np.log(v.unigram / np.repeat(mass, v.width)[:n]).astype(np.float32), "group": small(len(mass)), "group_bias": np.log(mass).astype(np.float32),
+        "context": small(n), "target": np.column_stack([small(n), np.log(v.unigram / np.repeat(mass, v.width)[:n]).astype(np.float32)]), "group": np.column_stack([small(len(mass)), np.log(mass).astype(np.float32)]),
         "mix": np.stack([np.eye(WIDTH), 0.5 * np.eye(WIDTH)]).astype(np.float32),
     }
 
@@ -198,14 +198,20 @@ class Noise:
         return np.clip(np.searchsorted(self.word_cdf, at, side="right") - 1, lo[:, None], hi[:, None] - 1)
 
 
+def gradients(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """What the squared gradients start with: a number a vector, or a number a number of the positions' matrices."""
+    return {name: np.ones(x.shape if name == "mix" else len(x), dtype=np.float32) for name, x in p.items()}
+
+
 def _step(p: np.ndarray, past: np.ndarray, ids: np.ndarray, rows: np.ndarray, rate: float) -> None:
-    """Adds rows to the parameters of their ids, scaled by the gradients so far; only these ids are touched."""
+    """Adds rows to the vectors of their ids, scaled by the length of each vector's gradients so far; only these ids are touched."""
     order = np.argsort(ids.astype(np.int16 if len(p) < 1 << 15 else np.int64), kind="stable")
     ids = ids[order]
     at = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
     g, one = np.add.reduceat(rows[order], at, axis=0), ids[at]
-    past[one] += g * g
-    p[one] += np.float32(rate) * g / np.sqrt(past[one])
+    so_far = past[one] + np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
+    past[one] = so_far
+    p[one] += g * (np.float32(rate) / np.sqrt(so_far))[:, None]
 
 
 def _pull(true: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,27 +220,23 @@ def _pull(true: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def nce_step(p: dict[str, np.ndarray], past: dict[str, np.ndarray], ctx: np.ndarray, word: np.ndarray, noise: Noise, rate: float = RATE) -> None:
-    """One step on a batch: true classes against the batch's noise classes, true words each against noise words of their class. past: squared gradients so far."""
+    """One step on a batch: true classes against the batch's noise classes, true words each against a noise word or more of their class. past: squared gradients so far."""
     parts = [p["context"][ctx[:, j]] for j in range(CONTEXT)]
-    q = sum(parts[j] @ p["mix"][j] for j in range(CONTEXT))
+    q = np.ones((len(word), WIDTH + 1), dtype=np.float32)  # the last column meets the biases
+    q[:, :WIDTH] = sum(parts[j] @ p["mix"][j] for j in range(CONTEXT))
     own, others = word // noise.width, noise.classes(NOISE)
     k = np.float32(np.log(NOISE))
     true, other = p["group"][own], p["group"][others]
-    g_own, g_others = _pull((q * true).sum(axis=1) + p["group_bias"][own] - noise.log_class[own] - k, q @ other.T + p["group_bias"][others] - noise.log_class[others] - k)
-    dq = g_own[:, None] * true + g_others @ other
+    g_own, g_others = _pull(np.einsum("bw,bw->b", q, true) - noise.log_class[own] - k, q @ other.T - noise.log_class[others] - k)
     drawn = noise.words(word, NOISE_WORDS)
     k = np.float32(np.log(NOISE_WORDS))
     mine, theirs = p["target"][word], p["target"][drawn]
-    g_word, g_drawn = _pull((q * mine).sum(axis=1) + p["bias"][word] - noise.log_word[word] - k, np.einsum("bw,bkw->bk", q, theirs) + p["bias"][drawn] - noise.log_word[drawn] - k)
-    dq += g_word[:, None] * mine + np.einsum("bk,bkw->bw", g_drawn, theirs)
-    flat = drawn.reshape(-1)
-    mix = np.stack([parts[j].T @ dq for j in range(CONTEXT)])
-    back = [dq @ p["mix"][j].T for j in range(CONTEXT)]
+    g_word, g_drawn = _pull(np.einsum("bw,bw->b", q, mine) - noise.log_word[word] - k, np.einsum("bw,bkw->bk", q, theirs) - noise.log_word[drawn] - k)
+    dq = (g_own[:, None] * true + g_others @ other + g_word[:, None] * mine + np.einsum("bk,bkw->bw", g_drawn, theirs))[:, :WIDTH]
+    mix, back = np.stack([parts[j].T @ dq for j in range(CONTEXT)]), [dq @ p["mix"][j].T for j in range(CONTEXT)]
     every = lambda a, b: np.concatenate([a, b])
     _step(p["group"], past["group"], every(own, others), every(g_own[:, None] * q, g_others.T @ q), rate)
-    _step(p["group_bias"][:, None], past["group_bias"][:, None], every(own, others), every(g_own, g_others.sum(axis=0))[:, None], rate)
-    _step(p["target"], past["target"], every(word, flat), every(g_word[:, None] * q, (g_drawn[:, :, None] * q[:, None]).reshape(len(flat), -1)), rate)
-    _step(p["bias"][:, None], past["bias"][:, None], every(word, flat), every(g_word, g_drawn.reshape(-1))[:, None], rate)
+    _step(p["target"], past["target"], every(word, drawn.reshape(-1)), every(g_word[:, None] * q, (g_drawn[:, :, None] * q[:, None]).reshape(-1, WIDTH + 1)), rate)
     _step(p["context"], past["context"], ctx.T.reshape(-1), np.concatenate(back), rate)
     past["mix"] += mix * mix
     p["mix"] += np.float32(rate) * mix / np.sqrt(past["mix"])
@@ -255,7 +257,7 @@ def train(texts: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
             p = {name: begin[name].copy() for name, _ in shapes}
             rng = np.random.default_rng(shard)
             noise = Noise(v, rng)
-            past = {name: np.full_like(p[name], 1.0) for name, _ in shapes}
+            past = gradients(p)
             seen = 0
             for texts in rows:
                 ids, n, _ = v.sequence(*word_hashes(texts))
@@ -313,28 +315,28 @@ def train(texts: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
 
 def log_probabilities(p: dict[str, np.ndarray], ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Natural log-probability of each token: of its class, normalised over the classes, and of itself, normalised over its class."""
-    n, classes = len(p["bias"]), len(p["group_bias"])
+    n, classes = len(p["target"]), len(p["group"])
     width = int(np.ceil(np.sqrt(n)))
     distinct, back = np.unique(ctx[:, 0] * n + ctx[:, 1], return_inverse=True)
-    q = p["context"][distinct // n] @ p["mix"][0] + p["context"][distinct % n] @ p["mix"][1]
+    q = np.ones((len(distinct), WIDTH + 1), dtype=np.float32)
+    q[:, :WIDTH] = p["context"][distinct // n] @ p["mix"][0] + p["context"][distinct % n] @ p["mix"][1]
 
-    def logsum(q: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    def logsum(q: np.ndarray, vectors: np.ndarray) -> np.ndarray:
         out = np.empty(len(q), dtype=np.float64)
         for lo in range(0, len(q), 4096):
-            s = q[lo : lo + 4096] @ vectors.T + bias
+            s = q[lo : lo + 4096] @ vectors.T
             top = s.max(axis=1, keepdims=True)
             out[lo : lo + 4096] = top[:, 0] + np.log(np.exp(s - top).sum(axis=1, dtype=np.float64))
         return out
 
     own = word // width
-    out = np.einsum("ij,ij->i", q[back], p["group"][own] + p["target"][word]).astype(np.float64) + p["group_bias"][own] + p["bias"][word] - logsum(q, p["group"], p["group_bias"])[back]
+    out = np.einsum("ij,ij->i", q[back], p["group"][own] + p["target"][word]).astype(np.float64) - logsum(q, p["group"])[back]
     # a context and class once, class by class
     pairs, of = np.unique(own * len(distinct) + back, return_inverse=True)
     at = np.searchsorted(pairs, np.arange(classes + 1) * len(distinct))
     norm = np.empty(len(pairs), dtype=np.float64)
     for c in np.flatnonzero(np.diff(at)):
-        lo, hi = c * width, min(n, (c + 1) * width)
-        norm[at[c] : at[c + 1]] = logsum(q[pairs[at[c] : at[c + 1]] % len(distinct)], p["target"][lo:hi], p["bias"][lo:hi])
+        norm[at[c] : at[c + 1]] = logsum(q[pairs[at[c] : at[c + 1]] % len(distinct)], p["target"][c * width : (c + 1) * width])
     return out - norm[of]
 
 
