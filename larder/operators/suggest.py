@@ -27,12 +27,12 @@ def candidates(interests: DataFrame, cheapest: DataFrame, now: str) -> DataFrame
 
 
 def personal(cands: DataFrame, user: int, limit: int = 10) -> DataFrame:
-    return cands.filter(F.col("user_id") == user).orderBy(F.desc("score"), "event_id").limit(limit)
+    return cands.filter(F.col("user_id") == user).orderBy(F.desc("score"), "event_id", "deal_id").limit(limit)
 
 
 def personal_all(cands: DataFrame, limit: int = 10) -> DataFrame:
-    """The best of each user."""
-    w = Window.partitionBy("user_id").orderBy(F.desc("score"), "event_id")
+    """The best of each user; an event that meets deals of several regions at one score gives the smaller deal_id first."""
+    w = Window.partitionBy("user_id").orderBy(F.desc("score"), "event_id", "deal_id")
     return cands.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= limit).drop("__n")
 
 
