@@ -68,9 +68,9 @@ def stored_name(c: Column) -> Column:
 
 def brand(c: Column) -> Column:
     """The first known brand, in list order, that stands between white space or ends; each part capitalised."""
-    name = F.concat(F.lit(" "), F.regexp_replace(F.lower(c), r"\s", " "), F.lit(" "))
     title = lambda b: " ".join("-".join(p[:1].upper() + p[1:] for p in w.split("-")) for w in b.split())
-    return first_match([(name.contains(f" {b} "), F.lit(title(b))) for b in KNOWN_BRANDS])
+    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(c), r"\s", " "), F.lit(" "))
+    return let(spaced, lambda name: first_match([(name.contains(f" {b} "), F.lit(title(b))) for b in KNOWN_BRANDS]))
 
 
 def organic(c: Column) -> Column:
@@ -99,8 +99,8 @@ def title_case(c: Column) -> Column:
 
 def canonical_name(name: Column, brand_name: Column) -> Column:
     """Name without its leading brand, words capitalised."""
-    rest = F.when(brand_name.isNotNull() & F.startswith(F.lower(name), F.lower(brand_name)), F.trim(F.substr(name, F.length(brand_name) + 1))).otherwise(name)
-    return capitalise_words(F.when(rest == "", name).otherwise(rest))
+    rest = lambda b: F.when(b.isNotNull() & F.startswith(F.lower(name), F.lower(b)), F.trim(F.substr(name, F.length(b) + 1))).otherwise(name)
+    return capitalise_words(let(let(brand_name, rest), lambda r: F.when(r == "", name).otherwise(r)))
 
 
 def words(c: Column) -> Column:

@@ -1,5 +1,8 @@
 """What large tables showed: open ties, work done again for each row or each use, and their results on small tables."""
 
+from pyspark.sql import functions as F
+
+from larder.functions import text
 from larder.operators import suggest
 
 
@@ -11,3 +14,10 @@ def test_an_event_with_deals_of_one_score_gives_the_smaller_id(spark):
     rows = spark.createDataFrame([(1, 7, "b", 5.0), (1, 7, "a", 5.0), (1, 8, "c", 6.0)], "user_id long, event_id long, deal_id string, score double").coalesce(1)
     assert [r.deal_id for r in suggest.personal_all(rows, 2).orderBy("score").collect()] == ["a", "c"]
     assert [r.deal_id for r in suggest.personal(rows, 1, 2).collect()] == ["c", "a"]
+
+
+def test_a_canonical_name_looks_for_its_brand_once(spark):
+    names = spark.createDataFrame([("emmi joghurt nature",), ("emmi",), ("rüebli",), ("",), (None,)], "n string")
+    out = names.select(text.canonical_name(F.col("n"), text.brand(F.col("n"))).alias("c"))
+    assert [r.c for r in out.collect()] == ["Joghurt Nature", "Emmi", "Rüebli", "", None]
+    assert plan(out.filter("length(c) > 0")).count(" zweifel ") <= 2  # the filter is a use of its own
