@@ -98,8 +98,11 @@ def best_per_key(df: DataFrame, keys: list[str], discount: str = "discount_perce
 
 
 def metadata_summary(df: DataFrame, name: str = "product_name") -> DataFrame:
+    """How many rows there are, and how many names say a brand, a quantity, that they are organic. Each different name is read once."""
     n = F.col(name)
-    return df.agg(F.count("*").alias("n"), F.count_if(text.brand(n).isNotNull()).alias("with_brand"), F.count_if(units.name_quantity(n).isNotNull()).alias("with_quantity"), F.count_if(text.organic(n)).alias("organic"))
+    said = df.groupBy(n.alias(name)).agg(F.count("*").alias("__rows")).select("__rows", text.brand(n).isNotNull().alias("b"), units.name_quantity(n).isNotNull().alias("q"), text.organic(n).alias("o"))
+    total = lambda flag: F.coalesce(F.sum(F.when(flag, F.col("__rows"))), F.lit(0).cast("long"))
+    return said.agg(total(F.lit(True)).alias("n"), total(F.col("b")).alias("with_brand"), total(F.col("q")).alias("with_quantity"), total(F.col("o")).alias("organic"))
 
 
 def with_metadata(df: DataFrame, rules: classify.Rules = (), name: str = "product_name", label: str = "source_category") -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from larder.functions import text
-from larder.operators import suggest
+from larder.operators import ingest, suggest
 
 
 def plan(df) -> str:
@@ -21,3 +21,10 @@ def test_a_canonical_name_looks_for_its_brand_once(spark):
     out = names.select(text.canonical_name(F.col("n"), text.brand(F.col("n"))).alias("c"))
     assert [r.c for r in out.collect()] == ["Joghurt Nature", "Emmi", "Rüebli", "", None]
     assert plan(out.filter("length(c) > 0")).count(" zweifel ") <= 2  # the filter is a use of its own
+
+
+def test_metadata_of_repeated_names(spark):
+    names = spark.createDataFrame([("Emmi Milch 1 l",)] * 3 + [("bio rüebli",)] * 2 + [(None,)], "product_name string")
+    out = ingest.metadata_summary(names)
+    assert [tuple(r) for r in out.collect()] == [(6, 3, 3, 2)] and [tuple(r) for r in ingest.metadata_summary(names.limit(0)).collect()] == [(0, 0, 0, 0)]
+    assert plan(out).count("Aggregate") == 2
