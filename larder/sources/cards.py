@@ -1,16 +1,27 @@
-"""Deal cards in HTML pages, read with the standard library's parser in Arrow batches."""
+"""Deal cards in HTML pages, read in Arrow batches: plain tags by one pattern, anything else by the standard library's parser."""
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+from html import unescape
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import units
 
 RAW_CARD = "struct<name:string,description:string,price_new:string,price_old:string,price_discount:string,date_text:string,href:string,image_url:string>"
+FIELDS = ("name", "description", "price_new", "price_old", "price_discount", "date_text", "href", "image_url")
+#: A closing tag, or an opening one whose attributes are quoted and hold no references.
+PLAIN_TAG = re.compile(r'<(?:/([A-Za-z][A-Za-z0-9]*)|([A-Za-z][A-Za-z0-9]*)((?: [A-Za-z-]+="[^"<>&]*")*))>')
+ATTRIBUTE = re.compile(r' ([A-Za-z-]+)="([^"]*)"')
+#: The value of an attribute that is no class.
+VALUE = re.compile(r'(?<! (?i:class)=)"[^"]*"')
+#: Elements whose content is no markup.
+RAW_TEXT = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "noscript", "xmp", "plaintext"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 # Class names of a page's cards, and what their texts are.
 TEXTS = {"card-description": "description", "price-new": "price_new", "price-old": "price_old", "price-discount": "price_discount", "card-date": "date_text"}
@@ -26,34 +37,36 @@ class _Cards(HTMLParser):
         self.stack: list[tuple[str, str | None, bool]] = []  # tag, field that it fills, in an image holder
 
     def handle_starttag(self, tag: str, attrs) -> None:
-        a = dict(attrs)
-        classes = set((a.get("class") or "").split())
-        if self.card is None and tag == "div" and {"card", "dealtype-deal"} <= classes:
-            self.card, self.stack = {}, [(tag, None, False)]
+        if self.card is None and tag != "div":
             return
+        a = dict(attrs)
+        classes = (a.get("class") or "").split() if a else ()
         if self.card is None:
+            if "card" in classes and "dealtype-deal" in classes:
+                self.card, self.stack = {}, [(tag, None, False)]
             return
-        held = any(s[2] for s in self.stack)
         if tag == "a" and "href" in a:
             self.card.setdefault("href", a["href"])
-        if tag == "img" and held:
+        if tag == "img" and any(s[2] for s in self.stack):
             self.card.setdefault("image_url", a.get("src"))
         if tag in VOID:
             return
-        field = "name" if tag == "h3" and "card-title" in classes else next((f for c, f in TEXTS.items() if c in classes), None)
+        field = None
+        if classes:
+            field = "name" if tag == "h3" and "card-title" in classes else next((f for c, f in TEXTS.items() if c in classes), None)
         field = field if field and field not in self.card else None
         if field:
             self.card[field] = []
         self.stack.append((tag, field, "card-image" in classes))
 
     def handle_data(self, data: str) -> None:
-        if self.card is not None and data.strip():
+        if self.card is not None and (data := data.strip()):
             for _, field, _ in self.stack:
                 if field:
-                    self.card[field].append(data.strip())
+                    self.card[field].append(data)
 
     def handle_endtag(self, tag: str) -> None:
-        if self.card is None or tag in VOID or not any(s[0] == tag for s in self.stack):
+        if self.card is None or tag in VOID or self.stack[-1][0] != tag and not any(s[0] == tag for s in self.stack):
             return
         while self.stack and self.stack.pop()[0] != tag:
             pass
@@ -62,20 +75,63 @@ class _Cards(HTMLParser):
             self.card = None
 
 
-def parse_cards(html: str | None) -> list[dict]:
+@lru_cache(256)
+def _shape(closed: tuple, opened: tuple, attrs: tuple) -> list[dict] | None:
+    """Which texts and links make the cards of a page with these tags, by the tags that they follow or stand in; None if an element's content is no markup."""
     parser = _Cards()
-    parser.feed(html or "")
-    parser.close()
-    return parser.cards
+    for k, tag in enumerate(opened):
+        if closed[k]:
+            parser.handle_endtag(closed[k].lower())
+        elif tag.lower() in RAW_TEXT:
+            return None
+        else:
+            parser.handle_starttag(tag.lower(), [(n.lower(), v if n.lower() == "class" else str(k)) for n, v in ATTRIBUTE.findall(attrs[k])])
+        parser.handle_data(f"{k},")
+    at = lambda f, v: v and int(v) if f in ("href", "image_url") else [int(k) for k in v.split(",")[:-1]]
+    return [{f: at(f, v) for f, v in c.items()} for c in parser.cards]
+
+
+def _attribute(text: str, name: str) -> str:
+    return {n.lower(): v for n, v in ATTRIBUTE.findall(text)}[name]
+
+
+def _plain(html: str) -> list[dict] | None:
+    """The cards of a page of plain tags and text; None if it has anything else. Pages of the same tags and classes have their cards in the same places."""
+    parts = PLAIN_TAG.split(html)  # text, then closed, opened, attributes, text for each tag
+    texts, attrs = parts[4::4], parts[3::4]
+    if "<" in parts[0] or "<" in "".join(texts):
+        return None
+    shape = _shape(tuple(parts[1::4]), tuple(parts[2::4]), tuple(VALUE.sub('""', a) if a and not a.startswith(' class="') else a for a in attrs))
+    if shape is None:
+        return None
+    text = lambda k: (unescape(texts[k]) if "&" in texts[k] else texts[k]).strip()
+    said = lambda f, v: None if v is None else _attribute(attrs[v], "href" if f == "href" else "src") if isinstance(v, int) else text(v[0]) if len(v) == 1 else "".join(map(text, v))
+    return [{f: said(f, v) for f, v in c.items()} for c in shape]
+
+
+def parse_cards(html: str | None) -> list[dict]:
+    if not html or "dealtype-deal" not in html and "&" not in html:  # a reference might spell the class
+        return []
+    cards = _plain(html)
+    if cards is None:
+        parser = _Cards()
+        parser.feed(html)
+        parser.close()
+        cards = parser.cards
+    return cards
 
 
 def raw_cards(html: str | Column) -> Column:
     """array<struct> of a page's cards; null or none: empty."""
-    fields = ("name", "description", "price_new", "price_old", "price_discount", "date_text", "href", "image_url")
 
-    @F.pandas_udf(f"array<{RAW_CARD}>")
-    def run(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda p: [{f: c.get(f) for f in fields} for c in parse_cards(p)])
+    @F.arrow_udf(f"array<{RAW_CARD}>")
+    def run(pages: pa.Array) -> pa.Array:
+        found = [parse_cards(p) for p in pages.to_pylist()]
+        ends = [0]
+        for cards in found:
+            ends.append(ends[-1] + len(cards))
+        columns = [pa.array([c.get(f) for cards in found for c in cards], pa.string()) for f in FIELDS]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=list(FIELDS)))
 
     return run(html)
 
