@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, text, units
 from ..functions.values import CONFIDENCE_GATE, STORES
 from . import ingest, keyed, resolve
-from .steps import step
+from .steps import forget, step
 from .upkeep import changed
 
 KEYS = ["store", "product_name", "valid_from"]
@@ -32,12 +32,15 @@ class Outcome:
 def classified(raw: DataFrame, rules: classify.Rules, aliases: DataFrame) -> DataFrame:
     """All rows, with names in their stored spelling, whether they are valid, and what their names and labels say, found once for each of these."""
 
+    def stored(raw_name, c):
+        return text.let(text.stored_name(raw_name), lambda n: said(n, c))
+
     def said(n, c):
-        return F.struct(classify.grocery(n, c)["keep"].alias("keep"), classify.categorise(n, c, rules).alias("c"), text.brand(n).alias("brand"), units.name_quantity(n).isNotNull().alias("quantity"), text.organic(n).alias("organic"))
+        return F.struct(n.alias("name"), classify.grocery(n, c)["keep"].alias("keep"), classify.categorise(n, c, rules).alias("c"), text.brand(n).alias("brand"), units.name_quantity(n).isNotNull().alias("quantity"), text.organic(n).alias("organic"))
 
     missing = {f.name: F.lit(None).cast(f.dataType) for f in raw.sparkSession.createDataFrame([], ingest.RAW).schema if f.name not in raw.columns}
-    rows = raw.withColumns(missing).withColumn("productName", text.stored_name(F.col("productName"))).withColumn("valid", ingest.valid_entry())
-    rows = classify.over_distinct(rows, ["productName", "sourceCategory"], "said", said)
+    rows = classify.over_distinct(raw.withColumns(missing), ["productName", "sourceCategory"], "said", stored)
+    rows = rows.withColumn("productName", F.col("said.name")).withColumn("valid", ingest.valid_entry())
     rows = rows.withColumns({k: F.col(f"said.c.{k}") for k in ("category", "sub_category", "tier", "confidence")})
     rows = rows.withColumn("kept", F.col("valid") & F.col("said.keep")).withColumn("taken", F.col("kept") & (F.col("confidence") >= CONFIDENCE_GATE))
     return resolve.alias_taxonomy(rows, aliases)
@@ -57,10 +60,13 @@ def weekly(raw: DataFrame, table: str, log: str, run_id: str, started_at: str, r
         seen, F.count("*").alias("read"), F.count_if("valid").alias("valid"), F.count_if("kept").alias("kept"), F.count_if(c("kept") & c("said.brand").isNotNull()).alias("brands"), F.count_if(c("kept") & c("said.quantity")).alias("quantities"),
         F.count_if(c("kept") & c("said.organic")).alias("organic"), F.count_if("taken").alias("categorised"), F.count_if(c("taken") & c("alias_category").isNotNull()).alias("mapped"), *(F.count_if(c("store") == s).alias(f"read_{s}") for s in stores),
     )
-    made = ingest.with_unit_price(rows.filter("taken").withColumnRenamed("alias_category", "category_slug"))
+    # written before the units are read: these need the names twice, and what stands above must not be done twice
+    taken = step(rows.filter("taken").withColumnRenamed("alias_category", "category_slug").drop("said", "alias_sub_category", "valid", "kept", "taken"), "taken")
+    made = ingest.with_unit_price(taken)
     started = F.lit(started_at).cast("timestamp")
     deals = ingest.to_row(made, "category_slug").withColumns({"product_id": resolve.surrogate("store", "product_name"), "updated_at": started, "created_at": started})
     stored = step(ingest.best_per_key(deals, KEYS, order="id"), "run")
+    forget(taken)
     numbers = {k: v or 0 for k, v in seen.get.items()} | {"stored": stored.count()}  # the count is in the files' footers
     state = keyed.merge(stored, table, keep=("created_at",)) if keyed.exists(spark, table) else keyed.create(stored, table, KEYS)
     fine = [s for s in stores if numbers[f"read_{s}"]]

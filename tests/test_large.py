@@ -1,9 +1,11 @@
 """What large tables showed: open ties, work done again for each row or each use, and their results on small tables."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from larder.functions import text
-from larder.operators import ingest, suggest
+from larder.operators import ingest, run, suggest
 
 
 def plan(df) -> str:
@@ -28,3 +30,11 @@ def test_metadata_of_repeated_names(spark):
     out = ingest.metadata_summary(names)
     assert [tuple(r) for r in out.collect()] == [(6, 3, 3, 2)] and [tuple(r) for r in ingest.metadata_summary(names.limit(0)).collect()] == [(0, 0, 0, 0)]
     assert plan(out).count("Aggregate") == 2
+
+
+def test_names_of_feed_rows_are_spelled_once_a_name(spark):
+    raw = spark.createDataFrame([("coop", "Emmi  Milch 1 Liter", 1.0, "2026-04-01")] * 3 + [("coop", "emmi milch 1 l", 1.0, "2026-04-01"), ("coop", None, 1.0, "2026-04-01"), ("coop", " ", 1.0, "2026-04-01")], "store string, productName string, salePrice double, validFrom string")
+    aliases = spark.createDataFrame([], "source_tag string, category_slug string, subcategory_slug string")
+    out = run.classified(raw, (), aliases)
+    assert Counter((r.productName, r.valid) for r in out.collect()) == {("emmi milch 1 l", True): 4, (None, False): 1, ("", False): 1}
+    assert plan(out.select("productName", "said", "valid")).count("(?:stk|pcs)") == 1
