@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import objects
 from ..functions.values import STORES
-from ..operators import index, keyed, resolve, run, suggest
+from ..operators import index, keyed, read, resolve, run, suggest
 from ..operators.steps import shared_folder, step
 from ..sources import layout, paged
 from .queries import ACTIVE, DEMO_RULES, LABELLED, NEW, REGION, TWO, labelled, live, quoted, raw_rows, register, relevance_sql, sql_cases, sql_grocery, two_tables
@@ -74,13 +74,14 @@ def u13_incremental_view(s, d):
 )
 def j21_indexed_search(s, d):
     """Two searches on stored indexes: one finds a group and its products, the other deals of no group."""
-    al = deals(s, d).withColumn("product_id", F.concat_ws("|", "store", "product_name"))
-    products = al.groupBy("product_id", F.col("product_name").alias("source_name"), "product_group").agg(F.min("original_price").alias("regular_price"))
+    slim = deals(s, d).select("deal_id", "store", "product_name", "product_group", "category", "discount_percent", "original_price", "is_active", "valid_to")
+    al = step(slim.withColumn("product_id", F.concat_ws("|", "store", "product_name")), "j21-deals")
+    products = step(al.groupBy("product_id", F.col("product_name").alias("source_name"), "product_group").agg(F.min("original_price").alias("regular_price")), "j21-products")
     label = F.col("product_group").alias("label")
-    groups = al.select(F.col("product_group").alias("group_id"), label).distinct().withColumns({"search_keywords": F.array("label"), "exclude_keywords": F.when(F.col("label") == "ring", F.array(F.lit("gear")))})
-    labels, names, offers = folder(s, "labels"), folder(s, "names"), live(s, d).withColumn("product_id", F.concat_ws("|", "store", "product_name"))
+    groups = products.select(F.col("product_group").alias("group_id"), label).distinct().withColumns({"search_keywords": F.array("label"), "exclude_keywords": F.when(F.col("label") == "ring", F.array(F.lit("gear")))})
+    labels, names, offers = folder(s, "labels"), folder(s, "names"), read.active(al, AS_OF)
     index.build(groups.select("label"), labels, "label", 16)
-    index.build(al, names, buckets=32)
+    index.build(products, names, "source_name", 32)
     found = [index.search(s, q, groups, products, offers, labels, names).select(F.lit(q).alias("query"), "name", "product_id", "deal_id", "relevance") for q in ("gear", "small")]
     return found[0].unionByName(found[1])
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from larder.operators import ranks
+from larder.plans import tables
 
 
 def named(monkeypatch, module):
@@ -17,3 +18,9 @@ def test_ranked_writes_its_rows_before_it_splits_them(spark, monkeypatch):
     twice = ranks.ranked(once, F.asc("id"), out="b")
     assert [(r.id, r.a, r.b) for r in twice.orderBy("id").collect()] == [(k, 5 - k // 2 - k % 2, k + 1) for k in range(9)]
     assert names == ["to-rank", "ranked", "ranked"]
+
+
+def test_a_search_makes_its_deals_and_products_once(spark, sf_dir, monkeypatch):
+    names = named(monkeypatch, tables)
+    assert tables.j21_indexed_search(spark, sf_dir).count() > 0
+    assert names == ["j21-deals", "j21-products"]
