@@ -112,10 +112,21 @@ def _write(rows: DataFrame, path: str, s: State) -> dict[int, str]:
     spark, part = rows.sparkSession, f"parts/{uuid.uuid4().hex}"
     placed = rows.withColumn(BUCKET, _bucket(s)).hint("rebalance", F.col(BUCKET)).sortWithinPartitions(BUCKET, *s.keys)
     placed.write.partitionBy(BUCKET).parquet(f"{path}/{part}")
+    return _named(spark, path, part)
+
+
+def _named(spark: SparkSession, path: str, part: str) -> dict[int, str]:
     names = [f.getPath().getName() for f in _files(spark, path).listStatus(_path(spark, path, part))]
     return {int(n.partition("=")[2]): part for n in names if n.startswith(f"{BUCKET}=")}
 
 
+def _rewrite(rows: DataFrame, path: str, s: State) -> dict[int, str]:
+    """As _write, for rows that were read from the buckets that they stay in: they are not moved, each task sorts what it read."""
+    spark, part = rows.sparkSession, f"parts/{uuid.uuid4().hex}"
+    rows.withColumn(BUCKET, _bucket(s)).sortWithinPartitions(BUCKET, *s.keys).write.partitionBy(BUCKET).parquet(f"{path}/{part}")
+    return _named(spark, path, part)
+
+
 def create(rows: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS, by: list[str] | None = None) -> State:
     """A new table of rows, one a key. by: some of the keys, by which buckets go."""
     s = State(0, keys, by or keys, buckets, rows.schema)
@@ -126,8 +137,8 @@ def _equal(a: str, b: str, columns: list[str]) -> Column:
     return reduce(lambda x, y: x & y, (F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns), F.lit(True))
 
 
-def _replace(path: str, s: State, touched: list[int], rows: DataFrame) -> State:
-    parts = {b: p for b, p in s.parts.items() if b not in set(touched)} | _write(rows, path, s)
+def _replace(path: str, s: State, touched: list[int], rows: DataFrame, write: Callable[[DataFrame, str, State], dict[int, str]] = _write) -> State:
+    parts = {b: p for b, p in s.parts.items() if b not in set(touched)} | write(rows, path, s)
     return _commit(rows.sparkSession, path, replace(s, number=s.number + 1, parts=parts))
 
 
@@ -157,7 +168,8 @@ def update(spark: SparkSession, path: str, where: Column, values: dict[str, Colu
     if not touched:
         return s
     pick = lambda f: F.when(hit, values[f.name].cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name) if f.name in values else F.col(f.name)
-    return _replace(path, s, touched, _read(spark, path, s, touched).select(*map(pick, s.schema)))
+    # where no value goes into the bucket, rows stay in theirs
+    return _replace(path, s, touched, _read(spark, path, s, touched).select(*map(pick, s.schema)), _write if set(values) & set(s.by) else _rewrite)
 
 
 def remove(gone: DataFrame, path: str) -> State:

@@ -45,7 +45,7 @@ def weekly(s: SparkSession, d: str) -> DataFrame:
 )
 def u13_incremental_view(s, d):
     """The cheapest-now view after three weekly runs of inserts, a rise of prices and expiry, kept up to date by what changed."""
-    rows, table, view = step(weekly(s, d), "u13-rows"), folder(s, "u13-deals"), folder(s, "u13-view")
+    rows, table, view = weekly(s, d), folder(s, "u13-deals"), folder(s, "u13-view")  # a run's days reach the scan, so no run makes the others' rows
 
     def cheapest(own: DataFrame) -> DataFrame:
         return suggest.cheapest_now(own.filter("valid_to is not null"), "1900-01-01").select("concept_id", "region", "deal_id", "sale_price")
