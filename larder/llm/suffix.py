@@ -10,7 +10,9 @@ sorted directly (by eight bytes, then, among equals, by comparing the rest); the
 one scan over the buckets of first bytes, in order. Then the common prefixes of neighbours in the array are computed: one of
 LENGTH bytes marks both. Equal chunks enter the array once, known by 128 bits of their SHA-256. Fingerprints with too many
 different chunks for one task are crowded (windows.py): their windows are compared by digests, as far as the smallest grams
-of both sides of a window also come twice.
+of both sides of a window also come twice. Such windows in a row, that share the place of their left gram, are a run and
+compared as one first: runs of the same text around that gram repeat all their windows, runs that differ in what every
+window of theirs would share repeat none, and only of the others, one of each text, does each window come as a row.
 
 Several lengths may be asked at once: fingerprints are those of the shortest, chunks reach as far as the longest, and one
 array serves all. PASSAGE is the length of a short passage, fifty words of five bytes with their spaces.
@@ -207,49 +209,77 @@ def find_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", length
                 owner = np.repeat(np.arange(hi - lo), n)
                 s = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
                 win = first[owner] + s
-                key = K.mix(h[low[win]] ^ K.mix(h[low[win + width - side]]))
+                left = low[win]
+                key = K.mix(h[left] ^ K.mix(h[low[win + width - side]]))
                 new = np.ones(len(key), dtype=bool)
-                new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+                new[1:] = (key[1:] != key[:-1]) | (left[1:] != left[:-1]) | (owner[1:] != owner[:-1])
                 at = np.flatnonzero(new)
                 e = s[np.append(at[1:], len(s)) - 1] + 1
                 pick = pa.array(owner[at] + lo)
-                yield pa.RecordBatch.from_arrays([batch["fp"].take(pick), batch["cid"].take(pick), pa.array(key[at].view(np.int64)), pa.array(s[at].astype(np.int32)), pa.array(e.astype(np.int32))], ["fp", "cid", "key", "s", "e"])
+                numbers = (pa.array(x.astype(np.int32)) for x in (s[at], e, left[at] - first[owner[at]]))
+                yield pa.RecordBatch.from_arrays([batch["fp"].take(pick), batch["cid"].take(pick), pa.array(key[at].view(np.int64)), *numbers], ["fp", "cid", "key", "s", "e", "a"])
+
+    def name_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        side = max(1, width // 4)
+        for batch in batches:
+            out: dict[str, list] = {c: [] for c in ("fp", "cid", "n", "len", "s", "e", "inner", "outer")}
+            for row in batch.to_pylist():
+                body = row["chunk"]
+                for run in row["runs"]:
+                    s, a = run["s"], run["a"]
+                    for n in lengths:
+                        e = min(run["e"], len(body) - n + 1)
+                        if e > s:  # windows begin at most side - 1 before a, so all of a's hold what inner has
+                            inner, outer = digest(body[a : a - side + 1 + n]), digest(b"%d %d " % (a - s, a - e) + body[s : e - 1 + n])
+                            for c, x in zip(out, (row["fp"], row["cid"], row["n"], n, s, e, inner, outer)):
+                                out[c].append(x)
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out.values(), kinds)], list(out))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 body = row["chunk"]
-                s = [(n, k) for run in row["runs"] for k in range(run["s"], run["e"]) for n in lengths if k + n <= len(body)]
+                s = [(run["len"], k, run["alone"]) for run in row["runs"] for k in range(run["s"], run["e"])]
                 for lo in range(0, len(s), 4096):
                     part = s[lo : lo + 4096]
                     m = len(part)
-                    w = [digest(body[k : k + n]) for n, k in part]
+                    w = [digest(body[k : k + n]) for n, k, _ in part]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([row["fp"]] * m, pa.int64()), pa.array([row["cid"]] * m, pa.binary()), pa.array([row["n"]] * m, pa.int64()),
-                            pa.array([n for n, _ in part], pa.int32()), pa.array([k for _, k in part], pa.int32()), pa.array(w, pa.binary()),
+                            pa.array([row["fp"]] * m, pa.int64()), pa.array([row["cid"]] * m, pa.binary()), pa.array([x for _, _, x in part], pa.bool_()),
+                            pa.array([n for n, _, _ in part], pa.int32()), pa.array([k for _, k, _ in part], pa.int32()), pa.array(w, pa.binary()),
                         ],
-                        ["fp", "cid", "n", "len", "s", "w"],
+                        ["fp", "cid", "alone", "len", "s", "w"],
                     )
 
     few, crowded = by_crowding(classes, "n = 1")
     apart = few.mapInArrow(compare, "fp long, cid binary, len int, s int, e int")
-    # of crowded fingerprints: runs of windows alike at both sides, then the windows of runs that are found twice, by digest
-    runs = materialize(crowded.select("fp", "cid", "core", "chunk").mapInArrow(cut_again, "fp long, cid binary, key long, s int, e int"), "suffix-runs")
+    # of crowded fingerprints: runs of windows alike at both sides, by digest; then the windows of runs that others may share in part
+    runs = materialize(crowded.select("fp", "cid", "core", "chunk").mapInArrow(cut_again, "fp long, cid binary, key long, s int, e int, a int"), "suffix-runs")
     alike = materialize(runs.groupBy("fp", "key").agg(F.count("*").alias("m")).filter("m > 1"), "suffix-alike")
     twice = join_crowded(runs, alike, ["fp", "key"], "m")
-    asked = twice.groupBy("fp", "cid").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
-    windows = crowded.select("fp", "cid", "n", "chunk").join(asked, ["fp", "cid"]).mapInArrow(name, "fp long, cid binary, n long, len int, s int, w binary")
+    asked = twice.groupBy("fp", "cid").agg(F.collect_list(F.struct("s", "e", "a")).alias("runs"))
+    named = crowded.select("fp", "cid", "n", "chunk").join(asked, ["fp", "cid"]).mapInArrow(name_runs, "fp long, cid binary, n long, len int, s int, e int, inner binary, outer binary")
+    named = materialize(named, "suffix-named")
+    texts = named.groupBy("fp", "len", "inner", "outer").agg(F.count("*").alias("m"), F.any_value(F.struct("cid", "s", "e", "n")).alias("one"))
+    texts = materialize(texts, "suffix-texts")
+    equal = join_crowded(named.filter("n = 1"), texts.filter("m > 1").select("fp", "len", "inner", "outer", "m"), ["fp", "len", "inner", "outer"], "m")
+    equal = equal.select("fp", "cid", "len", "s", (F.col("e") - 1 + F.col("len")).alias("e"))
+    several = materialize(texts.groupBy("fp", "len", "inner").agg(F.count("*").alias("k")).filter("k > 1"), "suffix-several")
+    parts = join_crowded(texts, several, ["fp", "len", "inner"], "k").select("fp", "one.cid", F.struct("len", "one.s", "one.e", F.expr("m = 1 and one.n = 1").alias("alone")).alias("run"))
+    asked = parts.groupBy("fp", "cid").agg(F.collect_list("run").alias("runs"))
+    windows = crowded.select("fp", "cid", "chunk").join(asked, ["fp", "cid"]).mapInArrow(name, "fp long, cid binary, alone boolean, len int, s int, w binary")
     windows = materialize(windows, "suffix-windows")
     again = materialize(windows.groupBy("fp", "len", "w").agg(F.count("*").alias("m")).filter("m > 1"), "suffix-again")
-    hits = join_crowded(windows.filter("n = 1"), again, ["fp", "len", "w"], "m").select("fp", "cid", "len", "s", (F.col("s") + F.col("len")).alias("e"))
+    hits = join_crowded(windows.filter("alone"), again, ["fp", "len", "w"], "m").select("fp", "cid", "len", "s", (F.col("s") + F.col("len")).alias("e"))
     # a chunk of several places goes whole, as far as its windows of each length reach
     reach = F.least(F.octet_length("chunk"), F.col("core") - 1 + F.col("len")).cast("int")
     all_of = classes.filter("n > 1").select("*", F.explode(F.array(*(F.lit(n) for n in lengths))).alias("len")).filter(F.octet_length("chunk") >= F.col("len")).select("fp", "cid", "len", F.lit(0).alias("s"), reach.alias("e"))
-    spans = apart.unionByName(hits).unionByName(all_of).groupBy("fp", "cid").agg(F.collect_list(F.struct("len", "s", "e")).alias("of"))
+    spans = apart.unionByName(equal).unionByName(hits).unionByName(all_of).groupBy("fp", "cid").agg(F.collect_list(F.struct("len", "s", "e")).alias("of"))
     spans = materialize(classes.select("fp", "cid", "n").join(spans, ["fp", "cid"]), "suffix-marked")
     out = materialize(document_spans(places, spans), "suffix-spans")
-    discard(classes, places, runs, alike, windows, again, spans)
+    discard(classes, places, runs, alike, named, texts, several, windows, again, spans)
     return out
 
 

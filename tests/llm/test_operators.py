@@ -184,6 +184,36 @@ def test_no_task_holds_a_crowded_fingerprint(spark, monkeypatch):
     assert Counter(map(tuple, got)) == brute.suffix(rows, 100)
 
 
+def test_crowded_windows_come_as_runs(spark, monkeypatch):
+    """A frequent passage, whole, cut short and with changed bytes, in many surroundings: exact, with fewer rows than it has windows."""
+    import random
+
+    import larder.llm.windows as W
+
+    written: Counter = Counter()
+
+    def counted(df, name):
+        out = materialize(df, name)
+        written[name] += out.count()
+        return out
+
+    materialize = suffix.materialize
+    monkeypatch.setattr(suffix, "materialize", counted)
+    monkeypatch.setattr(W, "PIECE_CLASSES", 4)
+    dice, passage = random.Random(5), prose(7, 60)
+    rows = [(k, f"{prose(100 + k, 20)} {passage} {prose(200 + k, 20)}") for k in range(40)]
+    for k in range(40, 80):
+        a, b = sorted(dice.sample(range(len(passage)), 2))
+        c = dice.randrange(len(passage))
+        rows.append((k, f"{prose(100 + k, 10)} {dice.choice([passage[a:], passage[:b], passage[:c] + '#' + passage[c + 1 :]])} {prose(200 + k, 10)}"))
+    rows += [(80, rows[3][1]), (81, passage * 3), (82, (passage[:70] + "~") * 6), (83, "ab" * 200), (84, "x" + "ab" * 150), (85, passage), (86, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = suffix.drop_repeats(df, length=100, passage=160).select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))), removed(), F.size("removed"), F.sha2("kept", 256), removed("passages")).collect()
+    assert Counter(tuple(r)[:5] for r in out) == brute.suffix(rows, 100)
+    assert Counter((r[0], r[5]) for r in out) == Counter((k, n) for k, _, n, _, _ in brute.suffix(rows, 160).elements())
+    assert written["suffix-windows"] + written["suffix-named"] < 40 * (2 * len(passage) - 100 - 160)
+
+
 # --- 2: neighbours
 
 
