@@ -13,9 +13,12 @@ ORDER = ("category", "store")
 
 
 def write_deals(deals: DataFrame, path: str, id_col: str = "deal_id", order: tuple[str, ...] = ORDER, ids_a_group: int = 1 << 20, group_bytes: int = 128 << 20) -> None:
-    """Rows are range-partitioned on (is_active, order, id), so that a frequent category and store are split by id, and sorted within files."""
-    keys = ["is_active", *order, id_col]
-    rows = deals.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    """Rows of one (is_active, order) go to the same files, a frequent one to as many as its size asks for, and are sorted by it and the id within files.
+
+    Partitions are rebalanced, not cut by range: for the bounds of ranges Spark makes all rows once more.
+    """
+    keys = ["is_active", *order]
+    rows = deals.hint("rebalance", *(F.col(k) for k in keys)).sortWithinPartitions(*keys, id_col)
     out = rows.write.mode("overwrite").partitionBy("is_active").option(f"parquet.bloom.filter.enabled#{id_col}", "true").option(f"parquet.bloom.filter.expected.ndv#{id_col}", str(ids_a_group))
     out.option("parquet.block.size", str(group_bytes)).option("parquet.page.size", str(max(1024, group_bytes >> 6))).parquet(path)
 

@@ -75,6 +75,37 @@ def test_layout_reads_what_it_must(spark, tmp_path):
     assert layout.scanned(layout.active_of(spark, path, ids=[one]))[1] < active / 10  # Bloom filters: ids are in no order across groups
 
 
+def test_layout_makes_its_rows_once(spark, tmp_path):
+    """Rows are not made a second time for the bounds of partitions; a frequent pair takes several files, each sorted, and a null is_active its own folder."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def ident(k):
+        made.add(1)
+        return f"{k * 7919 % 10007:08d}" + "y" * 100
+
+    pair = F.when(F.col("id") % 10 == 0, F.lit("fresh")).otherwise("non-food")
+    df = spark.range(0, 8000, 1, 8).select(ident("id").alias("deal_id"), pair.alias("category"), F.lit("coop").alias("store"), F.when(F.col("id") % 1000 != 1, F.col("id") % 4 != 0).alias("is_active"))
+    path, size = str(tmp_path / "deals"), "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "20k")
+    try:
+        layout.write_deals(df, path)
+    finally:
+        spark.conf.set(size, before)
+    assert made.value == 8000
+    back = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    files, folders = {}, {}
+    for r in back.orderBy("file", "at").collect():
+        files.setdefault((str(r.is_active), r.file), []).append((r.category, r.store, r.deal_id))
+    for (active, _), rows in files.items():
+        folders.setdefault(active, []).append(rows)
+        assert rows == sorted(rows)
+    assert {k: sum(map(len, v)) for k, v in folders.items()} == {"None": 8, "true": 5992, "false": 2000}
+    assert len({x for v in folders.values() for rows in v for x in rows}) == 8000
+    assert sum(any(x[0] == "non-food" for x in rows) for rows in folders["true"]) > 1
+
+
 def test_pages_until_empty(spark):
     pages = [("a", 1, 3), ("a", 2, 1), ("a", 3, 0), ("a", 4, 9), ("b", 1, 1), ("b", 3, 1), ("c", 2, 5), ("d", 1, None), *(("e", k, 1) for k in range(1, 70)), ("f", 1, 1), (None, 1, 1), ("g", 0, 1)]
     df = spark.createDataFrame(pages, "s string, n int, items int")
