@@ -58,7 +58,7 @@ def u13_incremental_view(s, d):
         else:
             keyed.create(came, table, ["concept_id", "deal_id"], 16, by=["concept_id"])
         if k == 1:
-            keyed.update(s, table, (F.col("store") == "spar") & (F.col("valid_to") >= F.lit(day).cast("date")), {"sale_price": F.col("sale_price") * 2})
+            keyed.update_later(s, table, f"store = 'spar' AND valid_to >= DATE '{day}'", {"sale_price": "sale_price * 2"})
         keyed.expire(s, table, day)
         done = keyed.refresh(s, view, table, ["concept_id", "region"], cheapest, done).number
     return keyed.read(s, view)
