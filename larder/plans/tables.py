@@ -35,7 +35,7 @@ RUNS = ("2001-09-17", "2001-10-01", AS_OF)
 
 
 def weekly(s: SparkSession, d: str) -> DataFrame:
-    return deals(s, d).select("concept_id", "deal_id", resolve.region_of(F.col("store")).alias("region"), "store", "sale_price", "is_active", "valid_from", "valid_to")
+    return deals(s, d, placed=True).select("concept_id", "deal_id", resolve.region_of(F.col("store")).alias("region"), "store", "sale_price", "is_active", "valid_from", "valid_to")
 
 
 @register(
